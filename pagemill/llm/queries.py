@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from pagemill.llm.mixing import OP3_SQL, op3_mix_sources
 from pagemill.llm.substrings import OP10_SQL, op10_substring_dedup
+from pagemill.llm.urls import OP1_SQL, op1_url_filters
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op3_mix_sources": op3_mix_sources,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES = {
+    "op1_url_filters": OP1_SQL,
+    "op3_mix_sources": OP3_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
