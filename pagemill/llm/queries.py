@@ -5,6 +5,7 @@ from __future__ import annotations
 from pagemill.llm.language import op9_language_id
 from pagemill.llm.minhash import op7_minhash_near_dedup
 from pagemill.llm.mixing import OP3_SQL, op3_mix_sources
+from pagemill.llm.quality import op8_quality_rules
 from pagemill.llm.substrings import OP10_SQL, op10_substring_dedup
 from pagemill.llm.urls import OP1_SQL, op1_url_filters
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_mix_sources": op3_mix_sources,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
 }
