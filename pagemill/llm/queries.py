@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagemill.llm.embeddings import op4_embedding_near_dedup
 from pagemill.llm.language import op9_language_id
 from pagemill.llm.minhash import op7_minhash_near_dedup
 from pagemill.llm.mixing import OP3_SQL, op3_mix_sources
@@ -12,6 +13,7 @@ from pagemill.llm.urls import OP1_SQL, op1_url_filters
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_mix_sources": op3_mix_sources,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
