@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from pagemill.llm.counts import OP6_SQL, op6_token_rollup
 from pagemill.llm.embeddings import op4_embedding_near_dedup
 from pagemill.llm.language import op9_language_id
+from pagemill.llm.licenses import op5_license_scan
 from pagemill.llm.minhash import op7_minhash_near_dedup
 from pagemill.llm.mixing import OP3_SQL, op3_mix_sources
+from pagemill.llm.packing import op2_best_fit_packing
 from pagemill.llm.quality import op8_quality_rules
 from pagemill.llm.substrings import OP10_SQL, op10_substring_dedup
 from pagemill.llm.urls import OP1_SQL, op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_mix_sources": op3_mix_sources,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op6_token_rollup": op6_token_rollup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
@@ -23,5 +29,6 @@ QUERIES = {
 ORACLES = {
     "op1_url_filters": OP1_SQL,
     "op3_mix_sources": OP3_SQL,
+    "op6_token_rollup": OP6_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
