@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
     by_fill = W.orderBy("fill", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     filled = weighted.withColumns({"ceiling": cap * F.col("source_size"), "fill": cap * F.col("source_size") / F.col("weight"), "total": share * F.sum("source_size").over(everything), "weights": F.sum("weight").over(everything)})
     level = (F.col("total") - F.coalesce(F.sum("ceiling").over(by_fill), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(by_fill), F.lit(0.0)))
-    levels = filled.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everything))
+    levels = filled.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everything))
     return levels.select("source", "source_size", F.least("ceiling", F.coalesce(F.col("level") * F.col("weight"), F.col("ceiling"))).alias("target"))
 
 
@@ -82,7 +82,7 @@ w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST)
 f AS (SELECT *, 2.0::DOUBLE * source_size AS ceiling, 2.0::DOUBLE * source_size / weight AS fill, 1.5::DOUBLE * sum(source_size) OVER () AS total, sum(weight) OVER () AS weights FROM w),
 l AS (SELECT *, (total - coalesce(sum(ceiling) OVER b, 0)) / (weights - coalesce(sum(weight) OVER b, 0)) AS lev FROM f
   WINDOW b AS (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(ceiling, coalesce(weight * min(CASE WHEN lev <= fill THEN lev END) OVER (), ceiling)) AS target FROM l),
+t AS (SELECT source, source_size, least(ceiling, coalesce(weight * max(CASE WHEN lev <= fill THEN lev END) OVER (), ceiling)) AS target FROM l),
 r AS (SELECT doc_id, size, source_size, target, coalesce(target / nullif(source_size, 0), 0) AS rate,
   CAST('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
