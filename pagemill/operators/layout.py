@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pagemill.functions.text import CONDITION_LABEL, DASH_RUN, NOTE_OPEN, SECTION_ID, strip, truthy
 
 PAGE = ["source_doc", "page_no"]
-_WORD = F.struct("top", "x0", "word_ord", "x1", "bottom", "text")
+_WORD = ("top", "x0", "word_ord", "x1", "bottom", "text")
 #: Words whose tops differ by less are on one printed line of a heading.
 _LINE = 6
 
@@ -65,7 +65,7 @@ def join_words(regions: pd.Series) -> pd.Series:
 
 def region_text(words: DataFrame, *keys: str) -> DataFrame:
     """One row for each page and further keys, with ``joined``, the text in reading order."""
-    return words.groupBy(*PAGE, *keys).agg(F.collect_list(_WORD).alias("_words")).withColumn("joined", join_words("_words")).drop("_words")
+    return words.groupBy(*PAGE, *keys).agg(F.collect_list(F.struct(*_WORD)).alias("_words")).withColumn("joined", join_words("_words")).drop("_words")
 
 
 def bands(anchors: DataFrame, bottom: str, *keys: str) -> DataFrame:

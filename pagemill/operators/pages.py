@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import ACTION_LABEL, CONNECTOR, TIME_START, clean_text, extract_note, is_optional, normalize_raw, references, strip, strip_bracket, strip_note, truthy
 from pagemill.operators.layout import PAGE, bands, column_of, condition_anchors, in_bands, note_spans, page_heads, page_regions, region_text
+from pagemill.sources.scratch import Scratch
 
 LAYOUT = {"col1_max": 220.0, "col2_max": 410.0, "header_margin": 95.0}
 
@@ -58,11 +59,18 @@ def action_anchors(actions: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def parse_pages(words: DataFrame, layout: dict = LAYOUT, overrides: DataFrame | None = None) -> DataFrame:
-    """One page record for each page with words."""
-    words = words.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("source_doc", F.coalesce("source_doc", F.lit(""))).repartition(*PAGE)
-    regions = page_regions(words, page_heads(words, layout, overrides))
+    """One page record for each page with words.
+
+    What several steps read (words with their regions, and their bands) is a table in the
+    shared folder, or the plan would hold each of them many times over.
+    """
+    scratch = Scratch(words.sparkSession, "pages")
+    words = scratch.table(words.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("source_doc", F.coalesce("source_doc", F.lit(""))).repartition(*PAGE))
+    heads = scratch.table(page_heads(words, layout, overrides))
+    regions = scratch.table(page_regions(words, heads))
     placed = words.drop("page_height").join(regions, PAGE)
     placed = placed.withColumn("col", column_of(F.col("x0"), F.col("col1_max"), F.col("col2_max"))).withColumn("line", F.bround("top"))
+    placed = scratch.table(placed)
 
     narrative = placed.where("top >= narr_top and top < narr_bottom")
     statement, applicability = statement_and_applicability(F.col("joined"))
@@ -76,7 +84,8 @@ def parse_pages(words: DataFrame, layout: dict = LAYOUT, overrides: DataFrame |
     cond_bands = cond_bands.select(*PAGE, F.col("band_top").alias("cond_top"), F.col("band_bottom").alias("cond_bottom"))
     whole = table.select(*PAGE, F.col("tbl_top").alias("cond_top"), F.col("tbl_bottom").alias("cond_bottom")).distinct().join(cond_bands.select(*PAGE).distinct(), PAGE, "left_anti")
     spans = cond_bands.withColumn("anchored", F.lit(True)).union(whole.withColumn("anchored", F.lit(False)))
-    banded = table.join(spans, PAGE).where("top >= cond_top and top < cond_bottom")
+    spans = scratch.table(spans)
+    banded = scratch.table(table.join(spans, PAGE).where("top >= cond_top and top < cond_bottom"))
 
     raw = region_text(banded.where("col = 'COND' and anchored"), "cond_top")
     cleaned = clean_text(F.col("joined"))
@@ -88,7 +97,7 @@ def parse_pages(words: DataFrame, layout: dict = LAYOUT, overrides: DataFrame |
 
     acts = banded.where("col = 'ACT'")
     anchors = action_anchors(acts, note_spans(table.where("col = 'ACT'")))
-    steps = bands(anchors, "cond_bottom", "cond_top")
+    steps = scratch.table(bands(anchors, "cond_bottom", "cond_top"))
     held = in_bands(acts, steps, "cond_top").withColumn("bare", strip_bracket(F.col("text")))
     first = held.where("bare <> ''").groupBy(*PAGE, "cond_top", "band_top").agg(F.min_by("bare", F.struct("line", "x0", "word_ord")).alias("first"))
     said = region_text(held, "cond_top", "band_top").withColumnRenamed("joined", "raw_act")
