@@ -52,7 +52,8 @@ def action_anchors(actions: DataFrame, notes: DataFrame) -> DataFrame:
     """Tops of labels and connectors outside notes, by condition band; ``[`` before a label anchors the label."""
     order = W.partitionBy(*PAGE, "cond_top").orderBy(F.bround("top"), "x0", "word_ord")
     words = actions.select(*PAGE, "cond_top", "cond_bottom", "text", "top", F.lead("text").over(order).alias("next"), F.lead("top").over(order).alias("next_top"))
-    outside = words.join(notes, (words.source_doc.eqNullSafe(notes.source_doc)) & (words.page_no == notes.page_no) & (words.top > notes.open) & (words.top < notes.close), "left_anti")
+    spans = notes.select(F.col("source_doc").alias("_doc"), F.col("page_no").alias("_page"), "open", "close")
+    outside = words.join(spans, (F.col("source_doc") == F.col("_doc")) & (F.col("page_no") == F.col("_page")) & (F.col("top") > F.col("open")) & (F.col("top") < F.col("close")), "left_anti")
     itself = F.col("text").rlike(ACTION_LABEL) | F.col("text").rlike(CONNECTOR)
     following = (F.col("text") == "[") & F.col("next").rlike(ACTION_LABEL)
     return outside.select(*PAGE, "cond_top", "cond_bottom", F.when(itself, F.col("top")).when(following, F.col("next_top")).alias("top")).where("top is not null")

@@ -59,7 +59,7 @@ def condition_blocks(items: DataFrame, texts: DataFrame) -> DataFrame:
     entry = F.struct("ord", "type", "label", "text", "ct", "note", "optional", "refs", "group", "alt", "connector")
     blocks = kept.groupBy("lco", "block").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list(entry)).alias("items"))
     blocks = blocks.withColumn("id", F.row_number().over(W.partitionBy("lco").orderBy("first")))
-    blocks = blocks.join(texts, (blocks.lco == texts.lco) & (blocks.block == texts.letter), "left").drop(texts.lco).drop("letter")
+    blocks = blocks.join(texts.withColumnRenamed("letter", "block"), ["lco", "block"], "left")
     blocks = blocks.withColumns({"text": F.coalesce("condition_text", F.lit("")), "optional": F.coalesce("condition_optional", F.lit(False)), "compound": F.coalesce("compound", F.lit(False))})
     acts = F.filter("items", lambda i: i["type"] == "action")
     numbered = F.transform(acts, lambda a, k: F.struct((k + 1).alias("id"), F.concat("lco", F.lit("/"), a["label"]).alias("gid"), a["label"].alias("label"), a["group"].alias("group"), a["alt"].alias("alt"), a["connector"].alias("connector"), a["optional"].alias("optional"), a["text"].alias("text"), truthy(a["ct"]).alias("completion_time"), a["note"].alias("note"), a["refs"].alias("refs")))
