@@ -1,50 +1,5 @@
-"""Tables between the steps of an operator, in the folder that the cluster shares.
+"""Tables between the steps of an operator (see ``pagemill.sources.scratch``)."""
 
-``spark.checkpoint.dir`` names that folder.  A table there cuts the lineage, survives the
-loss of executors, and tells the planner its size, so that joins with it are broadcast
-only when they are small.
-"""
+from pagemill.sources.scratch import Scratch, shared_folder
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only for a local session without any."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-pagemill-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-class Scratch:
-    """Writes tables and forgets those that are no longer needed."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.folder = f"{shared_folder(spark).rstrip('/')}/pagemill-{name}-{uuid.uuid4().hex}"
-        self._next = 0
-
-    def table(self, frame: DataFrame) -> DataFrame:
-        """Write ``frame`` and return it as read back."""
-        path = f"{self.folder}/{self._next}"
-        self._next += 1
-        frame.write.parquet(path)
-        out = self.spark.read.schema(frame.schema).parquet(path)
-        out.pagemill_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables of this scratch that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table.pagemill_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "shared_folder"]

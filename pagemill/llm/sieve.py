@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BITS = 1 << 27
 _CHUNK_BITS = 1 << 19
@@ -72,3 +73,22 @@ def build_sieve(keys: DataFrame, column: str):
     for row in rows:
         whole[row.chunk * (chunk // 8) : (row.chunk + 1) * (chunk // 8)] |= np.frombuffer(row.bits, np.uint8)
     return spark.sparkContext.broadcast(whole)
+
+
+def without_ids(frame: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is not among the ids of ``gone``; rows that pass the sieve alone are shuffled."""
+    sieve_bits = build_sieve(gone.select(F.xxhash64(column).alias("k")), "k")
+    width = len(frame.columns)
+
+    def mark(batches):
+        import pyarrow as pa
+
+        sieve = Sieve(sieve_bits.value)
+        for batch in batches:
+            hit = sieve.passes(batch.column(width).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(hit)], names=[*frame.columns, "_hit"])
+
+    schema = T.StructType([*frame.schema.fields, T.StructField("_hit", T.BooleanType())])
+    marked = frame.withColumn("_k", F.xxhash64(column)).mapInArrow(mark, schema)
+    rest = marked.where("_hit").drop("_hit").join(gone.select(column).distinct(), column, "left_anti")
+    return marked.where("not _hit").drop("_hit").unionByName(rest)
