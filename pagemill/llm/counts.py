@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +40,6 @@ COUNTERS = {"words-1": word_count, "pre-1": pre_tokens}
 
 def vocabulary_counter(path: str, pattern: str):
     """Counter by the ranks file of a public byte-level vocabulary, encoding Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         import base64
