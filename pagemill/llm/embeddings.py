@@ -8,8 +8,9 @@ A vector can be linked only to vectors within a radius r, r * r = 2 - 2 * thresh
 distance from a half to the border between its own code and another bounds from below the
 distance to anything filed under that other code, and the squares of both halves add up.
 The multi-sequence traversal visits the cells of the grid in the order of that sum, and
-ends when the sum passes r * r: then nothing that could be linked is left, so the recall
-target is 1.
+ends when the sum passes r * r: then nothing that could be linked is left, and the recall
+is 1.  With a lower ``target_recall`` it ends where that share of the sample's own links
+had been found, each link counted at the bound of its partner's cell.
 
 The vectors of a cell are packed into blocks of about ``BLOCK``, which traverse the grid
 together, by the least bounds of their vectors.  A pair of blocks that a visit joins is
@@ -36,7 +37,7 @@ from pagemill.llm.blocks import forest
 from pagemill.llm.components import connected_components
 from pagemill.llm.scratch import Scratch
 
-THRESHOLD, SAMPLE, MAX_CODES, BLOCK = 0.95, 20_000, 256, 256
+THRESHOLD, SAMPLE, MAX_CODES, BLOCK = 0.95, 20_000, 256, 2048
 
 
 def fit_codebook(halves: np.ndarray, codes: int, rounds: int = 12) -> np.ndarray:
@@ -88,7 +89,21 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD, max_codes: int = MAX_CODES, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def traversal_end(drawn: np.ndarray, one: np.ndarray, two: np.ndarray, threshold: float, recall: float) -> float:
+    """The bound within which the given share of the sample's links lies; infinite without links."""
+    half, found = one.shape[1], []
+    cell1, cell2 = distances(drawn[:, :half], one).argmin(axis=1), distances(drawn[:, half:], two).argmin(axis=1)
+    for a in range(0, len(drawn), 1000):
+        part = drawn[a : a + 1000]
+        i, j = np.nonzero(part @ drawn.T >= threshold)
+        own = i + a != j
+        low = border_bounds(part[:, :half], one)[i[own], cell1[j[own]]] + (border_bounds(part[:, half:], two)[i[own], cell2[j[own]]] if two.shape[1] else 0)
+        found.append(low)
+    found = np.concatenate(found)
+    return float(np.quantile(found, recall)) if len(found) else np.inf
+
+
+def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD, max_codes: int = MAX_CODES, sample: int = SAMPLE, block: int = BLOCK, target_recall: float = 1.0) -> DataFrame:
     """One row for each vector: its id, ``n_links``, ``component_id`` and ``kept``."""
     import pyarrow as pa
 
@@ -112,24 +127,30 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     drawn = unit(np.array([r.v for r in (drawn or classes.limit(1).collect())]))
     drawn = drawn[np.lexsort(drawn.T)]
     half, codes = (n + 1) // 2, min(max_codes, max(2, int(np.ceil(np.sqrt(total / block)))))
-    books = spark.sparkContext.broadcast((fit_codebook(drawn[:, :half], codes), fit_codebook(drawn[:, half:], codes) if n > half else np.zeros((1, 0))))
+    first, second = fit_codebook(drawn[:, :half], codes), fit_codebook(drawn[:, half:], codes) if n > half else np.zeros((1, 0))
+    books = spark.sparkContext.broadcast((first, second))
     most = max(0.0, 2 - 2 * threshold) + 1e-9
+    if target_recall < 1:
+        most = min(most, traversal_end(drawn, first, second, threshold, target_recall) + 1e-9)
+    single = vectors.schema[vector_column].dataType.elementType.simpleString() == "float"
+    stored = np.float32 if single else np.float64  # what the input holds, so nothing is lost
 
     def file_away(batches):
         one, two = books.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n))
+            raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n)
+            x = unit(raw)
             cell = distances(x[:, :half], one).argmin(axis=1) * len(two) + distances(x[:, half:], two).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cell.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "times", "cell", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cell.astype(np.int32)), pa.array([r.tobytes() for r in raw.astype(stored)], pa.binary())], names=["node", "times", "cell", "x"])
 
     def traverse(batches):
         one, two = books.value
         for batch in batches:
             visits = []
             for r in range(batch.num_rows):
-                x = np.frombuffer(b"".join(batch.column(2).slice(r, 1).flatten().field("x").to_pylist()), np.float64).reshape(-1, n)
+                x = unit(np.frombuffer(b"".join(batch.column(2).slice(r, 1).flatten().field("x").to_pylist()), stored).reshape(-1, n))
                 low1, low2 = border_bounds(x[:, :half], one).min(axis=0), border_bounds(x[:, half:], two).min(axis=0)
                 visits.append([i * len(two) + j for i, j in multi_sequence(low1, low2, most)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(visits, pa.list_(pa.int32()))], names=["cell", "b", "rows", "visits"])
@@ -149,7 +170,7 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     def verify(batches):
         def block_of(column):
             flat = column.flatten()
-            return np.diff(column.offsets.to_numpy()), flat.field("node").to_pylist(), flat.field("times").to_numpy(), np.frombuffer(b"".join(flat.field("x").to_pylist()), np.float64).reshape(len(flat), n)
+            return np.diff(column.offsets.to_numpy()), flat.field("node").to_pylist(), flat.field("times").to_numpy(), unit(np.frombuffer(b"".join(flat.field("x").to_pylist()), stored).reshape(len(flat), n))
 
         for batch in batches:
             for r in range(batch.num_rows):
