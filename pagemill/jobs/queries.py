@@ -213,6 +213,28 @@ def action_records(spark, sf_dir):
     return rows.select("id", "metadata.condition_id", "metadata.action_id", "metadata.connector", "content.logic", F.md5("content.body").alias("body_md5"))
 
 
+_ACTIONS = f"""WITH {_HEADED}, n AS (SELECT a.*, l_linenumber % 3 AS g, row_number() OVER (PARTITION BY lco, letter ORDER BY k) AS aid FROM a),
+names AS (SELECT lco, letter, g, string_agg(label, ', ' ORDER BY f) AS names FROM (SELECT lco, letter, g, label, min(aid) AS f FROM n GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT lco, letter, g, min(aid) AS f, arg_min(coalesce(connector, ''), aid) AS edge FROM n GROUP BY ALL),
+o AS (SELECT m.*, '{{' || names || '}}' AS names, row_number() OVER (PARTITION BY lco, letter ORDER BY f) AS p FROM m JOIN names USING (lco, letter, g)),
+e AS (SELECT r.lco, r.letter, r.p, l.names AS ln, r.names AS rn, r.edge FROM o r JOIN o l ON r.lco = l.lco AND r.letter = l.letter AND l.p = r.p - 1 WHERE r.edge <> ''),
+sib AS (SELECT lco, letter, aid, CASE WHEN sum(c) = 1 THEN min(label) ELSE '{{' || string_agg(label, ', ' ORDER BY f) || '}}' END AS sib FROM (SELECT x.lco, x.letter, x.aid, y.label, min(y.aid) AS f, count(*) AS c
+  FROM n x JOIN n y ON x.lco = y.lco AND x.letter = y.letter AND x.g = y.g AND x.aid <> y.aid GROUP BY ALL) GROUP BY ALL),
+w AS (SELECT lco, letter, g, string_agg(connector, '/' ORDER BY q) AS within FROM (SELECT n.lco, n.letter, n.g, connector, min(aid) AS q FROM n JOIN m ON n.lco = m.lco AND n.letter = m.letter AND n.g = m.g WHERE aid > m.f AND connector IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+c AS (SELECT n.lco, n.letter, n.aid, string_agg('the group ' || CASE WHEN o.p = e.p THEN rn || ' is joined with ' || ln ELSE ln || ' is joined with ' || rn END || ' by ' || e.edge, '; ' ORDER BY least(abs(o.p - e.p + 1), abs(o.p - e.p)), e.p) AS clauses
+  FROM n JOIN o ON n.lco = o.lco AND n.letter = o.letter AND n.g = o.g JOIN e ON e.lco = n.lco AND e.letter = n.letter GROUP BY ALL),
+l AS (SELECT n.*, CASE WHEN coalesce(label || ' is joined with ' || sib || ' by ' || within, clauses) IS NOT NULL THEN 'Logic: ' || concat_ws('; ', label || ' is joined with ' || sib || ' by ' || within, clauses) || '.' END AS logic
+  FROM n LEFT JOIN sib USING (lco, letter, aid) LEFT JOIN w USING (lco, letter, g) LEFT JOIN c USING (lco, letter, aid))
+SELECT lco || '/' || label AS id, b.id AS condition_id, CAST(aid AS INTEGER) AS action_id, connector, logic, md5(concat_ws(' ', head, app, 'Condition ' || letter || ': ' || b.text || '.',
+  'Required Action ' || label || ': ' || said || coalesce(' Note: ' || note || '.', '') || ' Completion Time: ' || coalesce(ct, 'None') || '.' || coalesce(' See ' || ref || '.', ''), logic)) AS body_md5 FROM l JOIN b USING (lco, letter) JOIN h USING (lco)
+UNION ALL SELECT lco || '/LCO', NULL, NULL, NULL, NULL, md5(concat_ws(' ', head, app, regexp_replace(lco_stmt, '\\(NOTE:.*?\\)\\s*', '') || ' Note: first.')) FROM h WHERE lco_stmt IS NOT NULL"""
+_OUTLINE = f"""WITH {_HEADED}, i AS (SELECT lco, letter AS block, k, 1 AS w, '  ' || label || ' ' || coalesce('(NOTE: ' || note || ') ', '') || said || coalesce('  [CT] ' || ct, '') AS line FROM a
+  UNION ALL SELECT CAST(l_orderkey AS VARCHAR), before, k, 0, '  ' || lnk FROM ({_LINES}) WHERE k > 1 AND lnk IS NOT NULL),
+j AS (SELECT lco, block, string_agg(line, chr(10) ORDER BY k, w) AS items FROM i GROUP BY lco, block),
+t AS (SELECT lco, string_agg('CONDITION ' || block || ': ' || text || chr(10) || items, chr(10) || chr(10) ORDER BY id) AS body FROM j JOIN b USING (lco) WHERE j.block = b.letter GROUP BY lco)
+SELECT lco, md5(concat_ws(chr(10), title, lco_stmt, 'APPLICABILITY: ' || applicability, '', body)) AS outline FROM h JOIN t USING (lco)"""
+
+
 def smoke_questions(spark, sf_dir):
     """The feature is a sample of the first questions."""
     p = _pages(spark, sf_dir)
@@ -440,7 +462,7 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLES = {
     "fixed_chunks": _ROWS.format(_FIXED), "sliding_chunks": _ROWS.format(_SLIDING), "chunk_statistics": _CHUNK_STATISTICS, "cleaned_texts": _CLEANED, "word_offsets": _WORD_OFFSETS, "match_texts": _MATCHED,
-    "section_merge": _SECTIONS, "connector_attach": _CONNECTORS, "condition_blocks": _BLOCKS, "condition_records": _CONDITIONS, "smoke_questions": _SMOKE, "evidence_from_text": _EVIDENCE, "label_parts": _LABEL_PARTS,
+    "section_merge": _SECTIONS, "connector_attach": _CONNECTORS, "condition_blocks": _BLOCKS, "condition_records": _CONDITIONS, "action_records": _ACTIONS, "section_outline": _OUTLINE, "smoke_questions": _SMOKE, "evidence_from_text": _EVIDENCE, "label_parts": _LABEL_PARTS,
     "completion_times": _TIMES, "page_bands": _BANDS, "note_spans": _NOTES, "pilot_structure": _PILOT_STRUCTURE, "pilot_distance": _PILOT_DISTANCE, "dense_topk": f"SELECT query_id, vec_id, rank, round(score, 6) AS score FROM ({_NEAREST})",
     "label_agreement": _AGREEMENT, "retrieval_runs": _RETRIEVED, "rag_prompts": _PROMPTS, "eval_details": _DETAILS, "eval_details_by_ids": _IDS, "eval_summary": _SUMMARY, "eval_diagnostics": _DIAGNOSTICS,
 }
