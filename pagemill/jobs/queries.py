@@ -307,6 +307,16 @@ def parsed_pages(spark, sf_dir):
     return rows.select("page_no", "lco", "title", "lco_stmt", "applicability", F.size("cond_bands").alias("n_conditions"), F.size("act_items").alias("n_items"), F.array_join(F.transform("act_items", lambda i: F.coalesce(i["label"], i["text"])), " ").alias("labels"), F.array_join(F.transform("act_items", lambda i: F.coalesce(i["ct"], F.lit("-"))), "; ").alias("times"), F.md5("raw_text").alias("raw_md5"))
 
 
+_PARSED = f"""WITH a AS (SELECT l_orderkey, k, letter, letter || '.' || l_linenumber AS label, l_partkey, CAST(l_quantity AS INTEGER) || ' hours' AS ct, l_returnflag = 'A' AS linked, (k - 1) // 3 AS band FROM ({_LINES})),
+i AS (SELECT l_orderkey, k, 1 AS w, label, ct, label || ' Restore ' || l_partkey AS words, band FROM a UNION ALL SELECT l_orderkey, k, 0, 'AND', '-', 'AND', (k - 2) // 3 FROM a WHERE linked AND k > 1),
+acts AS (SELECT l_orderkey, band, string_agg(words, ' ' ORDER BY k, w) AS acts FROM i GROUP BY 1, 2),
+cells AS (SELECT l_orderkey, band, max(letter) FILTER (k % 3 = 1) || '. late' AS cond, string_agg(ct, ' ' ORDER BY k) AS times FROM a GROUP BY 1, 2),
+raws AS (SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n_conditions, string_agg(cond || ' ' || acts || ' ' || times, ' ' ORDER BY band) AS raw FROM cells JOIN acts USING (l_orderkey, band) GROUP BY 1),
+items AS (SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n_items, string_agg(label, ' ' ORDER BY k, w) AS labels, string_agg(ct, '; ' ORDER BY k, w) AS times FROM i GROUP BY 1)
+SELECT CAST(l_orderkey AS INTEGER) AS page_no, '3.4.' || (l_orderkey % 90 + 10) AS lco, 'Order table' AS title, 'LCO 3.4.' || (l_orderkey % 90 + 10) || ' holds' AS lco_stmt, 'MODE 1' AS applicability, n_conditions, n_items, labels, times,
+  md5('LCO 3.4.' || (l_orderkey % 90 + 10) || ' holds APPLICABILITY: MODE 1 ACTIONS ' || raw) AS raw_md5 FROM raws JOIN items USING (l_orderkey)"""
+
+
 def page_bands(spark, sf_dir):
     """Condition bands of each page and the words in them by column."""
     words = _placed(spark, sf_dir).withColumn("col", layout.column_of(F.col("x0"), F.lit(220), F.lit(410))).withColumn("end", F.lit(2000.0)).where("top > 200")
@@ -463,6 +473,6 @@ QUERIES = {f.__name__: f for f in (
 ORACLES = {
     "fixed_chunks": _ROWS.format(_FIXED), "sliding_chunks": _ROWS.format(_SLIDING), "chunk_statistics": _CHUNK_STATISTICS, "cleaned_texts": _CLEANED, "word_offsets": _WORD_OFFSETS, "match_texts": _MATCHED,
     "section_merge": _SECTIONS, "connector_attach": _CONNECTORS, "condition_blocks": _BLOCKS, "condition_records": _CONDITIONS, "action_records": _ACTIONS, "section_outline": _OUTLINE, "smoke_questions": _SMOKE, "evidence_from_text": _EVIDENCE, "label_parts": _LABEL_PARTS,
-    "completion_times": _TIMES, "page_bands": _BANDS, "note_spans": _NOTES, "pilot_structure": _PILOT_STRUCTURE, "pilot_distance": _PILOT_DISTANCE, "dense_topk": f"SELECT query_id, vec_id, rank, round(score, 6) AS score FROM ({_NEAREST})",
+    "completion_times": _TIMES, "parsed_pages": _PARSED, "page_bands": _BANDS, "note_spans": _NOTES, "pilot_structure": _PILOT_STRUCTURE, "pilot_distance": _PILOT_DISTANCE, "dense_topk": f"SELECT query_id, vec_id, rank, round(score, 6) AS score FROM ({_NEAREST})",
     "label_agreement": _AGREEMENT, "retrieval_runs": _RETRIEVED, "rag_prompts": _PROMPTS, "eval_details": _DETAILS, "eval_details_by_ids": _IDS, "eval_summary": _SUMMARY, "eval_diagnostics": _DIAGNOSTICS,
 }
