@@ -78,6 +78,7 @@ def build_sieve(keys: DataFrame, column: str):
 def without_ids(frame: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` is not among the ids of ``gone``; rows that pass the sieve alone are shuffled."""
     sieve_bits = build_sieve(gone.select(F.xxhash64(column).alias("k")), "k")
+    names = [*frame.columns, "_hit"]
     width = len(frame.columns)
 
     def mark(batches):
@@ -86,7 +87,7 @@ def without_ids(frame: DataFrame, gone: DataFrame, column: str) -> DataFrame:
         sieve = Sieve(sieve_bits.value)
         for batch in batches:
             hit = sieve.passes(batch.column(width).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(hit)], names=[*frame.columns, "_hit"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(hit)], names=names)
 
     schema = T.StructType([*frame.schema.fields, T.StructField("_hit", T.BooleanType())])
     marked = frame.withColumn("_k", F.xxhash64(column)).mapInArrow(mark, schema)
