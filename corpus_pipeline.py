@@ -16,6 +16,7 @@ from pagemill.llm.minhash import near_duplicates
 from pagemill.llm.mixing import emit, mix
 from pagemill.llm.packing import pack_words
 from pagemill.llm.scratch import Scratch
+from pagemill.llm.sieve import without_ids
 from pagemill.llm.substrings import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,10 +31,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each near-duplicate component (operator 7, five-word shingles)."""
     docs = docs.select(COLUMNS)
     rows = Scratch(spark, "stage").table(near_duplicates(docs).select("doc_id", "kept"))
-    stays = docs.join(rows.where("kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    if not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        stays = stays.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
-    return stays.select(COLUMNS).union(docs.where("doc_id is null"))
+    by_id = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    stays = without_ids(docs, by_id.where("not kept").select("doc_id"), "doc_id")
+    if by_id.where("n > 1").isEmpty():
+        return stays
+    once = stays.where("doc_id is not null").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
+    return once.select(COLUMNS).union(stays.where("doc_id is null"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
