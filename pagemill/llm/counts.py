@@ -54,9 +54,15 @@ def vocabulary_counter(path: str, pattern: str):
     return count
 
 
-def signed(documents: DataFrame, sign: int, tokenizer: str, text_column: str = "text") -> DataFrame:
-    """Changes that insert (+1) or delete (-1) ``documents`` as counted by a tokenizer."""
-    return documents.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(sign).cast("long").alias("sign"), COUNTERS[tokenizer](F.col(text_column)).alias("tokens"), F.coalesce(F.length(text_column), F.lit(0)).cast("long").alias("characters"))
+def counted(documents: DataFrame, tokenizers: tuple[str, ...], text_column: str = "text", *extra: str) -> DataFrame:
+    """Rows with their counts instead of their texts, so that later joins do not move texts."""
+    counts = [COUNTERS[t](F.col(text_column)).alias(f"tokens_{t}") for t in tokenizers]
+    return documents.select("source", "lang", *extra, *counts, F.coalesce(F.length(text_column), F.lit(0)).cast("long").alias("characters"))
+
+
+def signed(rows: DataFrame, sign: int, tokenizer: str) -> DataFrame:
+    """Changes that insert (+1) or delete (-1) counted rows."""
+    return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(sign).cast("long").alias("sign"), F.col(f"`tokens_{tokenizer}`").alias("tokens"), "characters")
 
 
 class Rollup:
@@ -118,18 +124,18 @@ def op6_token_rollup(spark, sf_dir: str) -> DataFrame:
     Inserts by words; deletes of the later copies of equal texts; a tokenizer version added
     for what is left; a revision of the language of rows without one.
     """
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("digest", F.md5("text"))
     store = Rollup(spark, Scratch(spark, "rollup").folder)
-    digest = F.md5("text")
-    first = documents.where("text is not null").groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    rows = counted(documents, ("words-1", "pre-1"), "text", "doc_id", "digest")
+    first = documents.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     first = Scratch(spark, "copies").table(first)
-    later = documents.withColumn("digest", digest).join(first, "digest").where("doc_id > first")
-    store.commit("1-insert", signed(documents, 1, "words-1"))
+    later = Scratch(spark, "later").table(rows.join(first, "digest").where("doc_id > first"))
+    store.commit("1-insert", signed(rows, 1, "words-1"))
     store.commit("2-delete", signed(later, -1, "words-1"))
-    store.commit("1-insert", signed(documents, 1, "words-1"))
-    store.commit("3-pre", signed(documents, 1, "pre-1").unionByName(signed(later, -1, "pre-1")))
+    store.commit("1-insert", signed(rows, 1, "words-1"))
+    store.commit("3-pre", signed(rows, 1, "pre-1").unionByName(signed(later, -1, "pre-1")))
     store.compact()
-    unknown = documents.where("lang is null")
+    unknown = rows.where("lang is null")
     store.commit("4-language", signed(unknown, -1, "pre-1").unionByName(signed(unknown.withColumn("lang", F.lit("und")), 1, "pre-1")))
     return store.totals()
 

@@ -95,6 +95,7 @@ def test_dice_of_whole_texts_is_exact(spark):
 
 def test_rollup(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, "c", None, None), (3, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    docs = counts.counted(docs, ("words-1", "pre-1"), "text", "doc_id")
     store = counts.Rollup(spark, str(tmp_path / "store"))
     totals = lambda: {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens, r.characters) for r in store.totals().collect()}
     assert totals() == {}
