@@ -108,7 +108,7 @@ def repeated_ranges(texts: DataFrame, scratch: Scratch, window: int, anchor: int
     extensions = scratch.table(found.groupBy("g", "e1", "e2").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("one")))
     whole_repeats = found.join(extensions.where("n >= 2").select("g", "e1", "e2"), ["g", "e1", "e2"]).select("key", "start", "last")
 
-    several = extensions.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds >= 2").select("g")
+    several = scratch.table(extensions.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds >= 2").select("g"))
     opened = scratch.table(extensions.join(several, "g").select(F.expr("e1 ^ one.key ^ shiftleft(cast(one.start as bigint), 32) ^ cast(one.start as bigint)").alias("o")))
     occurrence_sieve = build_sieve(opened, "o")
 
