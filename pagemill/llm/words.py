@@ -98,7 +98,7 @@ class Batch:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def slices(sizes: list[int], limit: int = 2_000_000) -> list[tuple[int, int]]:
+def slices(sizes: list[int], limit: int = 500_000) -> list[tuple[int, int]]:
     """Ranges of rows whose sizes sum to about ``limit``, so that memory does not follow the batch."""
     out, begin, held = [], 0, 0
     for i, n in enumerate(sizes):
