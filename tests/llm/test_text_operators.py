@@ -178,6 +178,34 @@ def test_language(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items() if i is not None)
 
 
+FOREIGN = ["quella signora anziana porta sempre", "wczoraj kupiliśmy nowy samochód oraz rower", "hän juoksee metsässä joka aamu", "эта старая женщина всегда приходит", "zij fietsen iedere ochtend naar", "flickan köpte många böcker igår kväll därför"]
+
+
+def test_no_row_sets_the_limit_of_a_language(spark):
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(5))
+    spare = [r[0] for r in spark.range(5000, 5100).select(F.col("id").alias("doc_id")).where(draw == 0).collect()]
+    frame = labelled(spark)
+    odd = [" ".join(GERMAN * 3), " ".join(FOREIGN * 3)]
+    planted = spark.createDataFrame([(i, t, "en") for i, t in zip(spare, odd, strict=False)], frame.schema)
+    plain, mixed = language.train(frame), language.train(frame.union(planted))
+    assert mixed.limit.tolist() == plain.limit.tolist() == [language.REJECT_Z] * 2
+    short = spark.createDataFrame([(i, t, None) for i, t in enumerate([*FOREIGN, "the cat sat on the mat"])], frame.schema)
+    rejected = {r.doc_id: r.rejected for r in language.identify(short, mixed).collect()}
+    assert rejected == {**dict.fromkeys(range(len(FOREIGN)), True), len(FOREIGN): False}
+
+
+def test_limits_do_not_grow_with_the_sample():
+    import pandas as pd
+
+    model = language.Model({"en": {"\x02\x02\x02a": 1}}, 4)
+    limits = []
+    for n in (400, 4000, 40_000):
+        mean = 2 + 0.05 * np.random.default_rng(0).standard_t(3, n)
+        language.calibrate(model, 0, pd.DataFrame({"mean": mean, "within": 4.0, "n": 4000.0}))
+        limits.append(model.limit[0])
+    assert max(limits) < 1.3 * min(limits)
+
+
 def test_language_without_labels(spark):
     frame = labelled(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language.fit_and_identify(frame).collect()} == {"und"}
