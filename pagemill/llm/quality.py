@@ -7,9 +7,15 @@ characters per token, the share of byte-fallback tokens, and the entropy of the
 distribution in bits.  A document whose measures leave the bands of its language is
 rejected; without a known language the bands of its main script hold.
 
+Bands come from the documents themselves: of every language, and of every script, the 5%
+and 95% quantiles over all documents that pass the base rules, widened by a ``MARGINS``
+part of the median (for byte shares, of 1).  They never pass the fixed ``BANDS``, which
+also hold where a group has fewer than ``GROUP_ROWS`` rows.
+
 Base rules: at least 50 words, and at most half of the words in repeated 3-word windows.
 
-Everything about a document is computed in its own row, so there is no shuffle.
+Measures of a document are computed in its own row.  Quantiles are exact over rounded
+measures, from counts by group and value, so only counts are shuffled and reruns agree.
 
 Defined results: null, empty and blank texts have zero counts, null measures, and fail the
 base rules; lines are parts between \\n, and a repeated line counts only if it has a word.
@@ -19,20 +25,28 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.llm.scratch import Scratch
 from pagemill.llm.words import Batch, RunHashes, binary_values, mix64, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: (least, most) characters per token; most byte-fallback share; least entropy in bits.
-#: By language, else by script.  Set wide of what prose shows, to reject only what a
-#: vocabulary cannot read as that language.
+#: By language, else by script: outer bounds of the bands that documents yield.
 BANDS = {
-    "en": (1.3, 6.5, 0.20, 3.0), "de": (1.3, 6.5, 0.20, 3.0), "es": (1.3, 6.5, 0.20, 3.0), "fr": (1.3, 6.5, 0.20, 3.0),
+    # random letters show 1.5 to 1.6 characters per token
+    "en": (1.6, 6.5, 0.20, 3.0), "de": (1.6, 6.5, 0.20, 3.0), "es": (1.6, 6.5, 0.20, 3.0), "fr": (1.6, 6.5, 0.20, 3.0),
     "latin": (1.2, 7.0, 0.30, 3.0), "cyrillic": (0.9, 6.0, 0.30, 3.0), "greek": (0.6, 5.0, 0.50, 3.0),
-    "other": (0.2, 7.0, 1.00, 3.0),
+    # text in bytes alone shows 0.8 and more, as words have a space mark
+    "other": (0.2, 7.0, 0.75, 3.0),
 }
+#: Widths beyond the 5% and 95% quantiles, as parts of the median or, for byte shares, of 1.
+MARGINS = {"chars_per_token": 0.10, "byte_share": 0.10, "token_entropy": 0.15}
+#: Least rows of a group with bands of its own; most languages with such, the largest ones.
+GROUP_ROWS, MOST_LANGUAGES = 50, 256
+_MEASURES = {"chars_per_token": 100, "byte_share": 1000, "token_entropy": 100}
 _STORE_LIMIT = 500_000
 _ADDED = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("chars_per_token", T.DoubleType()), ("byte_share", T.DoubleType()), ("token_entropy", T.DoubleType()), ("kept", T.BooleanType())]
 
@@ -127,11 +141,11 @@ def script_of(text: bytes | None) -> str:
     return max((("latin", latin), ("greek", greek), ("cyrillic", cyrillic), ("other", other)), key=lambda x: x[1])[0]
 
 
-def judge(documents: DataFrame, text_column: str = "text", lang_column: str = "lang", vocabulary: str = VOCABULARY, bands: dict = BANDS) -> DataFrame:
-    """``documents`` with counts, measures, ``base_failed`` and ``kept``; columns of those names are replaced."""
-    documents = documents.drop(*(name for name, _ in _ADDED))
-    at, lang_at, width = documents.columns.index(text_column), documents.columns.index(lang_column), len(documents.columns)
-    fields = [*documents.schema.fields, *(T.StructField(*x) for x in _ADDED)]
+def measure(documents: DataFrame, text_column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``documents`` with counts, measures, ``base_failed`` and ``_script``; columns of those names are replaced."""
+    documents = documents.drop("_script", *(name for name, _ in _ADDED))
+    at, width = documents.columns.index(text_column), len(documents.columns)
+    fields = [*documents.schema.fields, *(T.StructField(*x) for x in _ADDED[:-1]), T.StructField("_script", T.StringType())]
 
     def rows(batches):
         import pyarrow as pa
@@ -153,19 +167,65 @@ def judge(documents: DataFrame, text_column: str = "text", lang_column: str = "l
                 total, fallback, entropy = fertility.measure(batch, data)
                 some = total > 0
                 per_token, share = word_chars / np.maximum(total, 1), fallback / np.maximum(total, 1)
-                lang = part.column(lang_at).to_pylist()
-                own = np.array([bands.get(v) or bands[script_of(t)] for v, t in zip(lang, texts, strict=True)])
-                kept = ~failed & (per_token >= own[:, 0]) & (per_token <= own[:, 1]) & (share <= own[:, 2]) & (entropy >= own[:, 3])
                 columns = [n, word_chars, symbols[ends] - symbols[batch.bytes_before], np.fromiter(map(repeated_lines, texts), np.int64, y - x), repeated]
                 yield pa.RecordBatch.from_arrays([
                     *(part.column(k) for k in range(width)), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(failed),
-                    *(pa.array(c, mask=~some) for c in (per_token, share, entropy)), pa.array(kept),
+                    *(pa.array(c, mask=~some) for c in (per_token, share, entropy)), pa.array([script_of(t) for t in texts], pa.string()),
                 ], names=[f.name for f in fields])
 
     return documents.mapInArrow(rows, T.StructType(fields))
 
 
+def _band(counts) -> tuple[float, float, float, float]:
+    """Band of a group by its counts (measure, value, n)."""
+    at = {}
+    for name, own in counts.groupby("measure"):
+        own = own.sort_values("value")
+        total, value = own["n"].cumsum().to_numpy(), own["value"].to_numpy()
+        at[name] = [value[np.searchsorted(total, q * total[-1])] / _MEASURES[name] for q in (0.05, 0.5, 0.95)]
+
+    tokens, entropy = at["chars_per_token"], at["token_entropy"]
+    width = {m: MARGINS[m] * (1.0 if m == "byte_share" else at[m][1]) for m in at}
+    return (tokens[0] - width["chars_per_token"], tokens[2] + width["chars_per_token"], at["byte_share"][2] + width["byte_share"], entropy[0] - width["token_entropy"])
+
+
+def fit_bands(measured: DataFrame, lang_column: str = "lang", bands: dict = BANDS) -> tuple[dict, dict]:
+    """Bands by language and by script, from all rows of ``measured`` that pass the base rules."""
+    some = measured.where(F.expr("not base_failed and token_entropy is not null"))
+    values = F.array(*(F.struct(F.lit(m).alias("measure"), F.least(F.round(F.col(m) * steps), F.lit(100_000)).cast("long").alias("value")) for m, steps in _MEASURES.items()))
+    counts = some.select(F.col(lang_column).alias("lang"), F.col("_script").alias("script"), F.explode(values).alias("v")).groupBy("lang", "script", "v.measure", "v.value").agg(F.count("*").alias("n"))
+    counts = Scratch(measured.sparkSession, "quality").table(counts)
+    out = []
+    for kind, most in (("lang", MOST_LANGUAGES), ("script", 4)):
+        large = counts.where(F.col(kind).isNotNull() & (F.col("measure") == "byte_share")).groupBy(kind).agg(F.sum("n").alias("rows")).where(F.col("rows") >= GROUP_ROWS).orderBy(F.desc("rows"), kind).limit(most)
+        own = counts.join(F.broadcast(large.select(kind)), kind).groupBy(kind, "measure", "value").agg(F.sum("n").alias("n")).toPandas()
+        found = {name: _band(rows) for name, rows in own.groupby(kind)}
+        for name, (low, high, share, entropy) in found.items():
+            outer = bands.get(name, (0.0, np.inf, bands["other"][2], 0.0))
+            found[name] = (max(low, outer[0]), min(high, outer[1]), min(share, outer[2]), max(entropy, outer[3]))
+        out.append({**bands, **found})
+    return out[0], out[1]
+
+
+def judge(documents: DataFrame, text_column: str = "text", lang_column: str = "lang", vocabulary: str = VOCABULARY, bands: dict = BANDS, with_text: bool = True) -> DataFrame:
+    """``documents`` with counts, measures, ``base_failed`` and ``kept``; columns of those names are replaced."""
+    spark = documents.sparkSession
+    measured = measure(documents, text_column, vocabulary)
+    measured = Scratch(spark, "measured").table(measured if with_text else measured.drop(text_column))
+    edges = ("_low", "_high", "_share", "_entropy")
+    scripts = {"latin", "cyrillic", "greek", "other"}
+    by_lang, by_script = fit_bands(measured, lang_column, bands)
+    frames = []
+    for kind, found in (("lang", {k: v for k, v in by_lang.items() if k not in scripts}), ("script", {k: v for k, v in by_script.items() if k in scripts})):
+        schema = f"{kind}_key string, " + ", ".join(f"{kind}{e} double" for e in edges)
+        frames.append(F.broadcast(spark.createDataFrame([(k, *map(float, v)) for k, v in sorted(found.items())], schema)))
+    joined = measured.join(frames[0], F.col(lang_column) == F.col("lang_key"), "left").join(frames[1], F.col("_script") == F.col("script_key"), "left")
+    low, high, share, entropy = (F.coalesce(F.col(f"lang{e}"), F.col(f"script{e}")) for e in edges)
+    inside = F.col("chars_per_token").between(low, high) & (F.col("byte_share") <= share) & (F.col("token_entropy") >= entropy)
+    return joined.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False))).select(*(c for c in measured.columns if c != "_script"), "kept")
+
+
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Contract query over all ``documents``."""
-    out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+    out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"), with_text=False)
     return out.select("doc_id", *(name for name, _ in _ADDED))

@@ -139,6 +139,18 @@ def test_quality(spark):
     assert quality.judge(frame.limit(0)).count() == 0
 
 
+def test_bands_come_from_the_documents(spark):
+    rng = np.random.default_rng(5)
+    prose = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = lambda letters, size, n: " ".join("".join(rng.choice(list(letters), size)) for _ in range(n))
+    rows = [(-1 - i, junk(letters, size, 300), lang) for i, (letters, size, lang) in enumerate((x, n, lang) for x, n in (("abcdefghijklmnopqrstuvwxyz", 6), ("0123456789abcdef", 40)) for lang in ("en", "de", "es", "fr", "xx", None))]
+    rows.append((-50, " ".join(chr(0x1F000 + i * 7 % 900) + chr(0x1F000 + i) for i in range(90)), None))
+    got = quality.judge(prose.union(spark.createDataFrame(rows, prose.schema))).where("not base_failed").collect()
+    assert [r.kept for r in got if r.doc_id < 0] == [False] * len(rows)
+    clean = [r.kept for r in got if r.doc_id >= 0]
+    assert sum(clean) >= 0.99 * len(clean)
+
+
 def test_fertility_counts_tokens_of_words():
     import sentencepiece
 
