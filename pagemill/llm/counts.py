@@ -122,7 +122,7 @@ def op6_token_rollup(spark, sf_dir: str) -> DataFrame:
     """Totals after four batches over all ``documents``, one of them sent twice.
 
     Inserts by words; deletes of the later copies of equal texts; a tokenizer version added
-    for what is left; a revision of the language of rows without one.
+    for what is left; a revision, in both versions, of the language of live rows without one.
     """
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("digest", F.md5("text"))
     store = Rollup(spark, Scratch(spark, "rollup").folder)
@@ -136,7 +136,12 @@ def op6_token_rollup(spark, sf_dir: str) -> DataFrame:
     store.commit("3-pre", signed(rows, 1, "pre-1").unionByName(signed(later, -1, "pre-1")))
     store.compact()
     unknown = rows.where("lang is null")
-    store.commit("4-language", signed(unknown, -1, "pre-1").unionByName(signed(unknown.withColumn("lang", F.lit("und")), 1, "pre-1")))
+    # rows without text have no copies and stay out of the join
+    with_text = unknown.where("digest is not null").join(first, "digest", "left").where("not coalesce(doc_id > first, false)")
+    live = Scratch(spark, "live").table(unknown.where("digest is null").unionByName(with_text.select(*unknown.columns)))
+    known = live.withColumn("lang", F.lit("und"))
+    revision = signed(live, -1, "words-1").unionByName(signed(known, 1, "words-1"))
+    store.commit("4-language", revision.unionByName(signed(live, -1, "pre-1")).unionByName(signed(known, 1, "pre-1")))
     return store.totals()
 
 

@@ -114,6 +114,16 @@ def test_rollup(spark, tmp_path):
     assert store.totals(drop_empty=True).where("tokenizer = 'words-1' and tokens = -2").count() == 1
 
 
+def test_revision_covers_live_rows_in_both_versions(spark, tmp_path):
+    rows = [(1, "a b.", None, "s"), (2, "a b.", None, "s"), (3, "c", "en", "s"), (4, "c", None, "s"), (5, None, None, "t"), (6, None, None, "t"), (None, "a b.", None, "s"), (7, "d", None, "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens, r.characters) for r in counts.op6_token_rollup(spark, str(tmp_path)).collect()}
+    want = {}
+    for tokenizer, ab in (("words-1", 2), ("pre-1", 3)):
+        want |= {("s", None, tokenizer): (0, 0, 0), ("t", None, tokenizer): (0, 0, 0), ("s", "en", tokenizer): (1, 1, 1), ("s", "und", tokenizer): (2, 2 * ab, 8), ("t", "und", tokenizer): (3, 1, 1)}
+    assert got == want
+
+
 def test_vocabulary_counter(spark):
     import public_tokenizers
 
