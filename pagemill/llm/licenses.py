@@ -1,12 +1,12 @@
 """Licence scans: word-bigram Dice coefficients between texts and licence templates.
 
 Texts and templates are normalised alike: A-Z folded, everything but letters and digits
-turned into space.  A template is compared with the whole text and with every stretch of
-the template's own length; where such a stretch shares enough bigrams, the Dice coefficient
-2 * |common| / (|a| + |b|) of the two bigram sets is taken.  Size bounds come first: a
-stretch with fewer than t / (2 - t) times the template's bigrams cannot reach t, so texts
-too short skip the template, and the whole text is compared only within the bounds on both
-sides.
+turned into space.  A template is compared with the whole text and with stretches that
+begin and end at one of its bigrams: for each such begin the end of the best Dice
+coefficient 2 * |common| / (|a| + |b|) of the two bigram sets is taken.  Size bounds come
+first: a stretch with fewer than t / (2 - t) or more than (2 - t) / t times the template's
+bigrams cannot reach t, so begins with too few of them ahead are skipped.  Stretches have
+up to twice the upper bound in words, as words may repeat.
 
 The templates are configuration of fixed size and travel with the tasks.  A text is
 scanned in its own row, without a shuffle.
@@ -75,11 +75,9 @@ def matches_in(batch: Batch, bigrams: np.ndarray, templates: list[Template], thr
             shared[hit] = np.isin(own[hit], t.bigrams)
             if shared.sum() < least:
                 continue
-            width = min(t.words - 1, len(own))
-            sums = np.concatenate([[0], np.cumsum(shared)])
-            dense = sums[width:] - sums[:-width]
-            spans = [(s, s + width) for s in _peaks(dense, least, width)]
-            if len(own) <= n * (2 - threshold) / threshold * 2:
+            most = int(2 * n / (least / n))
+            spans = list(_stretches(own, shared, n, least, most, threshold))
+            if len(own) <= most:
                 spans.append((0, len(own)))
             for s, e in spans:
                 kinds = np.unique(own[s:e])
@@ -87,20 +85,30 @@ def matches_in(batch: Batch, bigrams: np.ndarray, templates: list[Template], thr
                 if value >= threshold:
                     found.append((t.name, float(value), s, e + 1))
         taken: list[tuple[str, float, int, int]] = []
+        covered = np.zeros(len(own) + 1, bool)
         for m in sorted(found, key=lambda m: (-m[1], m[2] - m[3], m[0], m[2])):
-            if all(m[3] <= x[2] or m[2] >= x[3] for x in taken):
+            if not covered[m[2] : m[3]].any():
+                covered[m[2] : m[3]] = True
                 taken.append(m)
         out[d] = sorted(taken, key=lambda m: m[2])
     return out
 
 
-def _peaks(dense: np.ndarray, least: float, width: int):
-    """The fullest stretch of each run of stretches that reach ``least`` and lie within a width."""
-    good = np.flatnonzero(dense >= least)
-    while len(good):
-        near = good[good < good[0] + width]
-        yield int(near[np.argmax(dense[near])])
-        good = good[len(near) :]
+def _stretches(own: np.ndarray, shared: np.ndarray, n: int, least: float, most: int, threshold: float):
+    """For each begin at a shared bigram the stretch of the best coefficient, if that reaches ``threshold``."""
+    order = np.argsort(own, kind="stable")
+    before = np.full(len(own), -1)
+    again = own[order][1:] == own[order][:-1]
+    before[order[1:][again]] = order[:-1][again]
+    sums = np.concatenate([[0], np.cumsum(shared)])
+    begins = np.flatnonzero(shared)
+    begins = begins[sums[np.minimum(begins + most, len(own))] - sums[begins] >= least]
+    for s in begins.tolist():
+        new = before[s : s + most] < s
+        value = 2 * np.cumsum(new & shared[s : s + most]) / (np.cumsum(new) + n)
+        at = int(np.argmax(value))
+        if value[at] >= threshold:
+            yield s, s + at + 1
 
 
 def scan(documents: DataFrame, text_column: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

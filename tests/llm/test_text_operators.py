@@ -93,6 +93,19 @@ def test_dice_of_whole_texts_is_exact(spark):
     assert row[0].dice >= dice - 1e-12
 
 
+def test_changed_licences_inside_long_documents(spark):
+    words = licenses.TEMPLATES["ISC"].split()
+    n = len(words)
+    prose = " ".join(f"w{i}" for i in range(400))
+    shortened = [" ".join(words[: n * 3 // 4]), " ".join(words[n // 4 :]), " ".join(words[: n // 3] + words[n * 7 // 12 :])]
+    lengthened = " ".join(words[: n // 2] + [f"new{i}" for i in range(n // 3)] + words[n // 2 :])
+    reworded = " ".join(w if i % 20 else "other" for i, w in enumerate(words))
+    rows = [(i, f"{prose} {t} {prose}") for i, t in enumerate([*shortened, lengthened, reworded])]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: [m.name for m in own] for i, own in got.items()} == {i: ["ISC"] for i in range(len(rows))}
+    assert all(own[0].begin >= 400 for own in got.values())
+
+
 def test_rollup(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, "c", None, None), (3, None, "en", "s")], "doc_id long, text string, lang string, source string")
     docs = counts.counted(docs, ("words-1", "pre-1"), "text", "doc_id")
