@@ -108,7 +108,7 @@ def test_changed_licences_inside_long_documents(spark):
 
 def test_rollup(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, "c", None, None), (3, None, "en", "s")], "doc_id long, text string, lang string, source string")
-    docs = counts.counted(docs, ("words-1", "pre-1"), "text", "doc_id")
+    docs = counts.counted(docs, {"words-1": counts.word_count, "pre-1": lambda t: F.coalesce(F.length(t), F.lit(0))}, "text", "doc_id")
     store = counts.Rollup(spark, str(tmp_path / "store"))
     totals = lambda: {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens, r.characters) for r in store.totals().collect()}
     assert totals() == {}
@@ -132,17 +132,58 @@ def test_revision_covers_live_rows_in_both_versions(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens, r.characters) for r in counts.op6_token_rollup(spark, str(tmp_path)).collect()}
     want = {}
-    for tokenizer, ab in (("words-1", 2), ("pre-1", 3)):
+    for tokenizer, ab in (("words-1", 2), ("byte-bpe-50k", 3)):
         want |= {("s", None, tokenizer): (0, 0, 0), ("t", None, tokenizer): (0, 0, 0), ("s", "en", tokenizer): (1, 1, 1), ("s", "und", tokenizer): (2, 2 * ab, 8), ("t", "und", tokenizer): (3, 1, 1)}
     assert got == want
 
 
+def test_compaction_meets_a_commit_and_another_compaction(spark, tmp_path):
+    row = counts.counted(spark.createDataFrame([("a b", "en", "s")], "text string, lang string, source string"), {"words-1": counts.word_count})
+    one = counts.signed(row, 1, "words-1")
+    store, other = (counts.Rollup(spark, str(tmp_path / "store")) for _ in range(2))
+    documents = lambda: {r.documents for r in counts.Rollup(spark, store.folder).totals().collect()}
+    plain = store._summed
+
+    def interrupted(places, by):
+        store._summed = plain
+        by()
+        return plain(places)
+
+    store.commit("1", one)
+    store._summed = lambda places: interrupted(places, lambda: other.commit("2", one))
+    assert store.compact()
+    assert documents() == {2}
+    store._summed = lambda places: interrupted(places, lambda: (other.commit("3", one), other.compact()))
+    assert not store.compact()
+    assert documents() == {3}
+    assert store.compact()
+    assert documents() == {3}
+    assert not store.commit("2", one)
+    assert not list((tmp_path / "store" / "aside").glob("*/*"))
+
+
+def test_op6_equals_its_sql_with_unknown_languages(spark, tmp_path):
+    import duckdb
+
+    texts = ["a b  c\n\n d", "it's  one's x@y.org, and more", "x@y.org", "", None, "don't 12,5 § ünï  ", "tab\tand\x0bmore \n", "z" * 300]
+    rows = [(i, texts[i % len(texts)] if i % 5 else f"{texts[i % 8]} {i}", ("en", None, "und")[i % 3], ("s", None)[i % 2]) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((tuple(r) for r in counts.op6_token_rollup(spark, str(tmp_path)).collect()), key=str)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert got == sorted(db.execute(counts.OP6_SQL).fetchall(), key=str)
+
+
 def test_vocabulary_counter(spark):
+    from pathlib import Path
+
     import public_tokenizers
 
-    count = counts.vocabulary_counter("/opt/tokenizers/byte_bpe_50k.tiktoken", public_tokenizers.PATTERN)
-    rows = spark.createDataFrame([("hello world",), (None,), ("",)], "t string").select(count("t").alias("n")).collect()
-    assert [r.n for r in rows] == [2, 0, 0]
+    count = counts.vocabulary_counter(Path("/opt/tokenizers/byte_bpe_50k.tiktoken").read_bytes(), public_tokenizers.PATTERN)
+    rows = spark.createDataFrame([("hello world",), (None,), ("",), ("x" * 200_000,)], "t string").select(count("t").alias("n")).collect()
+    assert [r.n for r in rows[:3]] == [2, 0, 0]
+    assert rows[3].n > 1000
+    assert "".join(counts.parts("a " + "b" * 2500 + " c")) == "a " + "b" * 2500 + " c"
 
 
 def test_quality(spark):
