@@ -5,7 +5,8 @@
 2. Documents with equal sets are one class.  Classes that share a band key are candidates.
    Their similarity is estimated from the number of equal low bits, m, corrected for
    chance: (m / K - c) / (1 - c) with c = 2 ** -BITS.  Candidates more than ``MARGIN``
-   standard deviations below the threshold are given up.
+   standard deviations below the threshold are given up, unless one has fewer than
+   ``SMALL`` shingles: those are as cheap to compare in full.
 3. The classes that candidates connect are compared on their full sets, in blocks
    (see ``blocks``), each set shipped about once.  Only confirmed links count.
 
@@ -36,7 +37,7 @@ from pagemill.llm.sieve import Sieve, build_sieve
 from pagemill.llm.words import Batch, RunHashes, binary_values, mix64, slices
 
 ROWS, BANDS, BITS = 6, 32, 2
-MARGIN = 4.5
+MARGIN, SMALL = 4.5, 64
 SHINGLE, PERCENT = 5, 80
 _K = ROWS * BANDS
 _CHANCE = 2.0**-BITS
@@ -85,8 +86,13 @@ def minima(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def packed(values: np.ndarray) -> np.ndarray:
-    """The low bits of the minima of each set, in rows of 64-bit words."""
-    low = values.astype(np.uint64) & np.uint64(2**BITS - 1)
+    """Low bits of the minima of each set, in rows of 64-bit words.
+
+    The minima are mixed first: low bits of a product depend on low bits of the factor
+    alone, so that chance collisions of small sets would not be independent.
+    """
+    with np.errstate(over="ignore"):
+        low = mix64(values.astype(np.uint64)) & np.uint64(2**BITS - 1)
     shifts = (np.arange(_K) % _PER_WORD * BITS).astype(np.uint64)[:, None]
     return np.bitwise_or.reduce((low << shifts).reshape(-1, _PER_WORD, values.shape[1]), axis=1).T.copy()
 
@@ -114,8 +120,10 @@ def floor_of(percent: int) -> float:
     return percent / 100 - MARGIN * np.sqrt(p * (1 - p) / _K) / (1 - _CHANCE)
 
 
-def _matrix(payloads: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(payloads), np.uint64).reshape(len(payloads), -1)
+def _matrix(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed bits of rows, and which rows are of small sets."""
+    rows = np.frombuffer(b"".join(payloads), np.uint64).reshape(len(payloads), -1)
+    return rows[:, :-1], rows[:, -1] < SMALL
 
 
 def alike_inside(percent: int):
@@ -123,14 +131,14 @@ def alike_inside(percent: int):
     least = floor_of(percent)
 
     def inside(payloads, begins):
-        rows = _matrix(payloads)
+        rows, small = _matrix(payloads)
         n = len(rows)
         sizes = np.diff(np.append(begins, n))
         end = np.repeat(begins + sizes, sizes)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         live, step = np.arange(n), 1
         while len(live := live[live + step < end[live]]):
-            hit = live[estimates(rows[live], rows[live + step]) >= least]
+            hit = live[(estimates(rows[live], rows[live + step]) >= least) | small[live] | small[live + step]]
             left.append(hit)
             right.append(hit + step)
             step += 1
@@ -143,10 +151,10 @@ def alike_across(percent: int):
     least = floor_of(percent)
 
     def across(payloads, left, right, roots):
-        rows, out = _matrix(payloads), [(left[:0], right[:0])]
+        (rows, small), out = _matrix(payloads), [(left[:0], right[:0])]
         for i in left:
             other = right[roots[right] != roots[i]]
-            hit = other[estimates(rows[i][None, :], rows[other]) >= least]
+            hit = other[(estimates(rows[i][None, :], rows[other]) >= least) | small[i] | small[other]]
             out.append((np.full(len(hit), i), hit))
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
@@ -232,7 +240,8 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
                 signs, keys = list(nodes), list(nodes)
                 if len(full):
                     least = minima(hashes, begins)
-                    for i, node, sign, key in zip(full, set_ids(hashes, begins), packed(least), band_keys(least).view(np.int64), strict=True):
+                    signed_sets = np.column_stack([packed(least), n[full].astype(np.uint64)])
+                    for i, node, sign, key in zip(full, set_ids(hashes, begins), signed_sets, band_keys(least).view(np.int64), strict=True):
                         nodes[i], signs[i], keys[i] = node, sign.tobytes(), key
                 yield pa.RecordBatch.from_arrays([whole.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "node", "sign", "bands"])
 
