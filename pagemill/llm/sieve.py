@@ -7,10 +7,12 @@ of an exact step, so that a full array costs time and never a result: beyond ``M
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX_BITS = 1 << 27
 _CHUNK_BITS = 1 << 19
@@ -75,21 +77,23 @@ def build_sieve(keys: DataFrame, column: str):
     return spark.sparkContext.broadcast(whole)
 
 
-def without_ids(frame: DataFrame, gone: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` is not among the ids of ``gone``; rows that pass the sieve alone are shuffled."""
-    sieve_bits = build_sieve(gone.select(F.xxhash64(column).alias("k")), "k")
-    names = [*frame.columns, "_hit"]
-    width = len(frame.columns)
+def sifted(frame: DataFrame, keys: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``frame`` whose ``key`` (long) may be among the hashes in the one column of ``keys``, and the others.
 
-    def mark(batches):
-        import pyarrow as pa
+    Only keys go through Python; the rows stay where they are.
+    """
+    bits = build_sieve(keys, keys.columns[0])
 
-        sieve = Sieve(sieve_bits.value)
-        for batch in batches:
-            hit = sieve.passes(batch.column(width).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(hit)], names=names)
+    @F.pandas_udf("boolean")
+    def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sieve = Sieve(bits.value)
+        for own in batches:
+            yield pd.Series(sieve.passes(own.to_numpy().view(np.uint64)))
 
-    schema = T.StructType([*frame.schema.fields, T.StructField("_hit", T.BooleanType())])
-    marked = frame.withColumn("_k", F.xxhash64(column)).mapInArrow(mark, schema)
-    rest = marked.where("_hit").drop("_hit").join(gone.select(column).distinct(), column, "left_anti")
-    return marked.where("not _hit").drop("_hit").unionByName(rest)
+    return frame.where(passes(key)), frame.where(~passes(key))
+
+
+def without_ids(frame: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is not among the ids of ``gone``; rows that pass the sieve alone are shuffled."""
+    hits, others = sifted(frame, gone.select(F.xxhash64(column).alias("k")), F.xxhash64(column))
+    return others.unionByName(hits.join(gone.select(column).distinct(), column, "left_anti"))

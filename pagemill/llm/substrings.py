@@ -14,7 +14,7 @@ kept.  The union of repeated windows gives the maximal repeats of at least ``win
 
 Nothing but anchors and hashes is shuffled until the repeats are known: the anchors and
 extensions that matter are told apart by bit arrays of bounded size (see ``sieve``), and
-the texts are scanned again.  The texts are shuffled once, to meet their spans.
+the texts are scanned again.  Texts with repeats are shuffled once, to meet their spans.
 
 Defined results: null and empty texts have no words and no repeats; a text shorter than
 the window is never touched; a row that is repeated as a whole counts as often as it
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.scratch import Scratch
-from pagemill.llm.sieve import Sieve, build_sieve
+from pagemill.llm.sieve import Sieve, build_sieve, sifted
 from pagemill.llm.words import Batch, RunHashes, binary_values, slices
 
 WINDOW = 35
 ANCHOR = 12
-_KEY = "_pagemill_key"
+_KEY, _KEY2 = "_pagemill_key", "_pagemill_key2"
 
 
 def anchors_of(batch: Batch, window: int, anchor: int):
@@ -70,7 +70,11 @@ def occurrence(extension: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.
 
 
 def repeated_ranges(texts: DataFrame, scratch: Scratch, window: int, anchor: int) -> DataFrame:
-    """``texts`` has ``_KEY`` and ``text``; returns (key, ranges of first and last repeated window)."""
+    """``texts`` has ``_KEY``, ``_KEY2`` and ``text``; returns (key, key2, ranges of first and last repeated window).
+
+    Equal rows share a key and the ranges, which are gathered without repeats: a row's
+    ranges are as many as its windows at most.
+    """
     import pyarrow as pa
 
     def seeds(batches):
@@ -86,27 +90,27 @@ def repeated_ranges(texts: DataFrame, scratch: Scratch, window: int, anchor: int
 
     def each(batches, chosen):
         for whole in batches:
-            keys = whole.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            values = binary_values(whole.column(1))
+            keys, others = (whole.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1))
+            values = binary_values(whole.column(2))
             for a, b in slices([len(v or b"") for v in values]):
                 batch = Batch(values[a:b])
                 runs, document, h, first, last = anchors_of(batch, window, anchor)
                 pick = chosen(h)
                 if pick is not None:
                     document, h, first, last = document[pick], h[pick], first[pick], last[pick]
-                yield batch, runs, keys[a:b][document], batch.starts[document], h, first, last
+                yield batch, runs, keys[a:b][document], others[a:b][document], batch.starts[document], h, first, last
 
     def extended(batches):
         sieve = Sieve(seed_sieve.value)
-        for batch, runs, key, begin, h, first, last in each(batches, sieve.passes):
+        for batch, runs, key, other, begin, h, first, last in each(batches, sieve.passes):
             yield pa.RecordBatch.from_pydict({
                 "g": _signed(h), "e1": _signed(runs.at(first, last + window)), "e2": _signed(RunHashes(batch.hashes, 1).at(first, last + window)),
-                "key": _signed(key), "start": (first - begin).astype(np.int32), "last": (last - begin).astype(np.int32),
+                "key": _signed(key), "key2": _signed(other), "start": (first - begin).astype(np.int32), "last": (last - begin).astype(np.int32),
             })
 
-    found = scratch.table(texts.select(_KEY, "text").mapInArrow(extended, "g long, e1 long, e2 long, key long, start int, last int"))
+    found = scratch.table(texts.select(_KEY, _KEY2, "text").mapInArrow(extended, "g long, e1 long, e2 long, key long, key2 long, start int, last int"))
     extensions = scratch.table(found.groupBy("g", "e1", "e2").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("one")))
-    whole_repeats = found.join(extensions.where("n >= 2").select("g", "e1", "e2"), ["g", "e1", "e2"]).select("key", "start", "last")
+    whole_repeats = found.join(extensions.where("n >= 2").select("g", "e1", "e2"), ["g", "e1", "e2"]).select("key", "key2", "start", "last")
 
     several = scratch.table(extensions.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds >= 2").select("g"))
     opened = scratch.table(extensions.join(several, "g").select(F.expr("e1 ^ one.key ^ shiftleft(cast(one.start as bigint), 32) ^ cast(one.start as bigint)").alias("o")))
@@ -114,20 +118,20 @@ def repeated_ranges(texts: DataFrame, scratch: Scratch, window: int, anchor: int
 
     def single(batches):
         sieve = Sieve(occurrence_sieve.value)
-        for batch, runs, key, begin, _, first, last in each(batches, lambda h: None):
+        for batch, runs, key, other, begin, _, first, last in each(batches, lambda h: None):
             pick = sieve.passes(occurrence(runs.at(first, last + window), key, first - begin))
-            key, begin, first, last = key[pick], begin[pick], first[pick], last[pick]
+            key, other, begin, first, last = key[pick], other[pick], begin[pick], first[pick], last[pick]
             n = last - first + 1
             at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
             yield pa.RecordBatch.from_pydict({
                 "w1": _signed(runs.at(at, at + window)), "w2": _signed(RunHashes(batch.hashes, 1).at(at, at + window)),
-                "key": _signed(np.repeat(key, n)), "start": (at - np.repeat(begin, n)).astype(np.int32),
+                "key": _signed(np.repeat(key, n)), "key2": _signed(np.repeat(other, n)), "start": (at - np.repeat(begin, n)).astype(np.int32),
             })
 
-    windows = scratch.table(texts.select(_KEY, "text").mapInArrow(single, "w1 long, w2 long, key long, start int"))
+    windows = scratch.table(texts.select(_KEY, _KEY2, "text").mapInArrow(single, "w1 long, w2 long, key long, key2 long, start int"))
     twice = scratch.table(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n >= 2").select("w1", "w2"))
-    window_repeats = windows.join(twice, ["w1", "w2"]).select("key", "start", F.col("start").alias("last"))
-    return whole_repeats.union(window_repeats).groupBy("key").agg(F.collect_list(F.struct("start", "last")).alias("ranges"))
+    window_repeats = windows.join(twice, ["w1", "w2"]).select("key", "key2", "start", F.col("start").alias("last"))
+    return whole_repeats.union(window_repeats).groupBy("key", "key2").agg(F.collect_set(F.struct("start", "last")).alias("ranges"))
 
 
 def merged(ranges: list[dict], window: int) -> list[tuple[int, int]]:
@@ -152,9 +156,14 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
         raise ValueError("0 < anchor <= window")
     documents = documents.drop("n_words", "n_removed", "repeats")
     scratch = Scratch(documents.sparkSession, "repeats")
-    keyed = documents.withColumn(_KEY, F.xxhash64(id_column, text_column))
-    ranges = scratch.table(repeated_ranges(keyed.select(_KEY, F.col(text_column).alias("text")), scratch, window, anchor))
-    joined = keyed.join(ranges.withColumnRenamed("key", _KEY), _KEY, "left").select(*documents.columns, "ranges")
+    # 128 bits: a collision would cut a text by another one's spans
+    keyed = documents.withColumns({_KEY: F.xxhash64(id_column, text_column), _KEY2: F.xxhash64(F.lit(_KEY2), text_column, id_column)})
+    ranges = scratch.table(repeated_ranges(keyed.select(_KEY, _KEY2, F.col(text_column).alias("text")), scratch, window, anchor))
+    ranges = ranges.withColumnsRenamed({"key": _KEY, "key2": _KEY2})
+    touched, others = sifted(keyed, ranges.select(_KEY), F.col(_KEY))
+    columns = [*documents.columns, "ranges"]
+    none = F.lit(None).cast(ranges.schema["ranges"].dataType)
+    joined = touched.join(ranges, [_KEY, _KEY2], "left").select(columns).union(others.withColumn("ranges", none).select(columns))
     fields = [*documents.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])))]
     at = documents.columns.index(text_column)
 
