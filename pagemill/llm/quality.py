@@ -1,16 +1,19 @@
 """Quality rules: counts over words and lines, and tokeniser fertility against bands.
 
-Fertility is measured with a public sentencepiece vocabulary that falls back to bytes.
-Every distinct word (with its leading space mark) is encoded once for each worker and kept
-in a bounded store; a document's tokens are those of its words.  Three measures result:
-characters per token, the share of byte-fallback tokens, and the entropy of the token
-distribution in bits.  A document whose measures leave the bands of its language is
-rejected; without a known language the bands of its main script hold.
+Fertility is measured with two public vocabularies: sentencepiece pieces that fall back to
+bytes, and byte pairs.  Every distinct word (with its leading space) is encoded once for
+each task and kept in a bounded store; a document's tokens are those of its words.  Three
+measures result for each vocabulary: characters per token, the share of byte-fallback
+tokens (of byte pairs: those that are no whole characters), and the entropy of the token
+distribution in bits.  A document is rejected when a measure of either vocabulary leaves
+the bands of its language; without a known language the bands of its main script hold.
+The files are read once by the driver, which sends them along: they are of fixed size.
 
 Bands come from the documents themselves: of every language, and of every script, the 5%
 and 95% quantiles over all documents that pass the base rules, widened by a ``MARGINS``
-part of the median (for byte shares, of 1).  They never pass the fixed ``BANDS``, which
-also hold where a group has fewer than ``GROUP_ROWS`` rows.
+part of the median (for byte shares, of 1).  For the first vocabulary they never pass the
+fixed ``BANDS``, which also hold where a group has fewer than ``GROUP_ROWS`` rows; the
+second one judges only groups with as many.
 
 Base rules: at least 50 words, and at most half of the words in repeated 3-word windows.
 
@@ -18,20 +21,27 @@ Measures of a document are computed in its own row.  Quantiles are exact over ro
 measures, from counts by group and value, so only counts are shuffled and reruns agree.
 
 Defined results: null, empty and blank texts have zero counts, null measures, and fail the
-base rules; lines are parts between \\n, and a repeated line counts only if it has a word.
+base rules; lines are parts between \\n, and a repeated line counts only if it has a word;
+equal rows are judged alike; a word beyond ``LONGEST`` bytes is encoded in parts, so that
+very long ones take no more time than others.
 """
 
 from __future__ import annotations
 
+import base64
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.llm.counts import PATTERN
 from pagemill.llm.scratch import Scratch
 from pagemill.llm.words import Batch, RunHashes, binary_values, mix64, slices
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+VOCABULARY, RANKS = "/opt/tokenizers/piece_bpe_32k.model", "/opt/tokenizers/byte_bpe_50k.tiktoken"
+LONGEST = 1000
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: (least, most) characters per token; most byte-fallback share; least entropy in bits.
 #: By language, else by script: outer bounds of the bands that documents yield.
@@ -47,24 +57,64 @@ MARGINS = {"chars_per_token": 0.10, "byte_share": 0.10, "token_entropy": 0.15}
 #: Least rows of a group with bands of its own; most languages with such, the largest ones.
 GROUP_ROWS, MOST_LANGUAGES = 50, 256
 _MEASURES = {"chars_per_token": 100, "byte_share": 1000, "token_entropy": 100}
+#: Suffixes of the measures by vocabulary.
+_KINDS = ("", "_bpe")
 _STORE_LIMIT = 500_000
-_ADDED = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("chars_per_token", T.DoubleType()), ("byte_share", T.DoubleType()), ("token_entropy", T.DoubleType()), ("kept", T.BooleanType())]
+_ADDED = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), *((f"{m}{k}", T.DoubleType()) for k in _KINDS for m in _MEASURES), ("kept", T.BooleanType())]
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _STARTS_CHARACTER = (np.arange(256) & 0xC0) != 0x80
 
 
-class Fertility:
-    """Tokens of words, from a store that is emptied when it grows past a bound."""
+class Pieces:
+    """A sentencepiece vocabulary from the contents of its file."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, model: bytes) -> None:
         import sentencepiece
 
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.is_byte = np.array([self.pieces.is_byte(i) or self.pieces.is_unknown(i) for i in range(self.pieces.get_piece_size())])
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return self.pieces.encode(words, num_threads=1)
+
+
+class BytePairs:
+    """A byte-level vocabulary from the contents of its ranks file."""
+
+    def __init__(self, ranks: bytes) -> None:
+        import tiktoken
+
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+        # a word is one piece: it holds no white space
+        self.encoding = tiktoken.Encoding("quality", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+        self.is_byte = np.zeros(max(table.values()) + 1, bool)
+        for token, rank in table.items():
+            try:
+                token.decode()
+            except UnicodeDecodeError:
+                self.is_byte[rank] = True
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return self.encoding.encode_ordinary_batch([f" {w}" for w in words], num_threads=1)
+
+
+class Fertility:
+    """Tokens of words, from a store that is emptied when it grows past a bound."""
+
+    def __init__(self, vocabulary) -> None:
+        self.vocabulary, self.is_byte = vocabulary, vocabulary.is_byte
         self._empty()
 
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        long = [i for i, w in enumerate(words) if len(w) > LONGEST]
+        ids = self.vocabulary.encode([w[:LONGEST] for w in words])
+        for i in long:
+            w = words[i]
+            ids[i] = [t for own in self.vocabulary.encode([w[x : x + LONGEST] for x in range(0, len(w), LONGEST)]) for t in own]
+        return ids
+
     def _empty(self) -> None:
         self.at: dict[int, int] = {}
         self.begin, self.count, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -76,7 +126,7 @@ class Fertility:
         keys = hashes.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.at]
         if new:
-            ids = self.pieces.encode([word_at(i).decode("utf-8", "replace") for i in new], num_threads=1)
+            ids = self._encoded([word_at(i).decode("utf-8", "replace") for i in new])
             count = np.fromiter(map(len, ids), np.int64, len(ids))
             known = len(self.at)
             self.at.update((keys[i], known + n) for n, i in enumerate(new))
@@ -141,16 +191,17 @@ def script_of(text: bytes | None) -> str:
     return max((("latin", latin), ("greek", greek), ("cyrillic", cyrillic), ("other", other)), key=lambda x: x[1])[0]
 
 
-def measure(documents: DataFrame, text_column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def measure(documents: DataFrame, text_column: str = "text", vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
     """``documents`` with counts, measures, ``base_failed`` and ``_script``; columns of those names are replaced."""
     documents = documents.drop("_script", *(name for name, _ in _ADDED))
     at, width = documents.columns.index(text_column), len(documents.columns)
     fields = [*documents.schema.fields, *(T.StructField(*x) for x in _ADDED[:-1]), T.StructField("_script", T.StringType())]
+    files = documents.sparkSession.sparkContext.broadcast((Path(vocabulary).read_bytes(), Path(ranks).read_bytes()))
 
     def rows(batches):
         import pyarrow as pa
 
-        fertility = Fertility(vocabulary)
+        fertility = [Fertility(kind(own)) for kind, own in zip((Pieces, BytePairs), files.value, strict=True)]
         for whole in batches:
             values = binary_values(whole.column(at))
             for x, y in slices([len(v or b"") for v in values]):
@@ -164,13 +215,14 @@ def measure(documents: DataFrame, text_column: str = "text", vocabulary: str = V
                 word_chars = in_words[batch.ends] - in_words[batch.starts]
                 n, repeated = batch.counts, repeated_words(batch)
                 failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEATED_PERCENT * n)
-                total, fallback, entropy = fertility.measure(batch, data)
-                some = total > 0
-                per_token, share = word_chars / np.maximum(total, 1), fallback / np.maximum(total, 1)
+                measured = []
+                for own in fertility:
+                    total, fallback, entropy = own.measure(batch, data)
+                    measured += [pa.array(c, mask=total == 0) for c in (word_chars / np.maximum(total, 1), fallback / np.maximum(total, 1), entropy)]
                 columns = [n, word_chars, symbols[ends] - symbols[batch.bytes_before], np.fromiter(map(repeated_lines, texts), np.int64, y - x), repeated]
                 yield pa.RecordBatch.from_arrays([
                     *(part.column(k) for k in range(width)), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(failed),
-                    *(pa.array(c, mask=~some) for c in (per_token, share, entropy)), pa.array([script_of(t) for t in texts], pa.string()),
+                    *measured, pa.array([script_of(t) for t in texts], pa.string()),
                 ], names=[f.name for f in fields])
 
     return documents.mapInArrow(rows, T.StructType(fields))
@@ -189,10 +241,10 @@ def _band(counts) -> tuple[float, float, float, float]:
     return (tokens[0] - width["chars_per_token"], tokens[2] + width["chars_per_token"], at["byte_share"][2] + width["byte_share"], entropy[0] - width["token_entropy"])
 
 
-def fit_bands(measured: DataFrame, lang_column: str = "lang", bands: dict = BANDS) -> tuple[dict, dict]:
-    """Bands by language and by script, from all rows of ``measured`` that pass the base rules."""
+def fit_bands(measured: DataFrame, lang_column: str = "lang", bands: dict = BANDS, kind_of: str = "") -> tuple[dict, dict]:
+    """Bands by language and by script, from all rows of ``measured`` that pass the base rules, for one vocabulary."""
     some = measured.where(F.expr("not base_failed and token_entropy is not null"))
-    values = F.array(*(F.struct(F.lit(m).alias("measure"), F.least(F.round(F.col(m) * steps), F.lit(100_000)).cast("long").alias("value")) for m, steps in _MEASURES.items()))
+    values = F.array(*(F.struct(F.lit(m).alias("measure"), F.least(F.round(F.col(f"{m}{kind_of}") * steps), F.lit(100_000)).cast("long").alias("value")) for m, steps in _MEASURES.items()))
     counts = some.select(F.col(lang_column).alias("lang"), F.col("_script").alias("script"), F.explode(values).alias("v")).groupBy("lang", "script", "v.measure", "v.value").agg(F.count("*").alias("n"))
     counts = Scratch(measured.sparkSession, "quality").table(counts)
     out = []
@@ -207,21 +259,22 @@ def fit_bands(measured: DataFrame, lang_column: str = "lang", bands: dict = BAND
     return out[0], out[1]
 
 
-def judge(documents: DataFrame, text_column: str = "text", lang_column: str = "lang", vocabulary: str = VOCABULARY, bands: dict = BANDS, with_text: bool = True) -> DataFrame:
+def judge(documents: DataFrame, text_column: str = "text", lang_column: str = "lang", vocabulary: str = VOCABULARY, ranks: str = RANKS, bands: dict = BANDS, with_text: bool = True) -> DataFrame:
     """``documents`` with counts, measures, ``base_failed`` and ``kept``; columns of those names are replaced."""
     spark = documents.sparkSession
-    measured = measure(documents, text_column, vocabulary)
+    measured = measure(documents, text_column, vocabulary, ranks)
     measured = Scratch(spark, "measured").table(measured if with_text else measured.drop(text_column))
-    edges = ("_low", "_high", "_share", "_entropy")
-    scripts = {"latin", "cyrillic", "greek", "other"}
-    by_lang, by_script = fit_bands(measured, lang_column, bands)
-    frames = []
-    for kind, found in (("lang", {k: v for k, v in by_lang.items() if k not in scripts}), ("script", {k: v for k, v in by_script.items() if k in scripts})):
-        schema = f"{kind}_key string, " + ", ".join(f"{kind}{e} double" for e in edges)
-        frames.append(F.broadcast(spark.createDataFrame([(k, *map(float, v)) for k, v in sorted(found.items())], schema)))
-    joined = measured.join(frames[0], F.col(lang_column) == F.col("lang_key"), "left").join(frames[1], F.col("_script") == F.col("script_key"), "left")
-    low, high, share, entropy = (F.coalesce(F.col(f"lang{e}"), F.col(f"script{e}")) for e in edges)
-    inside = F.col("chars_per_token").between(low, high) & (F.col("byte_share") <= share) & (F.col("token_entropy") >= entropy)
+    edges, scripts, joined, inside = ("low", "high", "share", "entropy"), ("latin", "cyrillic", "greek", "other"), measured, F.lit(True)
+    for suffix, outer in zip(_KINDS, (bands, {"other": (0.0, np.inf, 1.0, 0.0)}), strict=True):
+        by_lang, by_script = fit_bands(measured, lang_column, outer, suffix)
+        for kind, column, found in (("lang", lang_column, {k: v for k, v in by_lang.items() if k not in scripts}), ("script", "_script", {k: v for k, v in by_script.items() if k in scripts})):
+            schema = f"_{kind}_key{suffix} string, " + ", ".join(f"_{kind}_{e}{suffix} double" for e in edges)
+            # a row for each language or script
+            frame = F.broadcast(spark.createDataFrame([(k, *map(float, v)) for k, v in sorted(found.items())], schema))
+            joined = joined.join(frame, F.col(column) == F.col(f"_{kind}_key{suffix}"), "left")
+        low, high, share, entropy = (F.coalesce(F.col(f"_lang_{e}{suffix}"), F.col(f"_script_{e}{suffix}")) for e in edges)
+        own = F.col(f"chars_per_token{suffix}").between(low, high) & (F.col(f"byte_share{suffix}") <= share) & (F.col(f"token_entropy{suffix}") >= entropy)
+        inside = inside & (F.coalesce(own, low.isNull()) if suffix else own)
     return joined.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False))).select(*(c for c in measured.columns if c != "_script"), "kept")
 
 
