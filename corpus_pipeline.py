@@ -2,8 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs.  All but the last return the columns of
-``documents``.  Rows without a doc_id cannot be told apart by it and pass stage 2 as they
-are; every other case that a stage defines is in its operator's docstring.
+``documents``; columns beyond those are left out.
+
+Defined results of the stages: texts without letters, null ones included, are rejected by
+the first.  In the second rows are told apart by id and text, so that rows without an id
+or with a repeated one take part: of a component the row of the least id stays (a null id
+comes last), of equal ids the one of the least text hash, of equal rows one.  Repeated
+passages go from every row that holds them; a text that is left empty stays as an empty
+row, which the mix takes without words and the packing leaves out.  Equal ids draw apart
+in the mix by their texts.  An empty table gives empty ones.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ from pagemill.llm.minhash import near_duplicates
 from pagemill.llm.mixing import emit, mix
 from pagemill.llm.packing import pack_words
 from pagemill.llm.scratch import Scratch
-from pagemill.llm.sieve import without_ids
+from pagemill.llm.sieve import sifted, without_ids
 from pagemill.llm.substrings import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,14 +36,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component (operator 7, five-word shingles)."""
-    docs = docs.select(COLUMNS)
-    rows = Scratch(spark, "stage").table(near_duplicates(docs).select("doc_id", "kept"))
-    by_id = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    stays = without_ids(docs, by_id.where("not kept").select("doc_id"), "doc_id")
-    if by_id.where("n > 1").isEmpty():
-        return stays
-    once = stays.where("doc_id is not null").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
-    return once.select(COLUMNS).union(stays.where("doc_id is null"))
+    scratch = Scratch(spark, "stage")
+    # nulls compare as least: the flag puts rows without an id last
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("row"), "text").alias("h2"))
+    keyed = docs.select(*COLUMNS, row.alias("row"))
+    judged = scratch.table(near_duplicates(keyed.select("row", "text"), id_column="row").select("row", "kept"))
+    rows = scratch.table(judged.groupBy("row").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    stays = without_ids(keyed, rows.where("not kept").select("row"), "row")
+    repeated = scratch.table(rows.where("kept and n > 1").select("row"))
+    if repeated.isEmpty():
+        return stays.select(COLUMNS)
+    again, once = sifted(stays, repeated.select(F.xxhash64("row").alias("k")), F.xxhash64("row"))
+    return once.unionByName(again.dropDuplicates(["row"])).select(COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
