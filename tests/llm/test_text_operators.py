@@ -106,6 +106,47 @@ def test_changed_licences_inside_long_documents(spark):
     assert all(own[0].begin >= 400 for own in got.values())
 
 
+def test_siblings_come_out_under_their_own_names(spark):
+    for_all = [(i, name, "intro words here. " + text + " and prose after it") for i, (name, text) in enumerate(licenses.TEMPLATES.items())]
+    others = ["This work is licensed under a Creative Commons Attribution-ShareAlike 1.0 Generic License.", "This work is licensed under the GNU General Public License, version 7.", licenses.TEMPLATES["GPL-3.0-or-later (notice)"].replace("version 3", "version 1"), "Licensed under CC BY-NC 9.0."]
+    rows = for_all + [(1000 + i, None, t) for i, t in enumerate(others)]
+    got = {r.doc_id: [m.name for m in r.licenses] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, name string, text string")).collect()}
+    # equal texts of two names do not exist, so each template is its own best match
+    assert {i: n for i, n in got.items() if i < 1000} == {i: [name] for i, name, _ in for_all}
+    assert [got[1000 + i] for i in range(len(others))] == [[]] * len(others)
+
+
+def test_best_coefficient_equals_brute_force_over_all_stretches(spark):
+    rng = np.random.default_rng(8)
+    templates = {f"t{k}": " ".join(rng.choice(list("abcdefghij"), n)) for k, n in enumerate((6, 9, 14))}
+    texts = []
+    for i in range(250):
+        words = list(rng.choice(list("abcdefghijxyz"), rng.integers(0, 40)))
+        if i % 2:
+            t = templates[f"t{i % 3}"].split()
+            at = rng.integers(0, len(words) + 1)
+            words[at:at] = [w for w in t if rng.random() > 0.12]
+        texts.append(" ".join(words))
+    pairs = lambda w: list(zip(w, w[1:], strict=False))
+    found = {r.i: r.licenses for r in licenses.scan(spark.createDataFrame(list(enumerate([*texts, *texts[:20]])), "i long, text string"), templates=templates, marks={}).collect()}
+    hits = 0
+    for i, text in enumerate(texts):
+        own, best = pairs(text.split()), 0.0
+        for t in templates.values():
+            wanted = set(pairs(t.split()))
+            least = 0.8 / 1.2 * len(wanted)
+            most = int(2 * len(wanted) / (least / len(wanted)))
+            for a in range(len(own)):
+                for b in range(a + 1, min(len(own), a + most) + 1):
+                    part = set(own[a:b])
+                    best = max(best, 2 * len(part & wanted) / (len(part) + len(wanted)))
+        got = max((m.dice for m in found[i]), default=0.0)
+        assert got == (pytest.approx(best) if best >= 0.8 else 0.0)
+        hits += best >= 0.8
+    assert hits > 60
+    assert [found[len(texts) + i] for i in range(20)] == [found[i] for i in range(20)]
+
+
 def test_rollup(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, "c", None, None), (3, None, "en", "s")], "doc_id long, text string, lang string, source string")
     docs = counts.counted(docs, {"words-1": counts.word_count, "pre-1": lambda t: F.coalesce(F.length(t), F.lit(0))}, "text", "doc_id")
@@ -223,7 +264,9 @@ def test_fertility_counts_tokens_of_words():
     text = "The quick brown fox über jumps".encode()
     pieces = sentencepiece.SentencePieceProcessor(model_file=quality.VOCABULARY)
     want = [t for w in text.decode().split() for t in pieces.encode(w)]
-    total, _, entropy = quality.Fertility(quality.VOCABULARY).measure(Batch([text]), text + b"\n")
+    from pathlib import Path
+
+    total, _, entropy = quality.Fertility(quality.Pieces(Path(quality.VOCABULARY).read_bytes())).measure(Batch([text]), text + b"\n")
     share = np.array(list(Counter(want).values())) / len(want)
     assert total[0] == len(want)
     assert entropy[0] == pytest.approx(-(share * np.log2(share)).sum())

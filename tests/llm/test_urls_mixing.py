@@ -112,3 +112,22 @@ def test_mixing_cases(spark):
     out = mixing.emit(mixed)
     assert out.count() == mixed.agg(F.sum("copies")).first()[0]
     assert mixing.mix(frame.limit(0)).count() == 0
+
+
+def test_equal_rows_draw_apart(spark):
+    rows = [(1, "a b c", "s")] * 4000 + [(None, "d e", "s")] * 3000 + [(i, "f", "t") for i in range(9000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(frame, weights=(1.0, 1.0))
+    sums = {r.source: r for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()}
+    assert sums["s"].n == 7000
+    assert sums["s"].taken == pytest.approx(sums["s"].target, rel=0.03)
+    count = lambda f: sorted((str(r.doc_id), r.taken, r.n) for r in f.groupBy("doc_id", "taken").agg(F.count("*").alias("n")).where("doc_id is null or doc_id = 1").collect())
+    assert count(mixed) == count(mixing.mix(frame.repartition(9, "doc_id"), weights=(1.0, 1.0)))
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (i % 7 + 1), f"host{i:05d}") for i in range(3000)]
+    got = {r.source: r.target for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    named = {s: len(t.split()) for _, t, s in rows}
+    want = water_fill(named, {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(sorted(named))}, 1.5, 2.0)
+    assert got == pytest.approx(want)
