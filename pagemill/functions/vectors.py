@@ -63,16 +63,26 @@ def hashing(dimensions: int = 64) -> Encoder:
     return encode
 
 
-def sentence_model(name: str, batch_size: int = 32) -> Encoder:
-    """A sentence-transformers model by name or path; null texts count as empty."""
+_MODELS: dict[str, object] = {}
 
-    @F.pandas_udf("array<double>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def loaded(name: str):
+    """A model of this worker process, loaded by its first task and kept for the others."""
+    if name not in _MODELS:
         try:
             from sentence_transformers import SentenceTransformer
         except ImportError as missing:
             raise ImportError("this encoder needs sentence-transformers on the workers") from missing
-        model = SentenceTransformer(name)
+        _MODELS[name] = SentenceTransformer(name)
+    return _MODELS[name]
+
+
+def sentence_model(name: str, batch_size: int = 32) -> Encoder:
+    """A sentence-transformers model by name or path; null texts count as empty."""
+
+    @F.pandas_udf("array<double>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = loaded(name)
         for texts in batches:
             vectors = model.encode(texts.fillna("").tolist(), batch_size=batch_size, normalize_embeddings=True, show_progress_bar=False)
             yield pd.Series([v.astype("float64") for v in vectors])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text
 from pagemill.functions.vectors import hashing
 from pagemill.operators import evaluation, layout, pages, questions, retrieval, sections, semantic, structure, windows
+from pagemill.sources.scratch import Scratch
 
 _SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -78,6 +79,25 @@ def semantic_chunks(spark, sf_dir):
     return chunks.select("id", *(F.col(f"metadata.{c}").alias(c) for c in ("char_start", "char_end", "word_start", "word_end", "selected_boundary_similarity")), F.md5("content.body").alias("body_md5"))
 
 
+# boundaries are scored by word counts in 64 buckets; every word's next cut is a table that a recursion walks
+_SEMANTIC = f"""WITH RECURSIVE d AS (SELECT doc_id, {_sql_strip("text")} AS t FROM documents),
+k AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^{_SPACES}]+')) AS tok, unnest(list_slice(regexp_split_to_array(t, '[^{_SPACES}]+'), 1, len(regexp_extract_all(t, '[^{_SPACES}]+')))) AS gap, unnest(range(0, len(regexp_extract_all(t, '[^{_SPACES}]+')))) AS i FROM d WHERE t <> ''),
+e AS (SELECT doc_id, i, tok, sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM k),
+w AS (SELECT doc_id, i, CAST(('0x' || substr(md5(tok), 1, 7)) AS BIGINT) % 64 AS h, e - length(tok) AS s, e, count(*) OVER (PARTITION BY doc_id) AS n, max(e) OVER (PARTITION BY doc_id) AS last, i // 45 AS part FROM e),
+c AS (SELECT doc_id, i, s, CAST(s AS BIGINT) // 1200 AS place, unnest([i // 45 - 1, i // 45, i // 45 + 1]) AS part FROM w WHERE i >= 1 AND ((i - 1) % 3 = 0 OR i = n - 1)),
+x AS (SELECT c.doc_id, c.i, c.s, c.place, CASE WHEN w.i < c.i THEN 0 ELSE 1 END AS side, h, count(*) AS n FROM c JOIN w ON w.doc_id = c.doc_id AND w.part = c.part AND w.i >= c.i - 45 AND w.i < c.i + 45 GROUP BY ALL),
+m AS (SELECT doc_id, i, s, place, sqrt(sum(n * n) FILTER (side = 0)) * sqrt(sum(n * n) FILTER (side = 1)) AS norms FROM x GROUP BY ALL),
+o AS (SELECT a.doc_id, a.i, sum(a.n * b.n) AS dot FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.i = b.i AND a.h = b.h WHERE a.side = 0 AND b.side = 1 GROUP BY ALL),
+v AS (SELECT doc_id, i, s, place, round(coalesce(dot, 0) / norms, 9) AS v FROM m LEFT JOIN o USING (doc_id, i)),
+best AS (SELECT a.doc_id, a.i AS a, first(v.i ORDER BY v.s >= a.s + 900 DESC, v.v, v.i) AS b, first(v.v ORDER BY v.s >= a.s + 900 DESC, v.v, v.i) AS v FROM (SELECT doc_id, i, s, unnest([CAST(s AS BIGINT) // 1200, CAST(s AS BIGINT) // 1200 + 1]) AS place FROM w) a
+  JOIN v ON v.doc_id = a.doc_id AND v.place = a.place AND v.i > a.i AND v.s BETWEEN a.s + 450 AND a.s + 1200 GROUP BY a.doc_id, a.i),
+past AS (SELECT a.doc_id, a.i AS a, f.i AS b FROM w a ASOF JOIN w f ON a.doc_id = f.doc_id AND a.s + 1200 <= f.s),
+following AS (SELECT w.doc_id, w.i AS a, w.s, CASE WHEN last - s <= 1200 THEN n ELSE coalesce(best.b, past.b, n) END AS b, CASE WHEN last - s > 1200 THEN v END AS v FROM w LEFT JOIN best ON best.doc_id = w.doc_id AND best.a = w.i LEFT JOIN past ON past.doc_id = w.doc_id AND past.a = w.i),
+walk AS (SELECT * FROM following WHERE a = 0 UNION ALL SELECT f.* FROM walk JOIN following f ON f.doc_id = walk.doc_id AND f.a = walk.b)
+SELECT 'semantic::' || y.doc_id || '#' || row_number() OVER (PARTITION BY y.doc_id ORDER BY a) AS id, CAST(y.s AS INTEGER) AS char_start, CAST(z.e AS INTEGER) AS char_end, CAST(a AS INTEGER) AS word_start, CAST(b AS INTEGER) AS word_end, v AS selected_boundary_similarity,
+  md5({_sql_strip("substring(t, CAST(y.s AS BIGINT) + 1, CAST(z.e - y.s AS BIGINT))")}) AS body_md5 FROM walk y JOIN w z ON z.doc_id = y.doc_id AND z.i = y.b - 1 JOIN d ON d.doc_id = y.doc_id"""
+
+
 # ---- text rules
 
 
@@ -235,6 +255,41 @@ t AS (SELECT lco, string_agg('CONDITION ' || block || ': ' || text || chr(10) ||
 SELECT lco, md5(concat_ws(chr(10), title, lco_stmt, 'APPLICABILITY: ' || applicability, '', body)) AS outline FROM h JOIN t USING (lco)"""
 
 
+def condition_aware_chunks(spark, sf_dir):
+    p = _pages(spark, sf_dir)
+    rows = structure.condition_aware(sections.condition_records(sections.merge_sections(p), _blocks(p)))
+    return rows.select("id", "strategy", "metadata.chunk_type", F.array_join("metadata.evidence_ids", " ").alias("evidence"), F.md5("content.body").alias("body_md5"))
+
+
+def action_logic_chunks(spark, sf_dir):
+    p = _pages(spark, sf_dir)
+    rows = structure.action_logic(sections.action_records(sections.merge_sections(p), _blocks(p)))
+    return rows.select("id", "strategy", "metadata.chunk_type", F.array_join("metadata.evidence_ids", " ").alias("evidence"), F.md5("content.body").alias("body_md5"))
+
+
+_CONDITION_CHUNKS = f"SELECT 'condition_aware::' || id AS id, 'condition_aware' AS strategy, chunk_type, evidence, body_md5 FROM ({_CONDITIONS})"
+_ACTION_CHUNKS = f"SELECT 'action_logic::' || id AS id, 'action_logic' AS strategy, CASE WHEN condition_id IS NULL THEN 'lco_statement' ELSE 'action_logic' END AS chunk_type, id AS evidence, body_md5 FROM ({_ACTIONS})"
+
+
+def label_gaps(spark, sf_dir):
+    """Conditions of each order whose letters do not run A, B, C."""
+    return sections.label_gaps(_blocks(_pages(spark, sf_dir)))
+
+
+_GAPS = f"SELECT lco, id, label, chr(64 + id) AS expected FROM ({_BLOCKS}) WHERE label <> chr(64 + id)"
+
+
+def hierarchical_records(spark, sf_dir):
+    p = _pages(spark, sf_dir)
+    rows = sections.hierarchical_records(sections.merge_sections(p), _blocks(p))
+    block = lambda b: F.concat_ws("|", b["gid"], b["label"], b["text"], b["optional"].cast("string"), b["compound"].cast("string"), F.array_join(b["actions"]["gid"], ","))
+    return rows.select("id", "metadata.title", F.size("content.condition_blocks").alias("n_conditions"), F.md5("content.lco_statement").alias("statement"), F.md5("content.raw_text").alias("raw"), F.md5("content.actions_text").alias("outline"), F.md5(F.array_join(F.transform("content.condition_blocks", block), ";")).alias("blocks"))
+
+
+_HIERARCHICAL = f"""SELECT h.lco AS id, h.title, CAST(n AS INTEGER) AS n_conditions, md5(h.lco_stmt) AS statement, h.raw_md5 AS raw, outline, md5(blocks) AS blocks FROM ({_SECTIONS}) h JOIN ({_OUTLINE}) o ON o.lco = h.lco
+JOIN (SELECT lco, count(*) AS n, string_agg(lco || '/' || label || '|' || label || '|' || text || '|' || CAST(optional AS VARCHAR) || '|' || CAST(compound AS VARCHAR) || '|' || lco || '/' || replace(labels, ' ', ',' || lco || '/'), ';' ORDER BY id) AS blocks FROM ({_BLOCKS}) GROUP BY lco) b ON b.lco = h.lco"""
+
+
 def smoke_questions(spark, sf_dir):
     """The feature is a sample of the first questions."""
     p = _pages(spark, sf_dir)
@@ -288,38 +343,55 @@ SELECT CAST(l_orderkey AS VARCHAR) AS lco, CAST(block AS BIGINT) AS block, strin
 # ---- line items as positioned words
 
 
-def _placed(spark, sf_dir: str) -> DataFrame:
-    """Each order as a page: a heading, a statement, a table header and a row for each line item."""
+def _placed(spark, sf_dir: str, plain: bool = False) -> DataFrame:
+    """Each order as a page: a heading, a statement, a table header and a row for each line item.
+
+    Unless ``plain``, the applicability has a subscript; every fifth page ends in a
+    section that is left out; every seventh has a note with a label in it after its rows;
+    every eleventh has no condition on it, as if the table went on from the page before.
+    """
     i = _items(spark, sf_dir).withColumn("k", F.row_number().over(W.partitionBy("lco").orderBy(*_PLACE)))
-    word = lambda t, x, y: F.struct(t.cast("string").alias("text"), F.lit(float(x)).alias("x0"), y.cast("double").alias("top"))
-    y = F.lit(220.0) + 20 * F.col("k")
-    section = F.concat(F.lit("3.4."), F.col("l_orderkey") % 90 + 10)
+    word = lambda t, x, y: F.struct((t if isinstance(t, Column) else F.lit(t)).cast("string").alias("text"), F.lit(float(x)).alias("x0"), (y if isinstance(y, Column) else F.lit(y)).cast("double").alias("top"))
+    none = F.array().cast("array<struct<text:string,x0:double,top:double>>")
+    y, page = F.lit(220.0) + 20 * F.col("k"), F.col("l_orderkey")
+    section = F.concat(F.lit("3.4."), page % 90 + 10)
     head = [("Order", 60, 40), ("table", 120, 40), (section, 200, 40), ("LCO", 60, 110), (section, 100, 110), ("holds", 160, 110), ("APPLICABILITY:", 60, 130), ("MODE", 160, 130), ("1", 200, 130), ("ACTIONS", 60, 150), ("CONDITION", 60, 200), ("COMPLETION", 420, 200), ("TIME", 500, 200), ("Rev.", 60, 2000)]
-    first = F.when(F.col("k") == 1, F.array(*(word(F.lit(t) if isinstance(t, str) else t, x, F.lit(at)) for t, x, at in head))).otherwise(F.array().cast("array<struct<text:string,x0:double,top:double>>"))
-    row = F.array(word(F.when(F.col("k") % 3 == 1, F.concat("letter", F.lit("."))), 60, y), word(F.when(F.col("k") % 3 == 1, F.lit("late")), 90, y), word(F.when(F.col("l_returnflag") == "A", F.lit("AND")), 240, y - 8), word(F.concat("letter", F.lit("."), "l_linenumber"), 240, y), word(F.lit("Restore"), 290, y), word(F.col("l_partkey"), 340, y), word(F.col("l_quantity").cast("int"), 420, y), word(F.lit("hours"), 460, y))
-    words = i.select(F.col("l_orderkey"), "k", F.posexplode(F.filter(F.concat(first, row), lambda w: w["text"].isNotNull())).alias("pos", "w"))
+    extra = none
+    if not plain:
+        head.append(("b", 207, 133))
+        out = F.array(*(word(t, x, at) for t, x, at in (("SURVEILLANCE", 60, 1800), ("REQUIREMENTS", 160, 1800), ("Z.9", 240, 1820), ("check", 290, 1820))))
+        note = F.array(word("----NOTE----", 240, y + 20), word("Q.1", 240, y + 30), word("------", 240, y + 40))
+        last = F.col("k") == F.max("k").over(W.partitionBy("lco"))
+        extra = F.concat(F.when(page % 5 == 0, out).otherwise(none), F.when((page % 7 == 0) & last, note).otherwise(none))
+    first = F.when(F.col("k") == 1, F.array(*(word(t, x, at) for t, x, at in head))).otherwise(none)
+    opens = (F.col("k") % 3 == 1) & (F.lit(plain) | (page % 11 != 0))
+    row = F.array(word(F.when(opens, F.concat("letter", F.lit("."))), 60, y), word(F.when(opens, F.lit("late")), 90, y), word(F.when(F.col("l_returnflag") == "A", F.lit("AND")), 240, y - 8), word(F.concat("letter", F.lit("."), "l_linenumber"), 240, y), word("Restore", 290, y), word(F.col("l_partkey"), 340, y), word(F.col("l_quantity").cast("int"), 420, y), word("hours", 460, y))
+    words = i.withColumn("extra", extra).select("l_orderkey", "k", F.posexplode(F.filter(F.concat(first, row, "extra"), lambda w: w["text"].isNotNull())).alias("pos", "w"))
     x0 = F.col("w.x0")
     return words.select(F.lit("orders").alias("source_doc"), F.col("l_orderkey").cast("int").alias("page_no"), F.lit(2100.0).alias("page_height"), (F.col("k") * 100 + F.col("pos")).alias("word_ord"), F.col("w.text").alias("text"), x0.alias("x0"), (x0 + 6 * F.length("w.text")).alias("x1"), F.col("w.top").alias("top"), (F.col("w.top") + 10).alias("bottom"))
 
 
 def parsed_pages(spark, sf_dir):
-    rows = pages.parse_pages(_placed(spark, sf_dir))
-    return rows.select("page_no", "lco", "title", "lco_stmt", "applicability", F.size("cond_bands").alias("n_conditions"), F.size("act_items").alias("n_items"), F.array_join(F.transform("act_items", lambda i: F.coalesce(i["label"], i["text"])), " ").alias("labels"), F.array_join(F.transform("act_items", lambda i: F.coalesce(i["ct"], F.lit("-"))), "; ").alias("times"), F.md5("raw_text").alias("raw_md5"))
+    """Pages of section 3.4.20 have a layout of their own, in which quantities are in the action column."""
+    overrides = spark.createDataFrame([("3.4.20", 440.0)], "lco string, col2_max double")
+    rows = pages.parse_pages(_placed(spark, sf_dir), overrides=overrides)
+    return rows.select("page_no", "lco", "title", "lco_stmt", "applicability", F.size("cond_bands").alias("n_conditions"), F.size("act_items").alias("n_items"), F.array_join(F.transform("act_items", lambda i: F.coalesce(i["label"], i["text"])), " ").alias("labels"), F.array_join(F.transform("act_items", lambda i: F.coalesce(i["ct"], F.lit("-"))), "; ").alias("times"), F.array_join(F.transform("act_items", lambda i: F.coalesce(i["note"], F.lit("-"))), "; ").alias("notes"), F.md5("raw_text").alias("raw_md5"))
 
 
-_PARSED = f"""WITH a AS (SELECT l_orderkey, k, letter, letter || '.' || l_linenumber AS label, l_partkey, CAST(l_quantity AS INTEGER) || ' hours' AS ct, l_returnflag = 'A' AS linked, (k - 1) // 3 AS band FROM ({_LINES})),
-i AS (SELECT l_orderkey, k, 1 AS w, label, ct, label || ' Restore ' || l_partkey AS words, band FROM a UNION ALL SELECT l_orderkey, k, 0, 'AND', '-', 'AND', (k - 2) // 3 FROM a WHERE linked AND k > 1),
+_PARSED = f"""WITH a AS (SELECT l_orderkey, k, letter, letter || '.' || l_linenumber AS label, l_partkey, CAST(l_quantity AS INTEGER) AS q, l_orderkey % 90 = 10 AS wide, l_orderkey % 11 = 0 AS bare, l_returnflag = 'A' AS linked, CASE WHEN l_orderkey % 11 = 0 THEN 0 ELSE (k - 1) // 3 END AS band,
+  CASE WHEN l_orderkey % 7 = 0 AND k = max(k) OVER (PARTITION BY l_orderkey) THEN 'Q.1' END AS note FROM ({_LINES})),
+i AS (SELECT l_orderkey, k, 1 AS w, label, CASE WHEN wide THEN 'hours' ELSE q || ' hours' END AS ct, note, concat_ws(' ', label, 'Restore', l_partkey, CASE WHEN wide THEN q END, note) AS words, band FROM a UNION ALL SELECT l_orderkey, k, 0, 'AND', '-', NULL, 'AND', CASE WHEN bare THEN 0 ELSE (k - 2) // 3 END FROM a WHERE linked AND (bare OR k > 1)),
 acts AS (SELECT l_orderkey, band, string_agg(words, ' ' ORDER BY k, w) AS acts FROM i GROUP BY 1, 2),
-cells AS (SELECT l_orderkey, band, max(letter) FILTER (k % 3 = 1) || '. late' AS cond, string_agg(ct, ' ' ORDER BY k) AS times FROM a GROUP BY 1, 2),
-raws AS (SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n_conditions, string_agg(cond || ' ' || acts || ' ' || times, ' ' ORDER BY band) AS raw FROM cells JOIN acts USING (l_orderkey, band) GROUP BY 1),
-items AS (SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n_items, string_agg(label, ' ' ORDER BY k, w) AS labels, string_agg(ct, '; ' ORDER BY k, w) AS times FROM i GROUP BY 1)
-SELECT CAST(l_orderkey AS INTEGER) AS page_no, '3.4.' || (l_orderkey % 90 + 10) AS lco, 'Order table' AS title, 'LCO 3.4.' || (l_orderkey % 90 + 10) || ' holds' AS lco_stmt, 'MODE 1' AS applicability, n_conditions, n_items, labels, times,
-  md5('LCO 3.4.' || (l_orderkey % 90 + 10) || ' holds APPLICABILITY: MODE 1 ACTIONS ' || raw) AS raw_md5 FROM raws JOIN items USING (l_orderkey)"""
+cells AS (SELECT l_orderkey, band, max(letter) FILTER (NOT bare AND k % 3 = 1) || '. late' AS cond, string_agg(CASE WHEN wide THEN 'hours' ELSE q || ' hours' END, ' ' ORDER BY k) AS times, any_value(wide) AS wide, count(*) AS n FROM a GROUP BY 1, 2),
+raws AS (SELECT l_orderkey, CAST(count(cond) AS INTEGER) AS n_conditions, string_agg(concat_ws(' ', cond, acts, times), ' ' ORDER BY band) AS raw FROM cells JOIN acts USING (l_orderkey, band) GROUP BY 1),
+items AS (SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n_items, string_agg(label, ' ' ORDER BY k, w) AS labels, string_agg(ct, '; ' ORDER BY k, w) AS times, string_agg(coalesce(note, '-'), '; ' ORDER BY k, w) AS notes FROM i GROUP BY 1)
+SELECT CAST(l_orderkey AS INTEGER) AS page_no, '3.4.' || (l_orderkey % 90 + 10) AS lco, 'Order table' AS title, 'LCO 3.4.' || (l_orderkey % 90 + 10) || ' holds' AS lco_stmt, 'MODE 1_b' AS applicability, n_conditions, n_items, labels, times, notes,
+  md5('LCO 3.4.' || (l_orderkey % 90 + 10) || ' holds APPLICABILITY: MODE 1_b ACTIONS ' || raw) AS raw_md5 FROM raws JOIN items USING (l_orderkey)"""
 
 
 def page_bands(spark, sf_dir):
     """Condition bands of each page and the words in them by column."""
-    words = _placed(spark, sf_dir).withColumn("col", layout.column_of(F.col("x0"), F.lit(220), F.lit(410))).withColumn("end", F.lit(2000.0)).where("top > 200")
+    words = _placed(spark, sf_dir, plain=True).withColumn("col", layout.column_of(F.col("x0"), F.lit(220), F.lit(410))).withColumn("end", F.lit(2000.0)).where("top > 200")
     spans = layout.bands(layout.condition_anchors(words), "end")
     return layout.in_bands(words, spans).groupBy("page_no", "band_top", "band_bottom").agg(*(F.count_if(F.col("col") == c).alias(c.lower()) for c in ("COND", "ACT", "TIME")))
 
@@ -355,6 +427,20 @@ c AS (SELECT *, sum(CASE WHEN k > 1 AND regexp_matches(line, '^[A-M]') THEN 1 EL
 SELECT id, CAST(chunk AS BIGINT) AS chunk, count(*) AS n_lines, min(line_no) AS first_line FROM c GROUP BY id, chunk"""
 
 
+_TARGETS = [("A", "^[A-M]"), ("A", "ing [a-m]"), ("B", "@"), ("B", "^[N-Z]"), ("C", "the"), ("D", "no such line")]
+
+
+def pilot_colocation(spark, sf_dir):
+    """Whether the first lines of each letter's targets are in one chunk of the structure pilot."""
+    lines = structure.text_lines(_raw(spark, sf_dir), "raw_text")
+    return structure.located_together(structure.structure_islands(lines, r"^[A-M]"), _TARGETS)
+
+
+_COLOCATION = f"""{_PILOT_STRUCTURE.rpartition("SELECT id")[0]}, g(letter, pattern) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _TARGETS)}),
+h AS (SELECT i.id, letter, pattern, min(chunk) FILTER (regexp_matches(line, pattern)) AS first FROM (SELECT DISTINCT id FROM c) i CROSS JOIN g JOIN c ON c.id = i.id GROUP BY ALL)
+SELECT id, letter, count(DISTINCT coalesce(first, -1)) = 1 AND min(coalesce(first, -1)) >= 0 AS together FROM h GROUP BY ALL"""
+
+
 def pilot_distance(spark, sf_dir):
     """Runs of 50 vectors as the lines of a text."""
     lines = _read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("id"), F.col("vec_id").alias("line_no"), F.col("embedding").alias("vector"))
@@ -404,7 +490,8 @@ def _questions(spark, sf_dir: str) -> DataFrame:
 
 def _runs(spark, sf_dir: str) -> DataFrame:
     chunks = structure.common_columns(windows.naive_fixed_length(_raw(spark, sf_dir)))
-    return retrieval.retrieve(_questions(spark, sf_dir), retrieval.build_index(chunks, hashing()), hashing(), 5)
+    index = Scratch(spark, "index").table(retrieval.build_index(chunks, hashing()))
+    return retrieval.retrieve(_questions(spark, sf_dir), index, hashing(), 5)
 
 
 def retrieval_runs(spark, sf_dir):
@@ -465,12 +552,13 @@ SELECT q.id AS qa_id, 'naive_fixed_length' AS strategy, CAST(coalesce(n, 0) AS I
 _RETRIEVED = f"WITH {_RUNS} SELECT qa_id, 'naive_fixed_length' AS strategy, rank, round(score, 6) AS score, chunk_id FROM r"
 
 QUERIES = {f.__name__: f for f in (
-    fixed_chunks, sliding_chunks, chunk_statistics, semantic_chunks, cleaned_texts, word_offsets, match_texts, section_merge, connector_attach, condition_blocks, section_outline,
+    fixed_chunks, sliding_chunks, chunk_statistics, semantic_chunks, condition_aware_chunks, action_logic_chunks, label_gaps, hierarchical_records, pilot_colocation, cleaned_texts, word_offsets, match_texts, section_merge, connector_attach, condition_blocks, section_outline,
     condition_records, action_records, smoke_questions, evidence_from_text, label_parts, completion_times, parsed_pages, page_bands, note_spans, pilot_structure, pilot_distance,
     dense_topk, label_agreement, retrieval_runs, rag_prompts, eval_details, eval_details_by_ids, eval_summary, eval_diagnostics,
 )}
 
 ORACLES = {
+    "semantic_chunks": _SEMANTIC, "condition_aware_chunks": _CONDITION_CHUNKS, "action_logic_chunks": _ACTION_CHUNKS, "label_gaps": _GAPS, "hierarchical_records": _HIERARCHICAL, "pilot_colocation": _COLOCATION,
     "fixed_chunks": _ROWS.format(_FIXED), "sliding_chunks": _ROWS.format(_SLIDING), "chunk_statistics": _CHUNK_STATISTICS, "cleaned_texts": _CLEANED, "word_offsets": _WORD_OFFSETS, "match_texts": _MATCHED,
     "section_merge": _SECTIONS, "connector_attach": _CONNECTORS, "condition_blocks": _BLOCKS, "condition_records": _CONDITIONS, "action_records": _ACTIONS, "section_outline": _OUTLINE, "smoke_questions": _SMOKE, "evidence_from_text": _EVIDENCE, "label_parts": _LABEL_PARTS,
     "completion_times": _TIMES, "parsed_pages": _PARSED, "page_bands": _BANDS, "note_spans": _NOTES, "pilot_structure": _PILOT_STRUCTURE, "pilot_distance": _PILOT_DISTANCE, "dense_topk": f"SELECT query_id, vec_id, rank, round(score, 6) AS score FROM ({_NEAREST})",

@@ -61,7 +61,9 @@ def index(spark: SparkSession, config: Config, strategy: str = "all", encoder: E
 
 
 def questions(spark: SparkSession, config: Config) -> DataFrame:
-    return evaluation.last_questions(read_jsonl(spark, config.table("qa", config.raw.get("qa_file", "qa.jsonl")), QUESTIONS))
+    """Of repeated ids the last in file order."""
+    rows = read_jsonl(spark, config.table("qa", config.raw.get("qa_file", "qa.jsonl")), QUESTIONS, line="_line")
+    return evaluation.last_questions(rows, "_line")
 
 
 def retrieve(spark: SparkSession, config: Config, strategy: str = "all", encoder: Encoder | None = None) -> None:

@@ -4,6 +4,9 @@ Queries and chunks are packed into blocks of vectors.  Each pair of blocks is on
 product, which keeps the best k of its chunks for each query, so what is shuffled after it
 is k rows for each query and chunk block; the last step ranks those.  Texts stay out of
 the scoring and are joined to the ranked rows.
+
+Query blocks are broadcast if all query vectors have ``BROADCAST_BYTES`` at most; beyond
+that each pair of blocks is a key of its own, dealt over all tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pagemill.functions.text import strip, truthy
 from pagemill.functions.vectors import Encoder
 
 BLOCK = 1024
+BROADCAST_BYTES = 64 << 20
 
 
 def build_index(chunks: DataFrame, encoder: Encoder) -> DataFrame:
@@ -42,11 +46,17 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, query_key: str = "qa_id
     """
     groups = [group] if group else []
     kinds = {**dict(queries.dtypes), **dict(chunks.dtypes)}
-    n_queries, n_chunks = queries.count(), chunks.count()
+    size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0))).first()
+    n_queries, n_chunks = size[0], chunks.count()
+    n_blocks, chunk_blocks = (max(1, -(-n // BLOCK)) for n in (n_queries, n_chunks))
     left = _blocks(queries, query_key, n_queries, [], "q")
     right = _blocks(chunks, chunk_key, n_chunks, groups, "c")
-    right = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n_queries // BLOCK)) - 1))).alias("q_block"))
-    pairs = right.join(left, "q_block").select(*groups, "q", "c")
+    right = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("q_block"))
+    if 8 * size[1] <= BROADCAST_BYTES:
+        pairs = right.join(F.broadcast(left), "q_block").select(*groups, "q", "c")
+    else:
+        spread = left.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunk_blocks - 1))).alias("c_block"))
+        pairs = right.join(spread.hint("shuffle_hash"), ["q_block", "c_block"]).select(*groups, "q", "c")
     at = len(groups)
 
     def best(batches):
@@ -56,7 +66,7 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, query_key: str = "qa_id
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1)
                 q, c = one.column(at).flatten(), one.column(at + 1).flatten()
-                x, y = (np.array(v.field("vector").to_pylist(), np.float64) for v in (q, c))
+                x, y = (v.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1) for v in (q, c))
                 score = np.round(x @ y.T, 9)
                 n = min(k, score.shape[1])
                 names = c.field("key")

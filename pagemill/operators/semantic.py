@@ -1,21 +1,26 @@
 """Chunks cut at the word boundaries whose two sides are least alike.
 
-Words and candidate boundaries are rows; the contexts on both sides of a boundary are
-encoded and compared by Spark.  Only the choice of the cuts of one record, each of which
-depends on the one before, is a small function over the record's boundaries.
+Each distinct text is encoded once: its boundaries become rows of two contexts (never the
+whole text beside each), which are encoded and compared by Spark.  Only the choice of the
+cuts of one record, each of which depends on the one before, is a small function over the
+record's boundaries.
+
+Defined results: records are told apart by their text and not by their id, so repeated and
+null ids are cut like others; blank texts have no chunks; ties go to the first boundary.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions.text import evidence_ids, strip
 from pagemill.functions.vectors import Encoder, cosine
 from pagemill.operators.windows import as_chunks, raw_metadata
+from pagemill.sources.scratch import Scratch
 
 _SPAN = "struct<word_start:int,word_end:int,char_start:int,char_end:int,score:double>"
 
@@ -29,9 +34,32 @@ def word_spans(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"s": m.start(), "e": m.end()} for m in word.finditer(t)] if t else [])
 
 
-def boundary_candidates(n: Column, step: int) -> Column:
+def boundary_candidates(n: int, step: int) -> list[int]:
     """1, 1 + step, ... below n, and n - 1; none under two words."""
-    return F.when(n >= 2, F.array_distinct(F.concat(F.sequence(F.lit(1), n - 1, F.lit(step)), F.array(n - 1)))).otherwise(F.array().cast("array<int>"))
+    return sorted({*range(1, n, step), n - 1}) if n >= 2 else []
+
+
+def boundary_contexts(width: int, step: int, rows: int = 2000):
+    """(key, text) to (key, i, left, right): up to ``width`` words on each side of each candidate, a few at a time."""
+    def contexts(batches):
+        import re
+
+        import pyarrow as pa
+
+        word, names = re.compile(r"\S+"), ["key", "i", "left", "right"]
+        for batch in batches:
+            held: list[tuple] = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = [m.span() for m in word.finditer(text)]
+                for i in boundary_candidates(len(at), step):
+                    held.append((key, i, text[at[max(0, i - width)][0] : at[i - 1][1]], text[at[i][0] : at[min(len(at) - 1, i + width - 1)][1]]))
+                    if len(held) == rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.binary(), pa.int32(), pa.string(), pa.string()), strict=True)], names=names)
+                        held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.binary(), pa.int32(), pa.string(), pa.string()), strict=True)], names=names)
+
+    return contexts
 
 
 def greedy_cuts(starts: np.ndarray, ends: np.ndarray, boundaries: np.ndarray, scores: np.ndarray, least: int, target: int, most: int):
@@ -66,17 +94,13 @@ def semantic(records: DataFrame, *, encoder: Encoder, model_name: str, min_chars
         raise ValueError("expected min_chars <= target_chars <= max_chars")
     if context_window_words <= 0 or boundary_step_words <= 0:
         raise ValueError("context_window_words and boundary_step_words must be positive")
+    scratch = Scratch(records.sparkSession, "semantic")
     text = strip(F.coalesce("raw_text", F.lit("")))
-    worded = records.select("id", *raw_metadata(records), text.alias("text")).withColumn("words", word_spans("text")).where(F.size("words") > 0)
-    n, i, width = F.size("words"), F.col("i"), context_window_words
-    word = lambda k: F.get("words", k)
     part = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
-    edges = worded.select("id", "text", "words", F.explode_outer(boundary_candidates(n, boundary_step_words)).alias("i"))
-    left = part(word(F.greatest(F.lit(0), i - width))["s"], word(i - 1)["e"])
-    right = part(word(i)["s"], word(F.least(n - 1, i + width - 1))["e"])
-    scored = edges.select("id", "i", left.alias("left"), right.alias("right")).where("i is not null")
-    scored = scored.select("id", "i", F.round(cosine(encoder(F.col("left")), encoder(F.col("right"))), 9).alias("score"))
-    per_record = scored.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "score"))).alias("scores"))
+    keyed = records.select("id", *raw_metadata(records), text.alias("text")).where("text <> ''").withColumn("key", F.unhex(F.md5("text")))
+    edges = keyed.select("key", "text").dropDuplicates(["key"]).mapInArrow(boundary_contexts(context_window_words, boundary_step_words), "key binary, i int, left string, right string")
+    scored = edges.select("key", "i", F.round(cosine(encoder(F.col("left")), encoder(F.col("right"))), 9).alias("score"))
+    per_text = scratch.table(scored.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "score"))).alias("scores")))
 
     @F.pandas_udf(f"array<{_SPAN}>")
     def cuts(words: pd.Series, scores: pd.Series) -> pd.Series:
@@ -88,7 +112,7 @@ def semantic(records: DataFrame, *, encoder: Encoder, model_name: str, min_chars
             out.append([{"word_start": a, "word_end": b, "char_start": int(starts[a]), "char_end": int(ends[b - 1]), "score": s} for a, b, s in greedy_cuts(starts, ends, at, value, min_chars, target_chars, max_chars)])
         return pd.Series(out)
 
-    spans = worded.join(per_record, "id", "left").withColumn("spans", cuts("words", "scores"))
+    spans = keyed.join(per_text, "key", "left").withColumn("spans", cuts(word_spans("text"), "scores"))
     cut = spans.select("id", "lco", "title", "source_doc", "source_pages", "text", F.posexplode("spans").alias("k", "span"))
     body = strip(part(F.col("span.char_start"), F.col("span.char_end")))
     cut = cut.select("*", body.alias("body"), (F.col("k") + 1).alias("chunk_index"), "span.word_start", "span.word_end", "span.char_start", "span.char_end", F.col("span.score").alias("selected_boundary_similarity"))

@@ -2,7 +2,8 @@
 
 ``spark.checkpoint.dir`` names that folder.  A table there cuts the lineage, survives the
 loss of executors, and tells the planner its size, so that joins with it are broadcast
-only when they are small.
+only when they are small.  Results read these tables when they are used, so the tables stay
+as long as the session: they are deleted when the driver's JVM ends.
 """
 
 from __future__ import annotations
@@ -32,19 +33,22 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark).rstrip('/')}/pagemill-{name}-{uuid.uuid4().hex}"
         self._next = 0
+        self._path, self._conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
 
     def table(self, frame: DataFrame) -> DataFrame:
         """Write ``frame`` and return it as read back."""
         path = f"{self.folder}/{self._next}"
         self._next += 1
         frame.write.parquet(path)
+        if path.endswith("/0"):
+            place = self._path(self.folder)
+            place.getFileSystem(self._conf).deleteOnExit(place)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out.pagemill_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this scratch that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table.pagemill_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path = self._path(table.pagemill_path)
+            path.getFileSystem(self._conf).delete(path, True)

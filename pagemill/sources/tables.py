@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A row for each line that is not blank; a line that is not JSON fails the job, naming file and line text."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file")).where("trim(value) <> ''")
-    parsed = lines.select("file", "value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    failed = F.raise_error(F.concat(F.lit("not JSON in "), "file", F.lit(": "), F.substring("value", 1, 200)))
-    checked = parsed.select(F.when(F.col("r._bad").isNotNull(), failed.cast(parsed.schema["r"].dataType)).otherwise(F.col("r")).alias("r"))
-    return checked.select("r.*").drop("_bad")
+def read_jsonl(spark: SparkSession, path: str, schema: str, line: str | None = None) -> DataFrame:
+    """A row for each line that is not blank; a line that is not JSON fails the job, naming file and line text.
+
+    ``line`` names a column for the number of the line in its file, which failures then
+    name too.  It gathers a file's lines in one task: for files that people write.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    place = F.concat("file", F.lit(": "))
+    if line:
+        lines = lines.withColumn("no", F.row_number().over(W.partitionBy("file").orderBy("block", "at")))
+        place = F.concat("file", F.lit(", line "), "no", F.lit(": "))
+    parsed = lines.where("trim(value) <> ''").withColumn("r", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    failed = F.raise_error(F.concat(F.lit("not JSON in "), place, F.substring("value", 1, 200)))
+    checked = parsed.select(*([F.struct("file", "no").alias("_at")] if line else []), F.when(F.col("r._bad").isNotNull(), failed.cast(parsed.schema["r"].dataType)).otherwise(F.col("r")).alias("r"))
+    return checked.select(*([F.col("_at").alias(line)] if line else []), "r.*").drop("_bad")
 
 
 def write_jsonl(frame: DataFrame, path: str) -> None:
@@ -26,8 +35,9 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def write_json(frame: DataFrame, path: str) -> None:
-    """A summary of bounded size as one file."""
-    frame.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """A summary of bounded size as one indented document: a list of its rows."""
+    rows = F.to_json(F.collect_list(F.struct("*")), {"pretty": "true", "ignoreNullFields": "false"})
+    frame.agg(rows.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
@@ -59,8 +69,17 @@ def page_words(words: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
     return words.where(wanted)
 
 
-def pdf_words(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Words of PDF files, a file at a time on the workers; needs pdfplumber there."""
+def pages_without_words(words: DataFrame) -> DataFrame:
+    """(source_doc, page_no) of pages that hold no word: those of scanned pages, for example."""
+    return words.groupBy("source_doc", "page_no").agg(F.count("text").alias("n")).where("n = 0").drop("n")
+
+
+def pdf_words(spark: SparkSession, paths: list[str], ranges: list[tuple[int, int]] = ()) -> DataFrame:
+    """Words of PDF files, a file at a time on the workers; needs pdfplumber there.
+
+    Only pages in any of the inclusive ranges are laid out, all if there are none.  A page
+    without words gives one row with a null text, which ``pages_without_words`` reports.
+    """
     from pagemill.schemas import WORDS
 
     def extract(batches):
@@ -73,7 +92,10 @@ def pdf_words(spark: SparkSession, paths: list[str]) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 with pdfplumber.open(io.BytesIO(content)) as document:
                     for number, page in enumerate(document.pages, 1):
+                        if ranges and not any(a <= number <= b for a, b in ranges):
+                            continue
                         rows = [(path, number, float(page.height), k, w["text"], float(w["x0"]), float(w["x1"]), float(w["top"]), float(w["bottom"])) for k, w in enumerate(page.extract_words())]
+                        rows = rows or [(path, number, float(page.height), 0, None, 0.0, 0.0, 0.0, 0.0)]
                         yield pd.DataFrame(rows, columns=["source_doc", "page_no", "page_height", "word_ord", "text", "x0", "x1", "top", "bottom"])
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(extract, WORDS)

@@ -65,11 +65,19 @@ def test_greedy_cuts_follow_the_rule(lengths, seed):
     assert [(x, y) for x, y, _ in got] == want
 
 
-def test_boundary_candidates(spark):
-    get = lambda n: spark.range(1).select(semantic.boundary_candidates(F.lit(n), 3).alias("b")).first().b
-    assert get(8) == [1, 4, 7]
-    assert get(7) == [1, 4, 6]
-    assert get(1) == []
+def test_boundary_candidates():
+    assert semantic.boundary_candidates(8, 3) == [1, 4, 7]
+    assert semantic.boundary_candidates(7, 3) == [1, 4, 6]
+    assert semantic.boundary_candidates(1, 3) == []
+
+
+def test_repeated_and_null_ids_are_cut_like_others(spark):
+    texts = [" ".join(f"{stem}{i % n}" for i in range(700)) for stem, n in (("word", 17), ("other", 23))]
+    metadata = "struct<lco:string,title:string,source_doc:string,source_pages:array<int>>"
+    spans = lambda rows: sorted((r.metadata.char_start, r.metadata.char_end, r.content.body) for r in semantic.semantic(spark.createDataFrame([(i, None, t) for i, t in rows], f"id string, metadata {metadata}, raw_text string"), encoder=hashing(), model_name="h").collect())
+    alone = [spans([(str(i), t)]) for i, t in enumerate(texts)]
+    assert spans([("a", texts[0]), ("a", texts[1])]) == sorted(alone[0] + alone[1])
+    assert spans([("a", texts[0]), ("a", texts[0]), (None, texts[1])]) == sorted(alone[0] * 2 + alone[1])
 
 
 def test_semantic_chunks(spark):

@@ -83,6 +83,46 @@ def test_jsonl(spark, tmp_path):
         tables.read_jsonl(spark, str(place), "id string").collect()
 
 
+def test_lines_have_numbers_and_failures_name_them(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "1"}\n\n{"id": "2"}\n')
+    rows = tables.read_jsonl(spark, str(tmp_path / "a.jsonl"), "id string", line="at").collect()
+    assert sorted((r.id, r["at"].no) for r in rows) == [("1", 1), ("2", 3)]
+    (tmp_path / "a.jsonl").write_text('{"id": "1"}\n\n{oops\n')
+    with pytest.raises(Exception, match="a.jsonl, line 3"):
+        tables.read_jsonl(spark, str(tmp_path / "a.jsonl"), "id string", line="at").collect()
+
+
+def test_the_last_of_repeated_questions_stays(spark, tmp_path):
+    (tmp_path / "qa").mkdir()
+    lines = [{"id": str(i % 3), "question": f"q{i}"} for i in range(7)]
+    (tmp_path / "qa/qa.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    got = {r.id: r.question for r in stages.questions(spark, Config(str(tmp_path), {})).collect()}
+    assert got == {"0": "q6", "1": "q4", "2": "q5"}
+
+
+def test_json_document(spark, tmp_path):
+    frame = spark.createDataFrame([("a", 1), ("b", None)], "k string, n int").coalesce(1)
+    tables.write_json(frame, str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in (tmp_path / "out").glob("*.txt"))
+    assert json.loads(text) == [{"k": "a", "n": 1}, {"k": "b", "n": None}]
+    assert text.count("\n") > 4
+
+
+def test_top_k_beyond_the_broadcast_bound(spark, monkeypatch):
+    vectors = spark.range(300).select(F.col("id").alias("c"), F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("vector"))
+    asked = vectors.where("c % 7 = 0").withColumnRenamed("c", "q")
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    broadcast = sorted(map(tuple, retrieval.top_k(asked, vectors, 3, "q", "c").collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, retrieval.top_k(asked, vectors, 3, "q", "c").collect())) == broadcast
+    assert len(broadcast) == 3 * 43
+
+
+def test_pages_without_words(spark):
+    words = spark.createDataFrame([("d", 1, "a"), ("d", 2, None), ("d", 1, "b")], "source_doc string, page_no int, text string")
+    assert [tuple(r) for r in tables.pages_without_words(words).collect()] == [("d", 2)]
+
+
 def test_stage_order():
     assert stages.selected_stages("chunks", "retrieve") == ["chunks", "index", "retrieve"]
     with pytest.raises(ValueError, match="after"):
