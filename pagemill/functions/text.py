@@ -20,8 +20,8 @@ NOTE_OPEN = r"^-{3,}NOTES?-{3,}$"
 DASH_RUN = r"^-{3,}$"
 LABEL_IN_TEXT = r"\b([A-Z]\.\d+(?:\.\d+)?)\b"
 TIME_START = r"(?i)^(?:Immediately|\d+(?:\.\d+)?\s+(?:second|minute|hour|day|month|year)s?|Prior\s+to|Before|Upon|Once|Within)\b"
-_NOTE_HEAD = r"-{3,}\s*NOTES?\s*-{3,}"
-_EDITOR_NOTE = r"(?is)-{3,}\s*REVIEWER['’]S\s+NOTES?\s*-{3,}.*?-{3,}"
+_NOTE_HEAD = rf"-{{3,}}{SPACE}*NOTES?{SPACE}*-{{3,}}"
+_EDITOR_NOTE = rf"(?isU)-{{3,}}{SPACE}*REVIEWER['’]S{SPACE}+NOTES?{SPACE}*-{{3,}}.*?-{{3,}}"
 
 
 def strip(x: Column) -> Column:
@@ -35,8 +35,8 @@ def collapse(x: Column) -> Column:
 
 def _without_scaffolds(x: Column, note: str) -> Column:
     x = F.regexp_replace(x, _EDITOR_NOTE, " ")
-    x = F.regexp_replace(x, rf"(?is){_NOTE_HEAD}\s*(.*?)\s*-{{3,}}", note)
-    x = F.regexp_replace(x, rf"(?i){_NOTE_HEAD}", " ")
+    x = F.regexp_replace(x, rf"(?isU){_NOTE_HEAD}{SPACE}*(.*?){SPACE}*-{{3,}}", note)
+    x = F.regexp_replace(x, rf"(?iU){_NOTE_HEAD}", " ")
     return collapse(F.translate(F.regexp_replace(x, "-{3,}", " "), "[]", ""))
 
 

@@ -109,9 +109,10 @@ def cleaned_texts(spark, sf_dir):
 
 
 def _sql_scaffold(note: str) -> str:
-    head = r"-{3,}\s*NOTES?\s*-{3,}"
-    x = "regexp_replace(t, '-{3,}\\s*REVIEWER[''’]S\\s+NOTES?\\s*-{3,}.*?-{3,}', ' ', 'gis')"
-    x = f"regexp_replace({x}, '{head}\\s*(.*?)\\s*-{{3,}}', '{note}', 'gis')"
+    gap = f"[{_SPACES}]"
+    head = f"-{{3,}}{gap}*NOTES?{gap}*-{{3,}}"
+    x = f"regexp_replace(t, '-{{3,}}{gap}*REVIEWER[''’]S{gap}+NOTES?{gap}*-{{3,}}.*?-{{3,}}', ' ', 'gis')"
+    x = f"regexp_replace({x}, '{head}{gap}*(.*?){gap}*-{{3,}}', '{note}', 'gis')"
     return _sql_collapse(f"translate(regexp_replace(regexp_replace({x}, '{head}', ' ', 'gi'), '-{{3,}}', ' ', 'g'), '[]', '')")
 
 

@@ -16,6 +16,7 @@ CLEAN = [
     ("a ---REVIEWER'S NOTE--- drop --- b", "a b", "a b"),
     ("A.1 [Verify] ----NOTES---- tail", "A.1 Verify tail", "A.1 Verify tail"),
     ("x \x1c y", "x y", "x y"),
+    ("a ----\u00a0NOTE\u2003----keep\u00a0---- b", "a (NOTE: keep) b", "a keep b"),
     ("-----", "", ""),
     ("", "", ""),
 ]
