@@ -174,6 +174,55 @@ def test_vectors_equal_brute_force(spark):
     assert sum(fewer.values()) >= 0.9 * sum(n for n, _, _ in want.values())
 
 
+def linked_counts(rows, threshold=0.95):
+    u = rows.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    out = np.zeros(len(u), np.int64)
+    for a in range(0, len(u), 2000):
+        out[a : a + 2000] = (u[a : a + 2000] @ u.T >= threshold).sum(axis=1) - 1
+    return out
+
+
+def test_crowded_cells_are_exact(spark):
+    """Two groups of near copies far beyond a block, around each other, and strays between them."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=16)
+    other = centre + rng.normal(scale=0.35, size=16)
+    x = np.concatenate([c + rng.normal(scale=s, size=(n, 16)) for c, s, n in ((centre, 0.02, 900), (other, 0.03, 500), (centre, 0.4, 400), (np.zeros(16), 1.0, 300))]).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = linked_counts(x)
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(frame, block=16).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_recall_of_the_production_traversal(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(3000, 64))
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=unit.shape)
+    aside -= (aside * unit).sum(axis=1, keepdims=True) * unit
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    # partners just within the threshold, the hardest ones to find
+    x = np.concatenate([unit, 0.951 * unit + np.sqrt(1 - 0.951**2) * aside])
+    frame = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, n_links string")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(frame, block=32, target_recall=embeddings.TARGET_RECALL).collect()}
+    want = linked_counts(x)
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.995 * want.sum()
+
+
+def test_fifty_thousand_near_copies(spark):
+    frame = spark.range(50_000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.sin(k * 7.0) + F.lit(0.001) * F.sin(F.col("id") * (k + 0.5))).alias("embedding"))
+    rows = embeddings.near_vectors(frame, target_recall=embeddings.TARGET_RECALL).groupBy("n_links", "component_id").count().collect()
+    assert [tuple(r) for r in rows] == [(49_999, 0, 50_000)]
+
+
+def test_lengths_beyond_the_range_of_squares(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [2e200, -1e200])]
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
+
+
 def test_vector_cases(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.near_vectors(spark.createDataFrame([], schema)).count() == 0
