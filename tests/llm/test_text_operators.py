@@ -325,6 +325,100 @@ def test_limits_do_not_grow_with_the_sample():
     assert max(limits) < 1.3 * min(limits)
 
 
+def kneser_ney(words, vocabulary, order=4):
+    """Cross-entropy per character by the textbook recursion, for a model of these words."""
+    pad = "\x02" * (order - 1)
+    counts = [Counter() for _ in range(order + 1)]
+    for w in words:
+        t = pad + w + "\x03"
+        counts[order].update(t[i : i + order] for i in range(len(t) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    discount = {}
+    for k in range(1, order + 1):
+        ones, twos = sum(c == 1 for c in counts[k].values()), sum(c == 2 for c in counts[k].values())
+        discount[k] = ones / (ones + 2 * twos) if ones and twos else 0.75
+
+    def p(context, c, k):
+        lower = p(context[1:], c, k - 1) if k > 1 else 1 / vocabulary
+        total = sum(n for g, n in counts[k].items() if g[:-1] == context)
+        if not total:
+            return lower
+        types = sum(g[:-1] == context for g in counts[k])
+        return max(counts[k][context + c] - discount[k], 0) / total + discount[k] * types / total * lower
+
+    def entropy(text):
+        loss = [-np.log(p(t[i - order + 1 : i], t[i], order)) for w in text.split() for t in [pad + w + "\x03"] for i in range(order - 1, len(t))]
+        return sum(loss) / len(loss)
+
+    return entropy
+
+
+def test_scores_equal_an_independent_kneser_ney():
+    counts_of = {}
+    for lang, words in (("en", ENGLISH), ("de", GERMAN)):
+        own = counts_of.setdefault(lang, Counter())
+        for w in words:
+            t = "\x02" * 3 + w + "\x03"
+            own.update(t[i : i + 4] for i in range(len(t) - 3))
+    model = language.Model(counts_of)
+    # the models share the alphabet of all languages
+    vocabulary = len({g[-1] for own in counts_of.values() for g in own}) + 1
+    texts = ["the cat sat", "hunde und katzen", "zebra xylophon", "in"]
+    got, _, _ = language.Scorer(model).documents(texts)
+    for k, words in enumerate((GERMAN, ENGLISH)):
+        entropy = kneser_ney(words, vocabulary)
+        assert got[:, k] == pytest.approx([entropy(t) for t in texts], rel=1e-5)
+    assert model.languages == ["de", "en"]
+
+
+def test_thousands_of_labels(spark):
+    frame = labelled(spark).select("doc_id", "text", "lang")
+    rare = spark.range(10_000, 15_000).select(F.col("id").alias("doc_id"), F.lit("some words here").alias("text"), F.concat(F.lit("x"), F.col("id")).alias("lang"))
+    model = language.train(frame.unionByName(rare))
+    assert model.languages == ["de", "en"]
+    every = spark.range(5_000 * 12).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text"), F.concat(F.lit("x"), F.col("id") % 5000).alias("lang"))
+    assert len(language.train(every, per_language=5).languages) <= language.MOST_LANGUAGES
+
+
+def test_held_out_accuracy_and_planted_rows(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(2)
+    junk = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(60)) for _ in range(20)]
+    code = ["for (int i = 0; i < n; ++i) { xs[i] = fn(ys[i], zs[i]); } return ptr->next; while (p != nullptr) { p = p->rhs; ++cnt; } " * 3] * 5
+    planted = [(10**6 + i, t, None) for i, t in enumerate([*[f * 2 for f in FOREIGN], *junk, *code])]
+    rows = language.fit_and_identify(documents.union(spark.createDataFrame(planted, documents.schema))).collect()
+    held = [r for r in rows if r.doc_id < 10**6 and r.held_out and r.lang_pred != "und" and r.lang is not None]
+    assert sum(r.lang_pred == r.lang for r in held) >= 0.99 * len(held)
+    clean = [r.rejected for r in rows if r.doc_id < 10**6 and r.lang_pred != "und"]
+    bad = [r.rejected for r in rows if r.doc_id >= 10**6]
+    assert sum(clean) <= 0.01 * len(clean)
+    assert sum(bad) >= 0.9 * len(bad)
+
+
+def test_base_counts_equal_a_plain_restatement(spark):
+    rng = np.random.default_rng(4)
+    pick = lambda n: [str(rng.choice(["a", "bb", "c#", "|", "é", "x*y", "$5"])) for _ in range(n)]
+    texts = ["".join(w + str(rng.choice([" ", "\n", "  ", "\t", "\n\n"])) for w in pick(rng.integers(0, 120))) for _ in range(120)]
+    texts += ["same\nsame\n \n \nsame", "", None, "\x0b\x0c", "w " * 50, "a\u00a0b c", *texts[:5], "long " * 60_000]
+
+    def plain(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        often = Counter(windows)
+        again = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
+        seen, lines = set(), 0
+        for line in (text or "").split("\n"):
+            lines += line in seen and bool(re.search(r"[^\x20\x09-\x0D]", line))
+            seen.add(line)
+        failed = len(words) < 50 or 100 * len(again) > 50 * len(words)
+        return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), lines, len(again), failed
+
+    rows = quality.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain(texts[r.doc_id])
+
+
 def test_language_without_labels(spark):
     frame = labelled(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language.fit_and_identify(frame).collect()} == {"und"}
