@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.words import Batch, RunHashes, binary_values, slices
+from pagemill.llm.scratch import bound_batches
+from pagemill.llm.words import Batch, RunHashes, sliced
 
 THRESHOLD = 0.8
 
@@ -208,6 +209,7 @@ def _stretches(own: np.ndarray, shared: np.ndarray, n: int, least: float, most:
 
 def scan(documents: DataFrame, text_column: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, marks: dict[str, tuple[str, ...]] = MARKS) -> DataFrame:
     """``documents`` with ``licenses``: array of (name, dice, begin, end); a column of that name is replaced."""
+    bound_batches(documents.sparkSession)
     documents = documents.drop("licenses")
     at, width = documents.columns.index(text_column), len(documents.columns)
     kind = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("dice", T.DoubleType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -219,9 +221,8 @@ def scan(documents: DataFrame, text_column: str = "text", templates: dict[str, s
         known = Index([Template(name, text, marks.get(name, ())) for name, text in templates.items()])
         arrow = pa.list_(pa.struct([("name", pa.string()), ("dice", pa.float64()), ("begin", pa.int32()), ("end", pa.int32())]))
         for whole in batches:
-            values = binary_values(whole.column(at))
-            for a, b in slices([len(v or b"") for v in values]):
-                batch = Batch([v and v.translate(_FOLD) for v in values[a:b]])
+            for a, b, values in sliced(whole.column(at)):
+                batch = Batch([v and v.translate(_FOLD) for v in values])
                 found = matches_in(batch, RunHashes(batch.hashes).all(2), known, threshold)
                 column = pa.array([[dict(zip(("name", "dice", "begin", "end"), m, strict=True)) for m in own] for own in found], arrow)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in (whole.column(k) for k in range(width))), column], names=names)

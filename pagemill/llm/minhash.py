@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.blocks import linked_in_blocks
 from pagemill.llm.scratch import Scratch
 from pagemill.llm.sieve import Sieve, build_sieve
-from pagemill.llm.words import Batch, RunHashes, binary_values, mix64, slices
+from pagemill.llm.words import Batch, RunHashes, mix64, sliced
 
 ROWS, BANDS, BITS = 6, 32, 2
 MARGIN, SMALL = 4.5, 64
@@ -231,9 +231,8 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
 
     def signed(batches):
         for whole in batches:
-            values = binary_values(whole.column(1))
-            for a, b in slices([len(v or b"") for v in values]):
-                hashes, n = shingle_sets(values[a:b], shingle)
+            for a, b, values in sliced(whole.column(1)):
+                hashes, n = shingle_sets(values, shingle)
                 full = np.flatnonzero(n)
                 begins = (np.cumsum(n) - n)[full]
                 nodes: list = [None] * (b - a)
@@ -280,9 +279,8 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     def full_sets(batches):
         sieve = Sieve(set_sieve.value)
         for whole in batches:
-            values = binary_values(whole.column(0))
-            for a, b in slices([len(v or b"") for v in values]):
-                hashes, n = shingle_sets(values[a:b], shingle)
+            for a, b, values in sliced(whole.column(0)):
+                hashes, n = shingle_sets(values, shingle)
                 full = np.flatnonzero(n)
                 if len(full):
                     begins = (np.cumsum(n) - n)[full]

@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.counts import PATTERN
-from pagemill.llm.scratch import Scratch
-from pagemill.llm.words import Batch, RunHashes, binary_values, mix64, slices
+from pagemill.llm.scratch import Scratch, bound_batches
+from pagemill.llm.words import Batch, RunHashes, mix64, sliced
 
 VOCABULARY, RANKS = "/opt/tokenizers/piece_bpe_32k.model", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LONGEST = 1000
@@ -193,6 +193,7 @@ def script_of(text: bytes | None) -> str:
 
 def measure(documents: DataFrame, text_column: str = "text", vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
     """``documents`` with counts, measures, ``base_failed`` and ``_script``; columns of those names are replaced."""
+    bound_batches(documents.sparkSession)
     documents = documents.drop("_script", *(name for name, _ in _ADDED))
     at, width = documents.columns.index(text_column), len(documents.columns)
     fields = [*documents.schema.fields, *(T.StructField(*x) for x in _ADDED[:-1]), T.StructField("_script", T.StringType())]
@@ -203,9 +204,8 @@ def measure(documents: DataFrame, text_column: str = "text", vocabulary: str = V
 
         fertility = [Fertility(kind(own)) for kind, own in zip((Pieces, BytePairs), files.value, strict=True)]
         for whole in batches:
-            values = binary_values(whole.column(at))
-            for x, y in slices([len(v or b"") for v in values]):
-                part, texts = whole.slice(x, y - x), values[x:y]
+            for x, y, texts in sliced(whole.column(at)):
+                part = whole.slice(x, y - x)
                 batch, data = Batch(texts), b"\n".join(t or b"" for t in texts) + b"\n"
                 raw = np.frombuffer(data, np.uint8)
                 ends = np.append(batch.bytes_before[1:], len(raw))

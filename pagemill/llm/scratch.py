@@ -1,5 +1,27 @@
-"""Tables between the steps of an operator (see ``pagemill.sources.scratch``)."""
+"""Tables between the steps of an operator (see ``pagemill.sources.scratch``).
 
-from pagemill.sources.scratch import Scratch, shared_folder
+Rows of these operators hold whole texts, so the batches that go to Python are bounded by
+bytes as well as by rows, unless the session says otherwise.
+"""
 
-__all__ = ["Scratch", "shared_folder"]
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from pagemill.sources import scratch
+from pagemill.sources.scratch import shared_folder
+
+__all__ = ["Scratch", "bound_batches", "shared_folder"]
+
+BATCH_BYTES, _SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_SETTING, None) is None:
+        spark.conf.set(_SETTING, BATCH_BYTES)
+
+
+class Scratch(scratch.Scratch):
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        super().__init__(spark, name)
+        bound_batches(spark)

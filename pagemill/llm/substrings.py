@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from pagemill.llm.scratch import Scratch
 from pagemill.llm.sieve import Sieve, build_sieve, sifted
-from pagemill.llm.words import Batch, RunHashes, binary_values, slices
+from pagemill.llm.words import Batch, RunHashes, sliced
 
 WINDOW = 35
 ANCHOR = 12
@@ -79,9 +79,8 @@ def repeated_ranges(texts: DataFrame, scratch: Scratch, window: int, anchor: int
 
     def seeds(batches):
         for whole in batches:
-            values = binary_values(whole.column(0))
-            for a, b in slices([len(v or b"") for v in values]):
-                _, _, h, _, _ = anchors_of(Batch(values[a:b]), window, anchor)
+            for _, _, values in sliced(whole.column(0)):
+                _, _, h, _, _ = anchors_of(Batch(values), window, anchor)
                 one, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"g": _signed(one), "n": n})
 
@@ -91,9 +90,8 @@ def repeated_ranges(texts: DataFrame, scratch: Scratch, window: int, anchor: int
     def each(batches, chosen):
         for whole in batches:
             keys, others = (whole.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1))
-            values = binary_values(whole.column(2))
-            for a, b in slices([len(v or b"") for v in values]):
-                batch = Batch(values[a:b])
+            for a, b, values in sliced(whole.column(2)):
+                batch = Batch(values)
                 runs, document, h, first, last = anchors_of(batch, window, anchor)
                 pick = chosen(h)
                 if pick is not None:
@@ -172,12 +170,11 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
 
         spans_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
         for whole in batches:
-            values = binary_values(whole.column(at))
-            ranges = whole.column(len(fields) - 3).to_pylist()
-            for a, b in slices([len(v or b"") for v in values]):
-                batch, texts, removed, spans = Batch(values[a:b]), values[a:b], np.zeros(b - a, np.int64), []
+            for a, b, texts in sliced(whole.column(at)):
+                ranges = whole.column(len(fields) - 3).slice(a, b - a).to_pylist()
+                batch, removed, spans = Batch(texts), np.zeros(b - a, np.int64), []
                 for i in range(b - a):
-                    own = merged(ranges[a + i] or [], window)
+                    own = merged(ranges[i] or [], window)
                     spans.append([{"begin": x, "end": y} for x, y in own])
                     if own:
                         first = batch.first[batch.starts[i] : batch.ends[i]] - batch.bytes_before[i]

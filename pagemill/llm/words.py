@@ -111,8 +111,14 @@ def slices(sizes: list[int], limit: int = 500_000) -> list[tuple[int, int]]:
     return out
 
 
-def binary_values(column) -> list[bytes | None]:
-    """A string or binary Arrow column as bytes."""
+def sliced(column, limit: int = 500_000):
+    """(begin, end, values) of slices of a string or binary Arrow column, of about ``limit`` bytes; values are bytes.
+
+    Only one slice at a time is turned into Python values.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    return column.cast(pa.binary()).to_pylist()
+    column = column.cast(pa.binary())
+    for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit):
+        yield a, b, column.slice(a, b - a).to_pylist()
