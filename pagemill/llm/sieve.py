@@ -77,20 +77,21 @@ def build_sieve(keys: DataFrame, column: str):
     return spark.sparkContext.broadcast(whole)
 
 
-def sifted(frame: DataFrame, keys: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``frame`` whose ``key`` (long) may be among the hashes in the one column of ``keys``, and the others.
-
-    Only keys go through Python; the rows stay where they are.
-    """
-    bits = build_sieve(keys, keys.columns[0])
-
+def passing(bits, key: Column) -> Column:
+    """Whether a long ``key`` passes a broadcast sieve.  Only keys go through Python; the rows stay where they are."""
     @F.pandas_udf("boolean")
     def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sieve = Sieve(bits.value)
         for own in batches:
             yield pd.Series(sieve.passes(own.to_numpy().view(np.uint64)))
 
-    return frame.where(passes(key)), frame.where(~passes(key))
+    return passes(key)
+
+
+def sifted(frame: DataFrame, keys: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``frame`` whose ``key`` (long) may be among the hashes in the one column of ``keys``, and the others."""
+    hit = passing(build_sieve(keys, keys.columns[0]), key)
+    return frame.where(hit), frame.where(~hit)
 
 
 def without_ids(frame: DataFrame, gone: DataFrame, column: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.scratch import Scratch
-from pagemill.llm.sieve import Sieve, build_sieve, sifted
+from pagemill.llm.sieve import Sieve, build_sieve, passing
 from pagemill.llm.words import Batch, RunHashes, sliced
 
 WINDOW = 35
@@ -158,10 +158,10 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
     keyed = documents.withColumns({_KEY: F.xxhash64(id_column, text_column), _KEY2: F.xxhash64(F.lit(_KEY2), text_column, id_column)})
     ranges = scratch.table(repeated_ranges(keyed.select(_KEY, _KEY2, F.col(text_column).alias("text")), scratch, window, anchor))
     ranges = ranges.withColumnsRenamed({"key": _KEY, "key2": _KEY2})
-    touched, others = sifted(keyed, ranges.select(_KEY), F.col(_KEY))
+    bits = build_sieve(ranges.select(_KEY), _KEY)
     columns = [*documents.columns, "ranges"]
-    none = F.lit(None).cast(ranges.schema["ranges"].dataType)
-    joined = touched.join(ranges, [_KEY, _KEY2], "left").select(columns).union(others.withColumn("ranges", none).select(columns))
+    joined = keyed.where(passing(bits, F.col(_KEY))).join(ranges, [_KEY, _KEY2], "left").select(columns)
+    others = keyed.withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType)).select(*columns, _KEY)
     fields = [*documents.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])))]
     at = documents.columns.index(text_column)
 
@@ -189,7 +189,20 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
                 columns = [pa.array(texts, pa.binary()).cast(part.column(k).type) if k == at else part.column(k) for k in range(len(fields) - 3)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(batch.counts), pa.array(removed), pa.array(spans, spans_type)], names=[f.name for f in fields])
 
-    return joined.mapInArrow(cut, T.StructType(fields))
+    def untouched(batches):
+        import pyarrow as pa
+
+        sieve, width = Sieve(bits.value), len(columns)
+
+        def rest():
+            for batch in batches:
+                keep = ~sieve.passes(batch.column(width).to_numpy(zero_copy_only=False).view(np.uint64))
+                yield pa.RecordBatch.from_arrays(batch.columns[:width], names=columns).filter(pa.array(keep))
+
+        return cut(rest())
+
+    # one Python worker for a task in either branch
+    return joined.mapInArrow(cut, T.StructType(fields)).union(others.mapInArrow(untouched, T.StructType(fields)))
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
