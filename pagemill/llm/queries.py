@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagemill.llm.centroids import OP11_SQL, op11_centroid_clustering
 from pagemill.llm.counts import OP6_SQL, op6_token_rollup
 from pagemill.llm.embeddings import op4_embedding_near_dedup
 from pagemill.llm.language import op9_language_id
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
 ORACLES = {
@@ -31,4 +33,5 @@ ORACLES = {
     "op3_mix_sources": OP3_SQL,
     "op6_token_rollup": OP6_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_centroid_clustering": OP11_SQL,
 }
