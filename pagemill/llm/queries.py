@@ -13,6 +13,7 @@ from pagemill.llm.packing import op2_best_fit_packing
 from pagemill.llm.quality import op8_quality_rules
 from pagemill.llm.substrings import OP10_SQL, op10_substring_dedup
 from pagemill.llm.urls import OP1_SQL, op1_url_filters
+from pagemill.llm.whitening import op13_embedding_whitening
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES = {
