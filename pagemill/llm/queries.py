@@ -11,6 +11,7 @@ from pagemill.llm.minhash import op7_minhash_near_dedup
 from pagemill.llm.mixing import OP3_SQL, op3_mix_sources
 from pagemill.llm.packing import op2_best_fit_packing
 from pagemill.llm.quality import op8_quality_rules
+from pagemill.llm.secrets import OP12_SQL, op12_secret_scan
 from pagemill.llm.substrings import OP10_SQL, op10_substring_dedup
 from pagemill.llm.urls import OP1_SQL, op1_url_filters
 from pagemill.llm.whitening import op13_embedding_whitening
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_secret_scan": op12_secret_scan,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
@@ -36,4 +38,5 @@ ORACLES = {
     "op6_token_rollup": OP6_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op11_centroid_clustering": OP11_SQL,
+    "op12_secret_scan": OP12_SQL,
 }
