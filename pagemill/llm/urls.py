@@ -19,7 +19,8 @@ Defined results: a null url, or one without ``://``, has an empty host and path,
 rule and is allowed; a url whose scheme is no RFC 3986 scheme has no aliases; repeated urls
 get equal verdicts; links to urls outside the table still connect those inside it; of
 several canonical links, refreshes or bases of a page the first counts; links in comments
-and scripts do not.
+and scripts do not, nor does a tag that the text ends within; quotes delimit a value only
+after ``=`` and where they are closed; tags of any length are read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Patterns of HTML and of RFC 3986, in a form that Java and RE2 read alike.
 _UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
-_TAG = r"""(?is)<(?:link|meta|base)[\s/](?:[^>"']|"[^"]*"|'[^']*')*>"""
+# A tag ends at the first > outside of a quoted value, or with the text; possessive, so that no length of tag needs a stack, and no beginning is tried twice.
+_TAG = r"""(?is)<(?:link|meta|base)[\s/](?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+(?:>|\z)"""
 _ATTRIBUTE = r"""(?is)[^\s"'>/=<]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
 _NAME, _VALUE = r"(?s)^([^\s=]+)", r"""(?s)^[^\s=]+\s*=\s*(?:"([^"]*)"|'([^']*)'|(.*))$"""
 _REFRESH = r"(?is)^\s*[0-9.]+(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?(.*)$"
@@ -105,7 +107,7 @@ def html_links(pages: DataFrame, url_column: str, html_column: str) -> DataFrame
     """(a, b): each page's url and the url that its canonical link or refresh redirect names, in normal form."""
     seen = F.regexp_replace(html_column, _UNSEEN, " ")
     tags = pages.where(f"{url_column} like '%://%' and ({html_column} ilike '%canonical%' or {html_column} ilike '%refresh%')")
-    tags = tags.select(F.col(url_column).alias("url"), F.regexp_extract_all(seen, F.lit(_TAG), 0).alias("tags"))
+    tags = tags.select(F.col(url_column).alias("url"), F.filter(F.regexp_extract_all(seen, F.lit(_TAG), 0), lambda t: t.endswith(">")).alias("tags"))
 
     kinds = F.transform("tags", lambda t: F.struct(F.translate(F.regexp_extract(t, r"^<([A-Za-z]+)", 1), _UPPER, _LOWER).alias("tag"), F.regexp_extract_all(F.regexp_replace(t, r"^<[A-Za-z]+", ""), F.lit(_ATTRIBUTE), 0).alias("held")))
 
@@ -163,6 +165,9 @@ def op1_url_filters(spark, sf_dir: str) -> DataFrame:
     return judge(pages.select("page_id", "url"), links, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+# The same in the SQL's own words: RE2 has no possessive forms and needs none.
+_SQL_TAG = r"""(?is)<(?:link|meta|base)[\s/](?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*?(?:>|\z)"""
+_SQL_ATTRIBUTE = r"""(?is)[^\s"'=<>/]+\s*=\s*"[^"]*"|[^\s"'=<>/]+\s*=\s*'[^']*'|[^\s"'=<>/]+\s*=\s*[^\s"'=<>`]+|[^\s"'=<>/]+"""
 _FITS = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
 _ORDERED = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
 
@@ -185,7 +190,7 @@ def _sql_split(x: str, pattern: str) -> str:
 
 
 def _sql_attribute(tag: str, name: str) -> str:
-    listed = f"regexp_extract_all(regexp_replace({tag}, '^<[A-Za-z]+', ''), {_quoted(_ATTRIBUTE)})"
+    listed = f"regexp_extract_all(regexp_replace({tag}, '^<[A-Za-z]+', ''), {_quoted(_SQL_ATTRIBUTE)})"
     own = f"list_filter({listed}, lambda a: {_sql_fold(f'regexp_extract(a, {_quoted(_NAME)}, 1)')} = '{name}')[1]"
     code = "coalesce(try_cast(regexp_extract(e, '^&#([0-9]{1,7});$', 1) AS INTEGER), try_cast('0x' || nullif(regexp_extract(e, '^&#[xX]([0-9A-Fa-f]{1,6});$', 1), '') AS INTEGER))"
     named = " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in _NAMED.items())
@@ -213,7 +218,7 @@ def _sql_tag(name: str, test: str) -> str:
 #: Links are followed with a recursive reachability query: exact, for small tables.
 OP1_SQL = rf"""
 WITH RECURSIVE p AS (SELECT page_id, url, html, normal AS u FROM {_sql_normal("pages", "url", "url", "page_id, url, html")}),
-t AS (SELECT url, u, regexp_extract_all(regexp_replace(html, {_quoted(_UNSEEN)}, ' ', 'g'), {_quoted(_TAG)}) AS tags FROM p WHERE url LIKE '%://%'),
+t AS (SELECT url, u, list_filter(regexp_extract_all(regexp_replace(html, {_quoted(_UNSEEN)}, ' ', 'g'), {_quoted(_SQL_TAG)}), lambda t: ends_with(t, '>')) AS tags FROM p WHERE url LIKE '%://%'),
 a AS (SELECT url, u, {_sql_attribute(_sql_tag("link", f"list_contains(regexp_split_to_array({_sql_fold(_sql_attribute('t', 'rel'))}, '[ \t\n\f\r\x0b]+'), 'canonical')"), "href")} AS canonical,
   regexp_extract({_sql_attribute(_sql_tag("meta", f"{_sql_fold(_sql_attribute('t', 'http-equiv'))} = 'refresh'"), "content")}, {_quoted(_REFRESH)}, 1) AS after, {_sql_attribute(_sql_tag("base", f"{_sql_attribute('t', 'href')} <> ''"), "href")} AS base FROM t),
 f AS (SELECT u, coalesce(CASE WHEN base <> '' THEN normal END, url) AS base, unnest([canonical, {_sql_split("after", _QUOTED)}]) AS link FROM {_sql_normal("a", "base", "url", "u, url, base, canonical, after")}),

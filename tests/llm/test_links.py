@@ -97,3 +97,23 @@ def test_hosts_fold_and_ports_go(spark):
     links = spark.createDataFrame([("http://ALIAS.net:80/x#f", "http://bad.com/de/../de/1")], "a string, b string")
     got = {r.page_id: r.verdict for r in urls.judge(pages, links, urls.RULES).collect()}
     assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
+
+
+def test_tags_of_any_length(spark, tmp_path):
+    """Unclosed, unquoted, many-attribute and much repeated tags of 1 MB neither fail nor hide what others say."""
+    n, link = 1_000_000, "<link rel=canonical href='http://x.com/de/1'>"
+    found = {
+        0: f"<link rel=canonical href='http://x.com/de/1' data-x={'a' * n}>", 1: f"<link rel=canonical href='http://x.com/de/1' data-x='{'a' * n}'>",
+        2: f"<link {' '.join(f'a{k}=b' for k in range(n // 8))} rel=canonical href='http://x.com/de/1'>", 3: f"<link {'a ' * (n // 2)} rel=canonical href='http://x.com/de/1'>",
+        4: f"{link}<link rel=canonical {'x' * n}", 5: f"{link}{'<link ' * (n // 6)}", 6: f"<meta content=it's>{link}", 7: f"<p title=\"{'<' * n}\">{link}", 8: f"{link}<link a={chr(34)}{'x' * n}",
+        9: f"<link x={'=' * n} rel=canonical href='http://x.com/de/1'>", 10: f"<meta http-equiv=refresh content='0; url=http://x.com/de/1'{' ' * n}>",
+    }
+    lost = {20: f"<link rel=canonical {'x' * n}", 21: f"<link rel=canonical href='http://x.com/de/1'{' y' * (n // 2)}", 22: "<link rel=canonical href='http://x.com/de/1>'", 23: f"<!--{link}{'-' * n}", 24: "canonical " * (n // 10), 25: None, 26: ""}
+    rows = [(i, f"http://p{i}.net/", html) for i, html in {**found, **lost}.items()]
+    folder = tmp_path / "pages.parquet"
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).write.parquet(str(folder))
+    got = sorted(map(tuple, urls.op1_url_filters(spark, str(tmp_path)).collect()))
+    assert {r[0]: r[4] for r in got} == {**dict.fromkeys(found, "block"), **dict.fromkeys(lost, "allow")}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/*.parquet'")
+        assert got == sorted(db.execute(urls.OP1_SQL).fetchall())
