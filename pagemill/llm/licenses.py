@@ -11,12 +11,17 @@ up to twice the upper bound in words, as words may repeat.
 Licences of one family differ in a few words, so near siblings are templates too, and a
 template may have ``MARKS``: phrases that tell it from its siblings, of which a match must
 hold each one.  Without them a version that is no template would go by the name of another.
+Where a template is a part of its siblings, ``BARRED`` has the phrases by which they go on:
+neither a match nor the ``REACH`` words after it may hold one.
 
-The templates are configuration of fixed size and travel with the tasks.  A text is
-scanned in its own row, without a shuffle.
+The templates are configuration of bounded size and travel with the tasks; full licence
+texts are read from a folder of files (``templates_from``).  A text is scanned in its own
+row, without a shuffle.
 
 Defined results: null, empty and too short texts match nothing; of overlapping matches the
-one with the higher coefficient stays, then the longer, then the first by name; equal rows
+one with the higher coefficient stays, then the longer, then the first by name, but a
+template that is a part of another one (``PART`` of its bigrams) yields to matches of the
+other that share more bigrams, so that no whole licence goes by the name of a part; equal rows
 are scanned alike; a very long text takes time in proportion to the places where template
 words are dense.
 """
@@ -24,7 +29,7 @@ words are dense.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +37,15 @@ from pagemill.llm.scratch import bound_batches
 from pagemill.llm.words import Batch, RunHashes, sliced
 
 THRESHOLD = 0.8
+#: Words after a match in which barred phrases count, and bytes of templates at most.
+REACH, MAX_TEMPLATES = 80, 16_000_000
+#: Share of a template's bigrams that makes it a part of a longer one.
+PART = 0.95
 
 # Public licence texts and notices to compare with.
 _BSD_TERMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_ADVERTISING = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
 _BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _GNU = "This {work} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{version} This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details."
 _GNU_COPY = {
@@ -55,6 +65,7 @@ TEMPLATES = {
     "BSD-2-Clause (terms)": _BSD_TERMS,
     "BSD-2-Clause": f"{_BSD_TERMS} {_BSD_DISCLAIMER}",
     "BSD-3-Clause": f"{_BSD_TERMS} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    "BSD-4-Clause": f"{_BSD_TERMS} {_BSD_ADVERTISING} {_BSD_NAMES.replace('3.', '4.')} {_BSD_DISCLAIMER}",
     "BSL-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.',
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "GPL-2.0 (short notice)": "This work is licensed under the GNU General Public License, version 2.",
@@ -76,6 +87,12 @@ MARKS = {
     "MPL-2.0 (notice)": ("mozilla public license", "2 0"), "EPL-2.0 (notice)": ("eclipse public license", "2 0"), "CC0-1.0 (notice)": ("cc0",),
 }
 
+#: Phrases that neither a match nor the words right after it may hold: clauses of siblings that begin alike.
+BARRED = {
+    "BSD-2-Clause (terms)": ("endorse or promote products", "advertising materials"), "BSD-2-Clause": ("endorse or promote products", "advertising materials"), "BSD-3-Clause": ("advertising materials",),
+    "MIT-0": ("this permission notice shall be included",), "0BSD": ("this permission notice appear in all copies",),
+}
+
 
 def _family() -> None:
     """GNU notices and Creative Commons lines, which differ by version and kind."""
@@ -105,20 +122,20 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 
 
 class Template:
-    def __init__(self, name: str, text: str, marks: tuple[str, ...] = ()) -> None:
+    def __init__(self, name: str, text: str, marks: tuple[str, ...] = (), barred: tuple[str, ...] = ()) -> None:
         batch = Batch([text.encode().translate(_FOLD)])
         self.name, self.words = name, int(batch.counts[0])
         self.bigrams = np.unique(RunHashes(batch.hashes).all(2))
-        phrases = [Batch([m.encode().translate(_FOLD)]) for m in marks]
-        self.marks = [(int(p.counts[0]), RunHashes(p.hashes).all(int(p.counts[0]))[0]) for p in phrases]
+        phrases = lambda said: [(int(p.counts[0]), RunHashes(p.hashes).all(int(p.counts[0]))[0]) for p in (Batch([m.encode().translate(_FOLD)]) for m in said)]
+        self.marks, self.barred = phrases(marks), phrases(barred)
 
-    def marked(self, runs: RunHashes, begin: int, end: int) -> bool:
-        """Whether the words [begin, end) hold every mark."""
-        for n, phrase in self.marks:
+    def marked(self, runs: RunHashes, begin: int, end: int, last: int) -> bool:
+        """Whether the words [begin, end) hold every mark, and with those after them, up to ``last``, no barred phrase."""
+        def holds(n: int, phrase: np.uint64, end: int) -> bool:
             at = np.arange(begin, end - n + 1)
-            if not (runs.at(at, at + n) == phrase).any():
-                return False
-        return True
+            return bool((runs.at(at, at + n) == phrase).any())
+
+        return all(holds(*m, end) for m in self.marks) and not any(holds(*m, min(last, end + REACH)) for m in self.barred)
 
 
 class Index:
@@ -131,6 +148,9 @@ class Index:
         order = np.argsort(bigram, kind="stable")
         self.every, self.begin, self.count = np.unique(bigram[order], return_index=True, return_counts=True)
         self.owner = owner[order]
+        size = np.array([len(t.bigrams) for t in templates])
+        shared = [np.bincount(self.shared(t.bigrams)[1], minlength=len(templates)) for t in templates]
+        self.wholes = [set(np.flatnonzero((n >= PART * size[k]) & (size > size[k])).tolist()) for k, n in enumerate(shared)]
 
     def shared(self, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``bigrams`` that templates hold, once for each template, and the templates."""
@@ -178,18 +198,30 @@ def matches_in(batch: Batch, bigrams: np.ndarray, index: Index, threshold: float
             for s, e in spans:
                 kinds = np.unique(own[s:e])
                 value = 2 * np.isin(kinds, t.bigrams).sum() / (len(kinds) + n_own)
-                if value >= threshold and t.marked(runs, a + s, a + e + 1):
-                    found.append((t.name, float(value), s, e + 1))
+                if value >= threshold and t.marked(runs, a + s, a + e + 1, b):
+                    found.append((t.name, float(value), s, e + 1, round(value * (len(kinds) + n_own) / 2), int(pair[k]) % len(size)))
         taken: list[tuple[str, float, int, int]] = []
         covered = np.zeros(len(own) + 1, bool)
-        for m in sorted(found, key=lambda m: (-m[1], m[2] - m[3], m[0], m[2])):
+        for m in sorted(_whole_ones(found, index), key=lambda m: (-m[1], m[2] - m[3], m[0], m[2])):
             if not covered[m[2] : m[3]].any():
                 covered[m[2] : m[3]] = True
-                taken.append(m)
+                taken.append(m[:4])
         out[d] = sorted(taken, key=lambda m: m[2])
     return out
 
 
+def _whole_ones(found: list[tuple], index: Index) -> list[tuple]:
+    """Matches without those of a part that overlap a better founded one of the whole."""
+    present = {m[5] for m in found}
+    held = {k: np.array([m[2:5] for m in found if m[5] == k]) for k in present}
+    out = []
+    for m in found:
+        wholes = [held[k] for k in index.wholes[m[5]] & present]
+        if not any(((w[:, 0] < m[3]) & (w[:, 1] > m[2]) & (w[:, 2] > m[4])).any() for w in wholes):
+            out.append(m)
+    return out
+
+
 def _stretches(own: np.ndarray, shared: np.ndarray, n: int, least: float, most: int, threshold: float):
     """For each begin at a shared bigram the stretch of the best coefficient, if that reaches ``threshold``."""
     order = np.argsort(own, kind="stable")
@@ -207,8 +239,10 @@ def _stretches(own: np.ndarray, shared: np.ndarray, n: int, least: float, most:
             yield s, s + at + 1
 
 
-def scan(documents: DataFrame, text_column: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, marks: dict[str, tuple[str, ...]] = MARKS) -> DataFrame:
+def scan(documents: DataFrame, text_column: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, marks: dict[str, tuple[str, ...]] = MARKS, barred: dict[str, tuple[str, ...]] = BARRED) -> DataFrame:
     """``documents`` with ``licenses``: array of (name, dice, begin, end); a column of that name is replaced."""
+    if sum(len(t) for t in templates.values()) > MAX_TEMPLATES:
+        raise ValueError(f"templates of more than {MAX_TEMPLATES} characters")
     bound_batches(documents.sparkSession)
     documents = documents.drop("licenses")
     at, width = documents.columns.index(text_column), len(documents.columns)
@@ -218,7 +252,7 @@ def scan(documents: DataFrame, text_column: str = "text", templates: dict[str, s
     def rows(batches):
         import pyarrow as pa
 
-        known = Index([Template(name, text, marks.get(name, ())) for name, text in templates.items()])
+        known = Index([Template(name, text, marks.get(name, ()), barred.get(name, ())) for name, text in templates.items()])
         arrow = pa.list_(pa.struct([("name", pa.string()), ("dice", pa.float64()), ("begin", pa.int32()), ("end", pa.int32())]))
         for whole in batches:
             for a, b, values in sliced(whole.column(at)):
@@ -230,6 +264,19 @@ def scan(documents: DataFrame, text_column: str = "text", templates: dict[str, s
     return documents.mapInArrow(rows, T.StructType([*documents.schema.fields, T.StructField("licenses", kind)]))
 
 
+def templates_from(spark: SparkSession, folder: str) -> dict[str, str]:
+    """File name -> text of the full licences in ``folder``, on any file system Spark reads; equal texts go by the first name."""
+    files = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value")
+    sized = files.agg(F.sum(F.length("value"))).first()[0] or 0
+    if sized > MAX_TEMPLATES:
+        raise ValueError(f"templates of more than {MAX_TEMPLATES} characters")
+    out: dict[str, str] = {}
+    for row in files.orderBy("name").collect():
+        if row.value not in out.values():
+            out[row.name] = row.value
+    return out
+
+
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
     """Licences of all ``documents``: names in order of place, and the best coefficient."""
     out = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -1,5 +1,6 @@
 """Packing, licences, rollups, quality and language."""
 
+import os
 import re
 from collections import Counter
 
@@ -147,6 +148,39 @@ def test_best_coefficient_equals_brute_force_over_all_stretches(spark):
     assert [found[len(texts) + i] for i in range(20)] == [found[i] for i in range(20)]
 
 
+
+def test_siblings_that_begin_alike_keep_their_names(spark):
+    """Two, three and four clauses, with names and wording of others, whole, as a part, and inside prose."""
+    two, three, four = (licenses.TEMPLATES[f"BSD-{n}-Clause"] for n in (2, 3, 4))
+    other = lambda t: t.replace("the copyright holder nor", "the University nor").replace("COPYRIGHT HOLDERS", "REGENTS").replace("COPYRIGHT HOLDER", "REGENTS").replace('"AS IS"', "``AS IS''")
+    terms = licenses.TEMPLATES["BSD-2-Clause (terms)"]
+    given = [(two, ["BSD-2-Clause"]), (three, ["BSD-3-Clause"]), (four, ["BSD-4-Clause"]), (other(three), ["BSD-3-Clause"]), (other(four), ["BSD-4-Clause"]), (terms, ["BSD-2-Clause (terms)"])]
+    given += [(terms + " 3. The name of the author may not be used to endorse or promote products derived from this software", []), (terms + " 3. All advertising materials must say so", [])]
+    given += [(licenses.TEMPLATES[n], [n]) for n in ("MIT", "MIT-0", "ISC", "0BSD")]
+    rows = [(i, before + text + after) for i, (text, _) in enumerate(given) for before, after in (("", ""), ("some words. ", " and " + "prose " * 200))]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append([m.name for m in r.licenses])
+    assert got == {i: [names, names] for i, (_, names) in enumerate(given)}
+
+
+FULL = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(FULL), reason="needs full licence texts")
+def test_full_licences_come_out_under_their_own_names(spark, tmp_path):
+    full = licenses.templates_from(spark, FULL)
+    assert len(full) >= 10
+    with pytest.raises(ValueError):
+        licenses.scan(spark.createDataFrame([("a",)], "text string"), templates={"long": "x " * licenses.MAX_TEMPLATES})
+    known = {**licenses.TEMPLATES, **full}
+    rows = [(name, before + text + after) for name, text in full.items() for before, after in (("", ""), ("intro of a file\n" * 20, "\nwhat follows it" * 50))]
+    for r in licenses.scan(spark.createDataFrame(rows, "name string, text string").repartition(8), templates=known).collect():
+        whole = max(r.licenses, key=lambda m: m.end - m.begin)
+        assert whole.name == (r.name if r.name != "BSD" else whole.name) and whole.dice > 0.97, r.name
+        assert r.name != "BSD" or whole.name in ("BSD", "BSD-3-Clause")
+
+
 def test_rollup(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, "c", None, None), (3, None, "en", "s")], "doc_id long, text string, lang string, source string")
     docs = counts.counted(docs, {"words-1": counts.word_count, "pre-1": lambda t: F.coalesce(F.length(t), F.lit(0))}, "text", "doc_id")
