@@ -1,16 +1,21 @@
 """Chunks cut at the word boundaries whose two sides are least alike.
 
-Each distinct text is encoded once: its boundaries become rows of two contexts (never the
-whole text beside each), which are encoded and compared by Spark.  Only the choice of the
-cuts of one record, each of which depends on the one before, is a small function over the
-record's boundaries.
-
-Defined results: records are told apart by their text and not by their id, so repeated and
-null ids are cut like others; blank texts have no chunks; ties go to the first boundary.
+A record is cut where it lies: one Arrow pass sends its text to Python and brings back the
+spans, so nothing is shuffled and no context becomes a row.  The encoder compares the two
+sides of all boundaries of a text at once (``TextEncoder.sides``): encoders of word counts
+by running sums over the text, model encoders in batches of contexts that never leave the
+task.  Equal texts of a batch are cut once.
+
+Defined results: repeated and null ids are cut like others; blank texts have no chunks;
+ties go to the first boundary; texts of any length are cut whole, their boundaries scored a
+stretch at a time.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,20 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions.text import evidence_ids, strip
-from pagemill.functions.vectors import Encoder, cosine
+from pagemill.functions.vectors import TextEncoder
 from pagemill.operators.windows import as_chunks, raw_metadata
-from pagemill.sources.scratch import Scratch
 
 _SPAN = "struct<word_start:int,word_end:int,char_start:int,char_end:int,score:double>"
+_WORD = re.compile(r"\S+")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))
 def word_spans(texts: pd.Series) -> pd.Series:
     """Begin and end of each run of non-space characters, in code points."""
-    import re
-
-    word = re.compile(r"\S+")
-    return texts.map(lambda t: [{"s": m.start(), "e": m.end()} for m in word.finditer(t)] if t else [])
+    return texts.map(lambda t: [{"s": m.start(), "e": m.end()} for m in _WORD.finditer(t)] if t else [])
 
 
 def boundary_candidates(n: int, step: int) -> list[int]:
@@ -39,53 +41,40 @@ def boundary_candidates(n: int, step: int) -> list[int]:
     return sorted({*range(1, n, step), n - 1}) if n >= 2 else []
 
 
-def boundary_contexts(width: int, step: int, rows: int = 2000):
-    """(key, text) to (key, i, left, right): up to ``width`` words on each side of each candidate, a few at a time."""
-    def contexts(batches):
-        import re
-
-        import pyarrow as pa
-
-        word, names = re.compile(r"\S+"), ["key", "i", "left", "right"]
-        for batch in batches:
-            held: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = [m.span() for m in word.finditer(text)]
-                for i in boundary_candidates(len(at), step):
-                    held.append((key, i, text[at[max(0, i - width)][0] : at[i - 1][1]], text[at[i][0] : at[min(len(at) - 1, i + width - 1)][1]]))
-                    if len(held) == rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.binary(), pa.int32(), pa.string(), pa.string()), strict=True)], names=names)
-                        held = []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.binary(), pa.int32(), pa.string(), pa.string()), strict=True)], names=names)
-
-    return contexts
-
-
 def greedy_cuts(starts: np.ndarray, ends: np.ndarray, boundaries: np.ndarray, scores: np.ndarray, least: int, target: int, most: int):
     """Spans of words; the boundary of least score after the target, else of those in range, else the first past the limit."""
     out, begin, n = [], 0, len(starts)
-    places = starts[boundaries]
+    places = starts[boundaries]  # ascending, as are starts and boundaries
     while begin < n:
         origin = starts[begin]
         if ends[-1] - origin <= most:
             out.append((begin, n, None))
             break
-        valid = np.flatnonzero((boundaries > begin) & (places >= origin + least) & (places <= origin + most))
-        wanted = valid[places[valid] >= origin + target]
-        pool = wanted if len(wanted) else valid
-        if len(pool):
-            best = pool[np.argmin(scores[pool])]
+        low = max(np.searchsorted(places, origin + least), np.searchsorted(boundaries, begin, side="right"))
+        high = np.searchsorted(places, origin + most, side="right")
+        wanted = max(low, np.searchsorted(places, origin + target))
+        low = wanted if wanted < high else low
+        if low < high:
+            best = low + int(np.argmin(scores[low:high]))
             cut, score = int(boundaries[best]), float(scores[best])
         else:
-            past = np.flatnonzero(starts[begin + 1 :] >= origin + most)
-            cut, score = (begin + 1 + int(past[0]) if len(past) else n), None
+            cut, score = max(begin + 1, int(np.searchsorted(starts, origin + most))), None
         out.append((begin, cut, score))
         begin = cut
     return out
 
 
-def semantic(records: DataFrame, *, encoder: Encoder, model_name: str, min_chars: int = 450, target_chars: int = 900, max_chars: int = 1200, context_window_words: int = 45, boundary_step_words: int = 3) -> DataFrame:
+def text_spans(text: str, encoder: TextEncoder, width: int, step: int, least: int, target: int, most: int) -> list[dict]:
+    """The chunks of one text, by words and by characters."""
+    found = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = np.array(found, np.int64).reshape(-1, 2).T
+    boundaries = np.array(boundary_candidates(len(found), step), np.int64)
+    whole = not len(found) or ends[-1] - starts[0] <= most
+    scores = np.zeros(len(boundaries)) if whole else np.round(encoder.sides(text, starts, ends, boundaries, width), 9)
+    return [{"word_start": a, "word_end": b, "char_start": int(starts[a]), "char_end": int(ends[b - 1]), "score": s} for a, b, s in greedy_cuts(starts, ends, boundaries, scores, least, target, most)]
+
+
+def semantic(records: DataFrame, *, encoder: TextEncoder, model_name: str, min_chars: int = 450, target_chars: int = 900, max_chars: int = 1200, context_window_words: int = 45, boundary_step_words: int = 3) -> DataFrame:
     if not model_name:
         raise ValueError("semantic chunking needs the name of its embedding model")
     if min(min_chars, target_chars, max_chars) <= 0:
@@ -94,25 +83,17 @@ def semantic(records: DataFrame, *, encoder: Encoder, model_name: str, min_chars
         raise ValueError("expected min_chars <= target_chars <= max_chars")
     if context_window_words <= 0 or boundary_step_words <= 0:
         raise ValueError("context_window_words and boundary_step_words must be positive")
-    scratch = Scratch(records.sparkSession, "semantic")
     text = strip(F.coalesce("raw_text", F.lit("")))
     part = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
-    keyed = records.select("id", *raw_metadata(records), text.alias("text")).where("text <> ''").withColumn("key", F.unhex(F.md5("text")))
-    edges = keyed.select("key", "text").dropDuplicates(["key"]).mapInArrow(boundary_contexts(context_window_words, boundary_step_words), "key binary, i int, left string, right string")
-    scored = edges.select("key", "i", F.round(cosine(encoder(F.col("left")), encoder(F.col("right"))), 9).alias("score"))
-    per_text = scratch.table(scored.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "score"))).alias("scores")))
 
     @F.pandas_udf(f"array<{_SPAN}>")
-    def cuts(words: pd.Series, scores: pd.Series) -> pd.Series:
-        out = []
-        for own, marks in zip(words, scores, strict=True):
-            marks = marks if marks is not None else []
-            starts, ends = (np.array([w[k] for w in own], np.int64) for k in ("s", "e"))
-            at, value = np.array([m["i"] for m in marks], np.int64), np.array([m["score"] for m in marks], float)
-            out.append([{"word_start": a, "word_end": b, "char_start": int(starts[a]), "char_end": int(ends[b - 1]), "score": s} for a, b, s in greedy_cuts(starts, ends, at, value, min_chars, target_chars, max_chars)])
-        return pd.Series(out)
-
-    spans = keyed.join(per_text, "key", "left").withColumn("spans", cuts(word_spans("text"), "scores"))
+    def cuts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            once = {t: text_spans(t, encoder, context_window_words, boundary_step_words, min_chars, target_chars, max_chars) for t in texts.unique()}
+            yield texts.map(once)
+
+    # else the filter that explode implies is a second pass over all texts
+    spans = records.select("id", *raw_metadata(records), text.alias("text")).where("text <> ''").withColumn("spans", cuts.asNondeterministic()("text"))
     cut = spans.select("id", "lco", "title", "source_doc", "source_pages", "text", F.posexplode("spans").alias("k", "span"))
     body = strip(part(F.col("span.char_start"), F.col("span.char_end")))
     cut = cut.select("*", body.alias("body"), (F.col("k") + 1).alias("chunk_index"), "span.word_start", "span.word_end", "span.char_start", "span.char_end", F.col("span.score").alias("selected_boundary_similarity"))

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagemill.functions.vectors import hashing
+from pagemill.functions.vectors import TextEncoder, hashing
 from pagemill.operators import semantic, structure, windows
 
 RAW = "id string, metadata struct<lco:string,title:string,source_doc:string,source_pages:array<int>>, raw_text string"
@@ -115,3 +115,29 @@ def test_pilots(spark):
     rows = structure.distance_islands(frame).orderBy("line_no").collect()
     assert rows[0].threshold == pytest.approx(0.325)
     assert [r.chunk for r in rows] == [0, 0, 0, 0, 1]
+
+
+@given(st.lists(st.sampled_from(["a", "b", "cc", "é", "dd", "😀", "word"]), min_size=0, max_size=90), st.integers(1, 12), st.integers(1, 5), st.integers(1, 7))
+@settings(max_examples=60, deadline=None)
+def test_running_windows_equal_contexts_as_texts(words, width, step, at_once):
+    text, encoder = "  ".join(words), hashing()
+    encoder.boundaries_at_once = at_once
+    at = np.cumsum([0] + [len(w) + 2 for w in words])[:-1]
+    ends = at + [len(w) for w in words] if words else at
+    boundaries = np.array(semantic.boundary_candidates(len(words), step), np.int64)
+    want = TextEncoder.sides(encoder, text, at, ends, boundaries, width)
+    assert encoder.sides(text, at, ends, boundaries, width) == pytest.approx(want, abs=1e-12)
+    for i, b in enumerate(boundaries.tolist()):
+        left, right = encoder.encode([" ".join(words[max(0, b - width) : b]), " ".join(words[b : b + width])])
+        assert want[i] == pytest.approx(float(left @ right), abs=1e-12)
+
+
+def test_semantic_needs_no_shuffle_and_takes_long_texts(spark):
+    body = " ".join(f"w{i % 31}" for i in range(150_000))
+    chunks = semantic.semantic(raw(spark, body, body, "short"), encoder=hashing(), model_name="h")
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    rows = sorted((r.metadata.parent_id, r.metadata.chunk_index, r.metadata.word_start, r.metadata.word_end) for r in chunks.collect())
+    for own in ("0", "1"):
+        spans = [r[2:] for r in rows if r[0] == own]
+        assert spans[0][0] == 0 and spans[-1][1] == 150_000 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
