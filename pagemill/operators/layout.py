@@ -2,12 +2,14 @@
 
 Words are rows (source_doc, page_no, page_height, word_ord, text, x0, x1, top, bottom).
 Everything is grouped by page, so one shuffle by page serves all steps.  A null text is an
-empty one.
+empty one.  Reading order is found for all regions of an Arrow batch together, by array
+operations (``joined_regions``).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 from pagemill.functions.text import CONDITION_LABEL, DASH_RUN, NOTE_OPEN, SECTION_ID, strip, truthy
 
 PAGE = ["source_doc", "page_no"]
-_WORD = ("top", "x0", "word_ord", "x1", "bottom", "text")
+WORD = ("top", "x0", "word_ord", "x1", "bottom", "text")
 #: Words whose tops differ by less are on one printed line of a heading.
 _LINE = 6
 
@@ -25,47 +27,99 @@ def column_of(x0: Column, first: Column, second: Column) -> Column:
     return F.when(x0 < first, "COND").when(x0 < second, "ACT").otherwise("TIME")
 
 
-def is_subscript(before: dict, word: dict) -> bool:
-    """A short word just right of, and lower than, a short word that is not smaller."""
-    if not before["text"] or not word["text"] or len(word["text"]) > 5 or len(before["text"]) > 3:
-        return False
-    tall, own = max(1.0, before["bottom"] - before["top"]), max(1.0, word["bottom"] - word["top"])
-    lower = (word["top"] + word["bottom"]) / 2 - (before["top"] + before["bottom"]) / 2
-    return -1.0 <= word["x0"] - before["x1"] <= 4.0 and own <= 1.15 * tall and lower > 0.10 * tall
-
-
-def reading_order(words) -> str:
-    """Words of one region as text: rows that grow as words join them, subscripts glued with ``_``."""
-    rows: list[tuple[list[float], list[dict]]] = []
-    for word in sorted(words, key=lambda w: (w["top"], w["x0"], w["word_ord"])):
-        centre = (word["top"] + word["bottom"]) / 2
-        for box, row in rows:
-            if abs(centre - (box[0] + box[1]) / 2) <= 0.7 * max(1.0, box[1] - box[0]):
-                row.append(word)
-                box[:] = min(box[0], word["top"]), max(box[1], word["bottom"])
-                break
-        else:
-            rows.append(([word["top"], word["bottom"]], [word]))
-    out: list[str] = []
-    for _, row in sorted(rows, key=lambda r: r[0][0]):
-        before = None
-        for word in sorted(row, key=lambda w: w["x0"]):
-            if before is not None and is_subscript(before, word):
-                out[-1] += "_" + word["text"]
-            else:
-                out.append(word["text"])
-            before = word
-    return " ".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def join_words(regions: pd.Series) -> pd.Series:
-    return regions.map(lambda words: reading_order(words) if words is not None else "")
+# The geometry of printed rows and of subscripts.
+#: A word joins a row whose middle is within this share of the row's height of its own.
+_SAME_ROW = 0.7
+#: A subscript has at most so many characters, follows one of at most so many, by a gap in this range,
+#: is at most so much taller and lower by at least this share of the height.
+_SUB_CHARS, _BASE_CHARS, _SUB_GAP, _SUB_TALLER, _SUB_LOWER = 5, 3, (-1.0, 4.0), 1.15, 0.10
+
+
+def grown_rows(begins: np.ndarray, counts: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word, in the order given, its row in its region and that row's final top.
+
+    Words of a region come one after the other from ``begins``.  A word joins the first row
+    whose box, grown by the words before it, is level with it, or opens a row.  Step t takes
+    the t-th word of all regions at once.
+    """
+    row, row_top = np.zeros(len(top), np.int64), np.zeros(len(top))
+    order = np.argsort(-counts, kind="stable")
+    first, size = begins[order], counts[order]
+    low, high, used = np.full((len(order), 4), np.nan), np.full((len(order), 4), np.nan), np.zeros(len(order), np.int64)
+    for t in range(int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -t, side="left"))  # regions with more than t words
+        at, k = first[:n] + t, int(used[:n].max(initial=0))
+        if k == low.shape[1]:
+            low, high = (np.concatenate([x, np.full_like(x, np.nan)], axis=1) for x in (low, high))
+        middle = (top[at] + bottom[at]) / 2
+        a, b = low[:n, : k + 1], high[:n, : k + 1]
+        level = np.abs(middle[:, None] - (a + b) / 2) <= _SAME_ROW * np.maximum(1.0, b - a)  # no row is level if it is not open yet
+        joins = level.any(axis=1)
+        own = np.where(joins, level.argmax(axis=1), used[:n])
+        low[np.arange(n), own] = np.fmin(low[np.arange(n), own], top[at])
+        high[np.arange(n), own] = np.fmax(high[np.arange(n), own], bottom[at])
+        used[:n] += ~joins
+        row[at] = own
+    place = np.repeat(np.arange(len(order)), size)
+    at = np.repeat(first, size) + np.arange(len(place)) - np.repeat(np.cumsum(size) - size, size)
+    row_top[at] = low[place, row[at]]
+    return row, row_top
+
+
+def joined_regions(regions):
+    """The text of each region (a list of word structs) in reading order, for a whole Arrow array.
+
+    Words are sorted by top, x0 and order and form rows; rows go by their tops, words in a
+    row by x0; a subscript is glued to the word before it with ``_``.  Null and empty
+    regions have no text; a null word is an empty one.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    counts = pc.fill_null(pc.list_value_length(regions), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = regions.flatten()
+    field = lambda name: words.field(name).to_numpy(zero_copy_only=False).astype(np.float64)
+    top, x0, x1, bottom, number = (field(n) for n in ("top", "x0", "x1", "bottom", "word_ord"))
+    text = pc.fill_null(words.field("text"), "")
+    region = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((number, x0, top, region))
+    top, x0, x1, bottom, text = top[order], x0[order], x1[order], bottom[order], text.take(pa.array(order))
+    row, row_top = grown_rows(np.cumsum(counts) - counts, counts, top, bottom)
+    order = np.lexsort((x0, row, row_top, region))
+    top, x0, x1, bottom, row, text = top[order], x0[order], x1[order], bottom[order], row[order], text.take(pa.array(order))
+    chars = pc.utf8_length(text).to_numpy(zero_copy_only=False)
+
+    same = np.zeros(len(row), bool)
+    same[1:] = (row[1:] == row[:-1]) & (region[1:] == region[:-1])
+    before = np.maximum(np.arange(len(row)) - 1, 0)
+    tall, own = np.maximum(1.0, bottom - top)[before], np.maximum(1.0, bottom - top)
+    gap, lower = x0 - x1[before], (top + bottom) / 2 - ((top + bottom) / 2)[before]
+    short = (chars > 0) & (chars <= _SUB_CHARS) & (chars[before] > 0) & (chars[before] <= _BASE_CHARS)
+    glued = same & short & (gap >= _SUB_GAP[0]) & (gap <= _SUB_GAP[1]) & (own <= _SUB_TALLER * tall) & (lower > _SUB_LOWER * tall)
+    opens = np.ones(len(row), bool)
+    opens[1:] = region[1:] != region[:-1]
+    between = pa.array(np.where(opens, "", np.where(glued, "_", " ")), pa.string())
+    pieces = pc.binary_join_element_wise(between, text, "")
+    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(ends, pieces), "")
+
+
+def reading_order(words: list[dict]) -> str:
+    """Words of one region as text."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([(n, pa.string() if n == "text" else pa.float64()) for n in WORD]))
+    return joined_regions(pa.array([words], kind))[0].as_py()
+
+
+@F.arrow_udf(T.StringType())
+def join_words(regions: pa.Array) -> pa.Array:
+    return joined_regions(regions)
 
 
 def region_text(words: DataFrame, *keys: str) -> DataFrame:
     """One row for each page and further keys, with ``joined``, the text in reading order."""
-    return words.groupBy(*PAGE, *keys).agg(F.collect_list(F.struct(*_WORD)).alias("_words")).withColumn("joined", join_words("_words")).drop("_words")
+    return words.groupBy(*PAGE, *keys).agg(F.collect_list(F.struct(*WORD)).alias("_words")).withColumn("joined", join_words("_words")).drop("_words")
 
 
 def bands(anchors: DataFrame, bottom: str, *keys: str) -> DataFrame:
@@ -76,8 +130,18 @@ def bands(anchors: DataFrame, bottom: str, *keys: str) -> DataFrame:
 
 
 def in_bands(words: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
-    """Words with the band that holds their top."""
-    return words.join(spans, [*PAGE, *keys]).where("top >= band_top and top < band_bottom")
+    """Words with the band that holds their top; bands of a page do not overlap.
+
+    Words and beginnings of bands are merged in the order of their tops: a word's band is
+    the last one that began, so the work grows with the sum of both and not their product.
+    """
+    by, own = [*PAGE, *keys], [c for c in spans.columns if c not in (*PAGE, *keys)]
+    band = F.struct("band_top", "band_bottom", *(c for c in own if c not in ("band_top", "band_bottom")))
+    begins = spans.select(*by, F.col("band_top").alias("top"), band.alias("_band"))
+    merged = words.withColumn("_word", F.lit(True)).unionByName(begins, allowMissingColumns=True)
+    last = F.max("_band").over(W.partitionBy(*by).orderBy("top").rangeBetween(W.unboundedPreceding, W.currentRow))
+    held = merged.withColumn("_band", last).where("_word and top >= _band.band_top and top < _band.band_bottom")
+    return held.select(*words.columns, "_band.*")
 
 
 def page_heads(words: DataFrame, layout: dict, overrides: DataFrame | None = None) -> DataFrame:

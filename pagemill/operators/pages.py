@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import ACTION_LABEL, CONNECTOR, TIME_START, clean_text, extract_note, is_optional, normalize_raw, references, strip, strip_bracket, strip_note, truthy
-from pagemill.operators.layout import PAGE, bands, column_of, condition_anchors, in_bands, note_spans, page_heads, page_regions, region_text
+from pagemill.functions.text import ACTION_LABEL, CONDITION_LABEL, CONNECTOR, DASH_RUN, NOTE_OPEN, TIME_START, clean_text, extract_note, is_optional, normalize_raw, references, strip, strip_bracket, strip_note, truthy
+from pagemill.operators.layout import PAGE, WORD, column_of, join_words, page_heads, page_regions, region_text
 from pagemill.sources.scratch import Scratch
 
 LAYOUT = {"col1_max": 220.0, "col2_max": 410.0, "header_margin": 95.0}
@@ -48,81 +48,107 @@ def align_completion_times(actions: DataFrame, blocks: DataFrame, keys: list[str
     return joined.withColumn("ct", ct).drop("_k", "_n", "_b", "_m")
 
 
-def action_anchors(actions: DataFrame, notes: DataFrame) -> DataFrame:
-    """Tops of labels and connectors outside notes, by condition band; ``[`` before a label anchors the label."""
-    order = W.partitionBy(*PAGE, "cond_top").orderBy(F.bround("top"), "x0", "word_ord")
-    words = actions.select(*PAGE, "cond_top", "cond_bottom", "text", "top", F.lead("text").over(order).alias("next"), F.lead("top").over(order).alias("next_top"))
-    spans = notes.select(F.col("source_doc").alias("_doc"), F.col("page_no").alias("_page"), "open", "close")
-    outside = words.join(spans, (F.col("source_doc") == F.col("_doc")) & (F.col("page_no") == F.col("_page")) & (F.col("top") > F.col("open")) & (F.col("top") < F.col("close")), "left_anti")
-    itself = F.col("text").rlike(ACTION_LABEL) | F.col("text").rlike(CONNECTOR)
-    following = (F.col("text") == "[") & F.col("next").rlike(ACTION_LABEL)
-    return outside.select(*PAGE, "cond_top", "cond_bottom", F.when(itself, F.col("top")).when(following, F.col("next_top")).alias("top")).where("top is not null")
+def placed_words(words: DataFrame, regions: DataFrame) -> DataFrame:
+    """Words of narratives and tables with their bands, by windows over one shuffle by page.
+
+    ``zone`` is N or T.  In tables: ``cond_top``, the top of the condition above a word (of
+    the table, if no condition is on the page: ``anchored`` is false then; null before the
+    first one), and ``band_top``, that of the action above it.  Actions begin at labels and
+    connectors outside notes; ``[`` outside a note makes the label after it begin one too.
+    """
+    zone = F.when(F.expr("top >= narr_top and top < narr_bottom"), "N").when(F.expr("top >= tbl_top and top < tbl_bottom"), "T")
+    w = words.drop("page_height").join(regions, PAGE).withColumn("zone", zone).where("zone is not null").repartition(*PAGE)
+    w = w.withColumns({"col": column_of(F.col("x0"), F.col("col1_max"), F.col("col2_max")), "line": F.bround("top")})
+    table, text, top = F.col("zone") == "T", F.col("text"), F.col("top")
+    upto = lambda *keys: W.partitionBy(*PAGE, "zone", *keys).orderBy("top").rangeBetween(W.unboundedPreceding, W.currentRow)
+    anchor = F.when(table & (F.col("col") == "COND") & text.rlike(CONDITION_LABEL), top)
+    w = w.withColumns({"cond_top": F.max(anchor).over(upto()), "anchored": F.max(anchor).over(W.partitionBy(*PAGE, "zone")).isNotNull()})
+    w = w.withColumn("cond_top", F.when(F.col("anchored"), F.col("cond_top")).when(table, F.col("tbl_top")))
+    # notes: islands that end with a dash run
+    read = W.partitionBy(*PAGE, "zone", "col").orderBy("top", "line", "x0", "word_ord").rowsBetween(W.unboundedPreceding, -1)
+    w = w.withColumn("island", F.coalesce(F.sum(text.rlike(DASH_RUN).cast("int")).over(read), F.lit(0)))
+    island = W.partitionBy(*PAGE, "zone", "col", "island")
+    opens, closes = F.min(F.when(text.rlike(NOTE_OPEN), top)).over(island), F.max(F.when(text.rlike(DASH_RUN), top)).over(island)
+    w = w.withColumn("outside", ~F.coalesce((top > opens) & (top < closes), F.lit(False)))
+    label, along = text.rlike(ACTION_LABEL), W.partitionBy(*PAGE, "zone", "col", "cond_top").orderBy("line", "x0", "word_ord")
+    bracketed = label & (F.lag("text").over(along) == "[") & F.lag("outside").over(along)
+    begins = (F.col("col") == "ACT") & (((label | text.rlike(CONNECTOR)) & F.col("outside")) | F.coalesce(bracketed, F.lit(False)))
+    w = w.withColumn("begins", F.when(table & begins, top))
+    return w.withColumn("band_top", F.max("begins").over(upto("cond_top")))
+
+
+def placed_texts(placed: DataFrame) -> DataFrame:
+    """(page, kind, a, b, col, anchored, joined, first): every region of the pages, in one aggregate.
+
+    narr: the narrative; line: one of its lines, a; piece: a column of the band a; act and
+    ct: actions and times of the action b in the band a; row: the line b of times there.
+    ``first`` is the first word of an act that is more than a bracket.
+    """
+    key = lambda when, kind, a=None, b=None, c=None: F.when(when, F.struct(F.lit(kind).alias("kind"), *((F.lit(None) if x is None else F.col(x)).cast(t).alias(n) for x, t, n in ((a, "double", "a"), (b, "double", "b"), (c, "string", "c")))))
+    banded = F.expr("zone = 'T' and cond_top is not null")
+    of = lambda col: banded & (F.col("col") == col)
+    keys = F.array_compact(F.array(
+        key(F.col("zone") == "N", "narr"), key(F.col("zone") == "N", "line", "line"), key(banded, "piece", "cond_top", None, "col"),
+        key(of("ACT") & F.col("band_top").isNotNull(), "act", "cond_top", "band_top"), key(of("TIME") & F.col("band_top").isNotNull(), "ct", "cond_top", "band_top"), key(of("TIME") & F.col("anchored"), "row", "cond_top", "line"),
+    ))
+    each = placed.select(*PAGE, "anchored", "line", *(c for c in WORD if c != "text"), "text", strip_bracket(F.col("text")).alias("bare"), F.explode(keys).alias("key"))
+    first = F.min_by("bare", F.when((F.col("key.kind") == "act") & (F.col("bare") != ""), F.struct("line", "x0", "word_ord")))
+    grouped = each.groupBy(*PAGE, "key", "anchored").agg(F.collect_list(F.struct(*WORD)).alias("words"), first.alias("first"))
+    return grouped.select(*PAGE, "key.*", "anchored", "first", join_words("words").alias("joined"))
 
 
 def parse_pages(words: DataFrame, layout: dict = LAYOUT, overrides: DataFrame | None = None) -> DataFrame:
     """One page record for each page with words.
 
-    What several steps read (words with their regions, and their bands) is a table in the
-    shared folder, or the plan would hold each of them many times over.
+    Words are written once, as several steps read them; headings and regions are narrow
+    tables by page; bands come from windows over one shuffle of the words, and all texts of
+    a page from one aggregate after it.  Words without a page number or a place are left out.
     """
     scratch = Scratch(words.sparkSession, "pages")
-    words = scratch.table(words.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("source_doc", F.coalesce("source_doc", F.lit(""))).repartition(*PAGE))
+    words = words.where("page_no is not null and top is not null and bottom is not null and x0 is not null and x1 is not null")
+    words = scratch.table(words.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("source_doc", F.coalesce("source_doc", F.lit(""))))
     heads = scratch.table(page_heads(words, layout, overrides))
     regions = scratch.table(page_regions(words, heads))
-    placed = words.drop("page_height").join(regions, PAGE)
-    placed = placed.withColumn("col", column_of(F.col("x0"), F.col("col1_max"), F.col("col2_max"))).withColumn("line", F.bround("top"))
-    placed = scratch.table(placed)
-
-    narrative = placed.where("top >= narr_top and top < narr_bottom")
-    statement, applicability = statement_and_applicability(F.col("joined"))
-    stated = region_text(narrative).select(*PAGE, statement.alias("lco_stmt"), applicability.alias("applicability"))
-    opening = region_text(narrative, "line").where(F.col("joined").rlike(r"^LCO\s+\d+\.\d+\.\d+\b")).groupBy(*PAGE).agg(F.min("line").alias("opening"))
-    trimmed = narrative.join(opening, PAGE, "left").where("opening is null or line >= opening")
-    plain_narrative = region_text(trimmed).select(*PAGE, F.lit(-1.0).alias("at"), F.lit(0).alias("c"), normalize_raw(F.col("joined")).alias("piece"))
-
-    table = placed.where("top >= tbl_top and top < tbl_bottom").select(*PAGE, "col", "line", "tbl_top", "tbl_bottom", "text", "x0", "x1", "top", "bottom", "word_ord")
-    cond_bands = bands(condition_anchors(table), "tbl_bottom")
-    cond_bands = cond_bands.select(*PAGE, F.col("band_top").alias("cond_top"), F.col("band_bottom").alias("cond_bottom"))
-    whole = table.select(*PAGE, F.col("tbl_top").alias("cond_top"), F.col("tbl_bottom").alias("cond_bottom")).distinct().join(cond_bands.select(*PAGE).distinct(), PAGE, "left_anti")
-    spans = cond_bands.withColumn("anchored", F.lit(True)).union(whole.withColumn("anchored", F.lit(False)))
-    spans = scratch.table(spans)
-    banded = scratch.table(table.join(spans, PAGE).where("top >= cond_top and top < cond_bottom"))
-
-    raw = region_text(banded.where("col = 'COND' and anchored"), "cond_top")
-    cleaned = clean_text(F.col("joined"))
-    conditions = raw.where(F.col("joined").rlike(r"^[A-Z]\.")).select(
-        *PAGE, "cond_top", F.substring("joined", 1, 1).alias("letter"), F.regexp_replace(cleaned, r"^[A-Z]\.\s*", "").alias("text"),
-        is_optional(F.col("joined")).alias("optional"), cleaned.rlike(r"\bAND\b|\bOR\b").alias("compound"))
-    conditions = conditions.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("cond_top", "letter", "text", "optional", "compound"))).alias("b"))
-    conditions = conditions.select(*PAGE, F.transform("b", lambda b: F.struct(b.letter.alias("letter"), b.text.alias("text"), b.optional.alias("optional"), b["compound"].alias("compound"))).alias("cond_bands"))
-
-    acts = banded.where("col = 'ACT'")
-    anchors = action_anchors(acts, note_spans(table.where("col = 'ACT'")))
-    steps = scratch.table(bands(anchors, "cond_bottom", "cond_top"))
-    held = in_bands(acts, steps, "cond_top").withColumn("bare", strip_bracket(F.col("text")))
-    first = held.where("bare <> ''").groupBy(*PAGE, "cond_top", "band_top").agg(F.min_by("bare", F.struct("line", "x0", "word_ord")).alias("first"))
-    said = region_text(held, "cond_top", "band_top").withColumnRenamed("joined", "raw_act")
-    times = region_text(in_bands(banded.where("col = 'TIME'"), steps, "cond_top"), "cond_top", "band_top").withColumnRenamed("joined", "raw_ct")
+    texts = scratch.table(placed_texts(placed_words(words, regions)))
+    joined = F.col("joined")
+
+    cleaned, is_piece = clean_text(joined), F.col("kind") == "piece"
+    condition = F.when(is_piece & (F.col("c") == "COND") & F.col("anchored") & joined.rlike(r"^[A-Z]\."), F.struct(
+        F.col("a").alias("cond_top"), F.substring("joined", 1, 1).alias("letter"), F.regexp_replace(cleaned, r"^[A-Z]\.\s*", "").alias("text"),
+        is_optional(joined).alias("optional"), cleaned.rlike(r"\bAND\b|\bOR\b").alias("compound")))
+    piece = F.struct(F.col("a").alias("at"), F.array_position(F.array(*map(F.lit, ("COND", "ACT", "TIME"))), F.col("c")).cast("int").alias("c"), normalize_raw(joined).alias("piece"))
+    whole = texts.where("kind in ('narr', 'line', 'piece')").groupBy(*PAGE).agg(
+        F.max(F.when(F.col("kind") == "narr", joined)).alias("narrative"), F.min(F.when(F.col("kind") == "line", F.col("a"))).alias("first_line"),
+        F.min(F.when((F.col("kind") == "line") & joined.rlike(r"^LCO\s+\d+\.\d+\.\d+\b"), F.col("a"))).alias("opening"),
+        F.array_sort(F.collect_list(condition)).alias("conditions"), F.array_sort(F.collect_list(F.when(is_piece, piece))).alias("pieces"))
+    whole = scratch.table(whole)
+    # what stands before the statement is left out of the plain text
+    later = whole.where("opening > first_line").select(*PAGE, "opening")
+    trimmed = words.join(regions, PAGE).where("top >= narr_top and top < narr_bottom").join(later, PAGE).where(F.bround("top") >= F.col("opening"))
+    whole = whole.join(region_text(trimmed).withColumnRenamed("joined", "trimmed"), PAGE, "left")
+    statement, applicability = statement_and_applicability(F.col("narrative"))
+    plain = F.concat(F.array(F.coalesce(normalize_raw(F.coalesce("trimmed", "narrative")), F.lit(""))), F.col("pieces.piece"))
+    bands = F.transform("conditions", lambda b: F.struct(b["letter"].alias("letter"), b["text"].alias("text"), b["optional"].alias("optional"), b["compound"].alias("compound")))
+    whole = whole.select(*PAGE, statement.alias("lco_stmt"), applicability.alias("applicability"), bands.alias("cond_bands"), truthy(normalize_raw(F.array_join(F.filter(plain, lambda p: p != ""), " "))).alias("raw_text"))
+
     at = [*PAGE, "cond_top", "band_top"]
-    items = said.join(first, at).join(times, at, "left").join(spans, [*PAGE, "cond_top"])
+    steps = texts.where("kind in ('act', 'ct')").withColumnsRenamed({"a": "cond_top", "b": "band_top"}).groupBy(*at).agg(
+        F.max(F.when(F.col("kind") == "act", joined)).alias("raw_act"), F.max(F.when(F.col("kind") == "ct", joined)).alias("raw_ct"), F.max("first").alias("first"))
+    items = steps.where("first is not null")
     cleaned = clean_text(F.col("raw_act"))
     body = F.regexp_replace(cleaned, r"^[A-Z]\.\d+(?:\.\d+)?\s*", "")
     connectors = items.where(F.col("first").rlike(CONNECTOR)).select(*at, F.lit("connector").alias("type"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("note"), F.col("first").alias("text"), F.lit(None).cast("string").alias("ct"), F.lit(None).cast("boolean").alias("optional"), F.array().cast("array<string>").alias("refs"))
     actions = items.where(F.col("first").rlike(ACTION_LABEL)).select(
-        *at, "anchored", F.lit("action").alias("type"), F.col("first").alias("label"), extract_note(body).alias("note"), strip_note(body).alias("text"),
+        *at, F.lit("action").alias("type"), F.col("first").alias("label"), extract_note(body).alias("note"), strip_note(body).alias("text"),
         clean_text(F.coalesce("raw_ct", F.lit(""))).alias("ct"), is_optional(F.col("raw_act")).alias("optional"), references(cleaned).alias("refs"))
-    rows = region_text(banded.where("col = 'TIME' and anchored"), "cond_top", "line").withColumn("row", clean_text(F.col("joined"))).where("row <> ''")
+    rows = texts.where("kind = 'row'").select(*PAGE, F.col("a").alias("cond_top"), F.col("b").alias("line"), clean_text(joined).alias("row")).where("row <> ''")
     blocks = completion_time_blocks(rows, [*PAGE, "cond_top"], "line", "row")
     actions = align_completion_times(actions, blocks, [*PAGE, "cond_top"], "band_top").select(connectors.columns)
     fields = ("type", "label", "note", "text", "ct", "optional", "refs")
     listed = actions.union(connectors).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("cond_top", "band_top", *fields))).alias("i"))
     listed = listed.select(*PAGE, F.transform("i", lambda i: F.struct(*(i[f].alias(f) for f in fields))).alias("act_items"))
 
-    piece = region_text(banded, "cond_top", "col").select(*PAGE, F.col("cond_top").alias("at"), F.array_position(F.array(*map(F.lit, ("COND", "ACT", "TIME"))), F.col("col")).cast("int").alias("c"), normalize_raw(F.col("joined")).alias("piece"))
-    plain = plain_narrative.union(piece).where("piece <> ''").groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("at", "c", "piece"))).alias("p"))
-    plain = plain.select(*PAGE, truthy(normalize_raw(F.array_join(F.col("p.piece"), " "))).alias("raw_text"))
-
-    out = regions.select(*PAGE, "lco", "title").join(stated, PAGE, "left").join(conditions, PAGE, "left").join(listed, PAGE, "left").join(plain, PAGE, "left")
+    out = regions.select(*PAGE, "lco", "title").join(whole, PAGE, "left").join(listed, PAGE, "left")
     band_type, item_type = "array<struct<letter:string,text:string,optional:boolean,compound:boolean>>", "array<struct<type:string,label:string,note:string,text:string,ct:string,optional:boolean,refs:array<string>>>"
     none = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
     return out.select("lco", "title", "lco_stmt", "applicability", none("cond_bands", band_type), none("act_items", item_type), "raw_text", "page_no", truthy(F.col("source_doc")).alias("source_doc"))
