@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text
 from pagemill.functions.vectors import hashing
-from pagemill.operators import evaluation, layout, pages, questions, retrieval, sections, semantic, structure, windows
+from pagemill.operators import evaluation, layout, pages, questions, retrieval, sections, semantic, structure, table_functions, windows
 from pagemill.sources.scratch import Scratch
 
 _SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -61,9 +61,16 @@ def _sql_windows(strategy: str, size: int, overlap: int) -> str:
 
 
 _FIXED, _SLIDING = _sql_windows("naive_fixed_length", 900, 0), _sql_windows("sliding_window", 900, 200)
+_TABLE_FUNCTION = f"SELECT split_part(split_part(id, '::', 2), '#', 1) AS id, chunk_index, char_start, char_end, md5(body) AS body_md5 FROM ({_SLIDING})"
 _ROWS = "SELECT id, chunk_index, char_start, char_end, md5(body) AS body_md5 FROM ({})"
 
 
+def table_function_chunks(spark, sf_dir):
+    """The sliding window as a table function in SQL."""
+    table_functions.register(spark)
+    return spark.sql("SELECT id, chunk_index, char_start, char_end, md5(body) AS body_md5 FROM sliding_window(TABLE(SELECT doc_id AS id, text FROM {docs}), 900, 200)", docs=_read(spark, sf_dir, "documents"))
+
+
 def chunk_statistics(spark, sf_dir):
     raw = _raw(spark, sf_dir)
     both = [structure.common_columns(c) for c in (windows.naive_fixed_length(raw), windows.sliding_window(raw))]
@@ -204,7 +211,7 @@ _BLOCKS = f"""SELECT CAST(l_orderkey AS VARCHAR) AS lco, CAST(row_number() OVER
 
 
 def section_outline(spark, sf_dir):
-    p = _pages(spark, sf_dir)
+    p = sections.by_section(_pages(spark, sf_dir))
     return sections.actions_text(_blocks(p), sections.merge_sections(p)).select("lco", F.md5("actions_text").alias("outline"))
 
 
@@ -215,7 +222,7 @@ b AS (SELECT lco, label AS letter, id, text FROM ({_BLOCKS}))"""
 
 
 def condition_records(spark, sf_dir):
-    p = _pages(spark, sf_dir)
+    p = sections.by_section(_pages(spark, sf_dir))
     rows = sections.condition_records(sections.merge_sections(p), _blocks(p))
     return rows.select("id", "metadata.chunk_type", F.array_join("metadata.evidence_ids", " ").alias("evidence"), F.md5("content.body").alias("body_md5"))
 
@@ -229,7 +236,7 @@ UNION ALL SELECT lco || '/LCO', 'lco_statement', lco || '/LCO', md5(head || chr(
 
 
 def action_records(spark, sf_dir):
-    p = _pages(spark, sf_dir)
+    p = sections.by_section(_pages(spark, sf_dir))
     rows = sections.action_records(sections.merge_sections(p), _blocks(p))
     return rows.select("id", "metadata.condition_id", "metadata.action_id", "metadata.connector", "content.logic", F.md5("content.body").alias("body_md5"))
 
@@ -257,13 +264,13 @@ SELECT lco, md5(concat_ws(chr(10), title, lco_stmt, 'APPLICABILITY: ' || applica
 
 
 def condition_aware_chunks(spark, sf_dir):
-    p = _pages(spark, sf_dir)
+    p = sections.by_section(_pages(spark, sf_dir))
     rows = structure.condition_aware(sections.condition_records(sections.merge_sections(p), _blocks(p)))
     return rows.select("id", "strategy", "metadata.chunk_type", F.array_join("metadata.evidence_ids", " ").alias("evidence"), F.md5("content.body").alias("body_md5"))
 
 
 def action_logic_chunks(spark, sf_dir):
-    p = _pages(spark, sf_dir)
+    p = sections.by_section(_pages(spark, sf_dir))
     rows = structure.action_logic(sections.action_records(sections.merge_sections(p), _blocks(p)))
     return rows.select("id", "strategy", "metadata.chunk_type", F.array_join("metadata.evidence_ids", " ").alias("evidence"), F.md5("content.body").alias("body_md5"))
 
@@ -281,7 +288,7 @@ _GAPS = f"SELECT lco, id, label, chr(64 + id) AS expected FROM ({_BLOCKS}) WHERE
 
 
 def hierarchical_records(spark, sf_dir):
-    p = _pages(spark, sf_dir)
+    p = sections.by_section(_pages(spark, sf_dir))
     rows = sections.hierarchical_records(sections.merge_sections(p), _blocks(p))
     block = lambda b: F.concat_ws("|", b["gid"], b["label"], b["text"], b["optional"].cast("string"), b["compound"].cast("string"), F.array_join(b["actions"]["gid"], ","))
     return rows.select("id", "metadata.title", F.size("content.condition_blocks").alias("n_conditions"), F.md5("content.lco_statement").alias("statement"), F.md5("content.raw_text").alias("raw"), F.md5("content.actions_text").alias("outline"), F.md5(F.array_join(F.transform("content.condition_blocks", block), ";")).alias("blocks"))
@@ -293,7 +300,7 @@ JOIN (SELECT lco, count(*) AS n, string_agg(lco || '/' || label || '|' || label
 
 def smoke_questions(spark, sf_dir):
     """The feature is a sample of the first questions."""
-    p = _pages(spark, sf_dir)
+    p = sections.by_section(_pages(spark, sf_dir))
     rows = sections.action_records(sections.merge_sections(p), _blocks(p))
     key = F.struct(F.col("metadata.lco").cast("long"), "metadata.condition_id", "metadata.action_id")
     return questions.smoke_questions(rows.withColumn("o", key), "o").select("id", "type", "question", F.array_join("evidence_ids", " ").alias("evidence"))
@@ -553,14 +560,14 @@ SELECT q.id AS qa_id, 'naive_fixed_length' AS strategy, CAST(coalesce(n, 0) AS I
 _RETRIEVED = f"WITH {_RUNS} SELECT qa_id, 'naive_fixed_length' AS strategy, rank, round(score, 6) AS score, chunk_id FROM r"
 
 QUERIES = {f.__name__: f for f in (
-    fixed_chunks, sliding_chunks, chunk_statistics, semantic_chunks, condition_aware_chunks, action_logic_chunks, label_gaps, hierarchical_records, pilot_colocation, cleaned_texts, word_offsets, match_texts, section_merge, connector_attach, condition_blocks, section_outline,
+    fixed_chunks, sliding_chunks, table_function_chunks, chunk_statistics, semantic_chunks, condition_aware_chunks, action_logic_chunks, label_gaps, hierarchical_records, pilot_colocation, cleaned_texts, word_offsets, match_texts, section_merge, connector_attach, condition_blocks, section_outline,
     condition_records, action_records, smoke_questions, evidence_from_text, label_parts, completion_times, parsed_pages, page_bands, note_spans, pilot_structure, pilot_distance,
     dense_topk, label_agreement, retrieval_runs, rag_prompts, eval_details, eval_details_by_ids, eval_summary, eval_diagnostics,
 )}
 
 ORACLES = {
     "semantic_chunks": _SEMANTIC, "condition_aware_chunks": _CONDITION_CHUNKS, "action_logic_chunks": _ACTION_CHUNKS, "label_gaps": _GAPS, "hierarchical_records": _HIERARCHICAL, "pilot_colocation": _COLOCATION,
-    "fixed_chunks": _ROWS.format(_FIXED), "sliding_chunks": _ROWS.format(_SLIDING), "chunk_statistics": _CHUNK_STATISTICS, "cleaned_texts": _CLEANED, "word_offsets": _WORD_OFFSETS, "match_texts": _MATCHED,
+    "table_function_chunks": _TABLE_FUNCTION, "fixed_chunks": _ROWS.format(_FIXED), "sliding_chunks": _ROWS.format(_SLIDING), "chunk_statistics": _CHUNK_STATISTICS, "cleaned_texts": _CLEANED, "word_offsets": _WORD_OFFSETS, "match_texts": _MATCHED,
     "section_merge": _SECTIONS, "connector_attach": _CONNECTORS, "condition_blocks": _BLOCKS, "condition_records": _CONDITIONS, "action_records": _ACTIONS, "section_outline": _OUTLINE, "smoke_questions": _SMOKE, "evidence_from_text": _EVIDENCE, "label_parts": _LABEL_PARTS,
     "completion_times": _TIMES, "parsed_pages": _PARSED, "page_bands": _BANDS, "note_spans": _NOTES, "pilot_structure": _PILOT_STRUCTURE, "pilot_distance": _PILOT_DISTANCE, "dense_topk": f"SELECT query_id, vec_id, rank, round(score, 6) AS score FROM ({_NEAREST})",
     "label_agreement": _AGREEMENT, "retrieval_runs": _RETRIEVED, "rag_prompts": _PROMPTS, "eval_details": _DETAILS, "eval_details_by_ids": _IDS, "eval_summary": _SUMMARY, "eval_diagnostics": _DIAGNOSTICS,

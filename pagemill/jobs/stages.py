@@ -6,6 +6,10 @@ index: chunks -> chunks with vectors
 retrieve: questions -> ranked runs
 prompts: runs -> prompts
 evaluate: runs -> details, summary and diagnostics
+
+Each folder of the configuration holds versions (``sources.versions``).  A stage reads the
+versions that are current when it begins, writes all its tables aside and makes them
+current together when the last one is there; if it fails, what was there stays whole.
 """
 
 from __future__ import annotations
@@ -16,12 +20,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.config import Config
-from pagemill.functions.vectors import Encoder, hashing
+from pagemill.functions.vectors import TextEncoder, hashing
 from pagemill.operators import evaluation, retrieval, sections
 from pagemill.operators.pages import parse_pages
 from pagemill.operators.structure import STRATEGIES, chunk_statistics, common_columns
 from pagemill.schemas import QUESTIONS, WORDS
 from pagemill.sources.tables import load_index, page_words, read_jsonl, save_index, write_csv
+from pagemill.sources.versions import Snapshot, Tables
+
+
+def tables(spark: SparkSession, config: Config, kind: str) -> Tables:
+    """The versions of the processed, chunks or output folder."""
+    return Tables(spark, config.folder(kind))
+
+
+def current(spark: SparkSession, config: Config, kind: str) -> Snapshot:
+    return tables(spark, config, kind).current()
 
 
 def corpus(spark: SparkSession, config: Config, words: DataFrame | None = None) -> None:
@@ -30,34 +44,37 @@ def corpus(spark: SparkSession, config: Config, words: DataFrame | None = None)
     if config.overrides:
         rows = [(lco, *(float(o[k]) if k in o else None for k in ("col1_max", "col2_max", "header_margin"))) for lco, o in config.overrides.items()]
         overrides = spark.createDataFrame(rows, "lco string, col1_max double, col2_max double, header_margin double")
-    parsed = parse_pages(page_words(words, config.page_ranges), config.layout, overrides)
-    parsed.write.mode("overwrite").parquet(config.table("processed", "pages"))
-    pages = spark.read.parquet(config.table("processed", "pages")).withColumn("page_ord", F.struct("source_doc", "page_no"))
-    merged = sections.merge_sections(pages)
-    blocks = sections.condition_blocks(sections.section_items(pages), sections.condition_texts(pages))
-    for name, table in (("sections", merged), ("blocks", blocks)):
-        table.write.mode("overwrite").parquet(config.table("processed", name))
-    merged, blocks = (spark.read.parquet(config.table("processed", n)) for n in ("sections", "blocks"))
-    tables = {"raw": sections.raw_records(merged), "hierarchical": sections.hierarchical_records(merged, blocks), "hierarchical_source": sections.action_records(merged, blocks), "condition_chunks": sections.condition_records(merged, blocks), "label_gaps": sections.label_gaps(blocks)}
-    for name, table in tables.items():
-        table.write.mode("overwrite").parquet(config.table("processed", name))
-
-
-def chunks(spark: SparkSession, config: Config, strategy: str = "all", encoder: Encoder | None = None) -> None:
-    for name in config.strategies(strategy):
-        chunker, source, _ = STRATEGIES[name]
-        parameters = config.parameters(name)
-        if name == "semantic":
-            parameters = {"model_name": config.model_name, **parameters, "encoder": encoder or hashing()}
-            parameters.pop("batch_size", None)
-        chunker(spark.read.parquet(config.table("processed", source)), **parameters).write.mode("overwrite").parquet(config.table("chunks", name))
-
-
-def index(spark: SparkSession, config: Config, strategy: str = "all", encoder: Encoder | None = None) -> None:
-    every = [common_columns(spark.read.parquet(config.table("chunks", name))) for name in config.strategies(strategy)]
+    with tables(spark, config, "processed").draft() as out:
+        parsed = out.write("pages", parse_pages(page_words(words, config.page_ranges), config.layout, overrides))
+        pages = sections.by_section(parsed.withColumn("page_ord", F.struct("source_doc", "page_no")))
+        merged = out.write("sections", sections.merge_sections(pages))
+        blocks = out.write("blocks", sections.condition_blocks(sections.section_items(pages), sections.condition_texts(pages)))
+        out.write("raw", sections.raw_records(merged))
+        out.write("hierarchical", sections.hierarchical_records(merged, blocks))
+        out.write("hierarchical_source", sections.action_records(merged, blocks))
+        out.write("condition_chunks", sections.condition_records(merged, blocks))
+        out.write("label_gaps", sections.label_gaps(blocks))
+
+
+def chunks(spark: SparkSession, config: Config, strategy: str = "all", encoder: TextEncoder | None = None) -> None:
+    source_tables = current(spark, config, "processed")
+    with tables(spark, config, "chunks").draft() as out:
+        for name in config.strategies(strategy):
+            chunker, source, _ = STRATEGIES[name]
+            parameters = config.parameters(name)
+            if name == "semantic":
+                parameters = {"model_name": config.model_name, **parameters, "encoder": encoder or hashing()}
+                parameters.pop("batch_size", None)
+            out.write(name, chunker(source_tables.table(source), **parameters))
+
+
+def index(spark: SparkSession, config: Config, strategy: str = "all", encoder: TextEncoder | None = None) -> None:
+    held = current(spark, config, "chunks")
+    every = [common_columns(held.table(name)) for name in config.strategies(strategy)]
     built = retrieval.build_index(reduce(DataFrame.unionByName, every), encoder or hashing())
     save_index(built, retrieval.index_metadata(built, config.model_name), config.table("output", "index"))
-    write_csv(chunk_statistics(spark.read.parquet(config.table("output", "index/chunks"))), config.table("output", "chunk_statistics"))
+    with tables(spark, config, "output").draft() as out:
+        out.put("chunk_statistics", lambda place: write_csv(chunk_statistics(load_index(spark, config.table("output", "index"))[0]), place))
 
 
 def questions(spark: SparkSession, config: Config) -> DataFrame:
@@ -66,22 +83,24 @@ def questions(spark: SparkSession, config: Config) -> DataFrame:
     return evaluation.last_questions(rows, "_line")
 
 
-def retrieve(spark: SparkSession, config: Config, strategy: str = "all", encoder: Encoder | None = None) -> None:
+def retrieve(spark: SparkSession, config: Config, strategy: str = "all", encoder: TextEncoder | None = None) -> None:
     found, _ = load_index(spark, config.table("output", "index"), config.strategies(strategy))
-    runs = retrieval.retrieve(questions(spark, config), found, encoder or hashing(), max(config.k_values))
-    runs.write.mode("overwrite").parquet(config.table("output", "runs"))
+    with tables(spark, config, "output").draft() as out:
+        out.write("runs", retrieval.retrieve(questions(spark, config), found, encoder or hashing(), max(config.k_values)))
 
 
 def prompts(spark: SparkSession, config: Config, context_k: int = 5) -> None:
-    retrieval.prompts(spark.read.parquet(config.table("output", "runs")), context_k).write.mode("overwrite").parquet(config.table("output", "rag_inputs"))
+    runs = current(spark, config, "output").table("runs")
+    with tables(spark, config, "output").draft() as out:
+        out.write("rag_inputs", retrieval.prompts(runs, context_k))
 
 
 def evaluate(spark: SparkSession, config: Config) -> None:
-    asked, runs = questions(spark, config), spark.read.parquet(config.table("output", "runs"))
-    evaluation.detail_rows(asked, runs, config.k_values).write.mode("overwrite").parquet(config.table("output", "eval/details"))
-    details = spark.read.parquet(config.table("output", "eval/details"))
-    write_csv(evaluation.summary(details, config.k_values), config.table("output", "eval/summary"))
-    write_csv(evaluation.diagnostics(asked, runs), config.table("output", "eval/diagnostics"))
+    asked, runs = questions(spark, config), current(spark, config, "output").table("runs")
+    with tables(spark, config, "output").draft() as out:
+        details = out.write("eval/details", evaluation.detail_rows(asked, runs, config.k_values))
+        out.put("eval/summary", lambda place: write_csv(evaluation.summary(details, config.k_values), place))
+        out.put("eval/diagnostics", lambda place: write_csv(evaluation.diagnostics(asked, runs), place))
 
 
 STAGES = {"corpus": corpus, "chunks": chunks, "index": index, "retrieve": retrieve, "prompts": prompts, "evaluate": evaluate}
@@ -96,7 +115,7 @@ def selected_stages(first: str, last: str) -> list[str]:
 
 
 def run(spark: SparkSession, config: Config, first: str = "corpus", last: str = "evaluate", strategy: str = "all") -> None:
-    """Runs stages in order; the first failure ends the run."""
+    """Runs stages in order; the first failure ends the run and leaves earlier versions current."""
     for name in selected_stages(first, last):
         options = {"strategy": strategy} if name in ("chunks", "index", "retrieve") else {}
         STAGES[name](spark, config, **options)

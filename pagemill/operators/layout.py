@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from pagemill.functions.text import CONDITION_LABEL, DASH_RUN, NOTE_OPEN, SECTION_ID, strip, truthy
 
-PAGE = ["source_doc", "page_no"]
+#: The number comes first, as sorts compare the first key's prefix before anything else.
+PAGE = ["page_no", "source_doc"]
 WORD = ("top", "x0", "word_ord", "x1", "bottom", "text")
 #: Words whose tops differ by less are on one printed line of a heading.
 _LINE = 6

@@ -92,9 +92,9 @@ def placed_texts(placed: DataFrame) -> DataFrame:
         key(of("ACT") & F.col("band_top").isNotNull(), "act", "cond_top", "band_top"), key(of("TIME") & F.col("band_top").isNotNull(), "ct", "cond_top", "band_top"), key(of("TIME") & F.col("anchored"), "row", "cond_top", "line"),
     ))
     each = placed.select(*PAGE, "anchored", "line", *(c for c in WORD if c != "text"), "text", strip_bracket(F.col("text")).alias("bare"), F.explode(keys).alias("key"))
-    first = F.min_by("bare", F.when((F.col("key.kind") == "act") & (F.col("bare") != ""), F.struct("line", "x0", "word_ord")))
-    grouped = each.groupBy(*PAGE, "key", "anchored").agg(F.collect_list(F.struct(*WORD)).alias("words"), first.alias("first"))
-    return grouped.select(*PAGE, "key.*", "anchored", "first", join_words("words").alias("joined"))
+    first = F.min_by("bare", F.when((F.col("kind") == "act") & (F.col("bare") != ""), F.struct("line", "x0", "word_ord")))
+    grouped = each.select("*", "key.*").groupBy(*PAGE, "kind", "a", "b", "c", "anchored").agg(F.collect_list(F.struct(*WORD)).alias("words"), first.alias("first"))
+    return grouped.select(*PAGE, "kind", "a", "b", "c", "anchored", "first", join_words("words").alias("joined"))
 
 
 def parse_pages(words: DataFrame, layout: dict = LAYOUT, overrides: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,9 @@
 Page records of one id are merged whatever lies between them.  Items keep their order as
 rows (page order, place on the page); what depends on earlier items comes from windows
 over a section.
+
+``by_section`` deals the pages into buckets by id once.  All steps group, order and join by
+the id, so nothing is shuffled after it, however many of them read the pages.
 """
 
 from __future__ import annotations
@@ -12,10 +15,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import extract_note, label_set, one_connector, or_none, parse_label, sentence, strip, strip_note, truthy
+from pagemill.sources.scratch import Scratch
 
 _ACTION = ("id", "gid", "label", "group", "alt", "connector", "optional", "text", "completion_time", "note", "refs")
 
 
+def by_section(pages: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Pages that have an id, written in buckets of it."""
+    return Scratch(pages.sparkSession, "sections").bucketed(pages.where("lco is not null"), "lco", buckets=buckets)
+
+
 def merge_sections(pages: DataFrame) -> DataFrame:
     """One row for each id: first non-empty title, statement, applicability and document; pages and texts in order."""
     first = lambda c: F.min_by(c, F.when(truthy(F.col(c)).isNotNull(), F.col("page_ord"))).alias(c)
@@ -59,8 +68,11 @@ def condition_blocks(items: DataFrame, texts: DataFrame) -> DataFrame:
     entry = F.struct("ord", "type", "label", "text", "ct", "note", "optional", "refs", "group", "alt", "connector")
     blocks = kept.groupBy("lco", "block").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list(entry)).alias("items"))
     blocks = blocks.withColumn("id", F.row_number().over(W.partitionBy("lco").orderBy("first")))
-    blocks = blocks.join(texts.withColumnRenamed("letter", "block"), ["lco", "block"], "left")
-    blocks = blocks.withColumns({"text": F.coalesce("condition_text", F.lit("")), "optional": F.coalesce("condition_optional", F.lit(False)), "compound": F.coalesce("compound", F.lit(False))})
+    # by letter, so that the join needs nothing but the id
+    said = F.struct("condition_text", "condition_optional", "compound")
+    listed = texts.groupBy("lco").agg(F.map_from_entries(F.collect_list(F.struct("letter", said.alias("said")))).alias("_said"))
+    blocks = blocks.join(listed, "lco", "left").withColumn("_own", F.try_element_at("_said", "block"))
+    blocks = blocks.withColumns({"text": F.coalesce("_own.condition_text", F.lit("")), "optional": F.coalesce("_own.condition_optional", F.lit(False)), "compound": F.coalesce("_own.compound", F.lit(False))})
     acts = F.filter("items", lambda i: i["type"] == "action")
     numbered = F.transform(acts, lambda a, k: F.struct((k + 1).alias("id"), F.concat("lco", F.lit("/"), a["label"]).alias("gid"), a["label"].alias("label"), a["group"].alias("group"), a["alt"].alias("alt"), a["connector"].alias("connector"), a["optional"].alias("optional"), a["text"].alias("text"), truthy(a["ct"]).alias("completion_time"), a["note"].alias("note"), a["refs"].alias("refs")))
     return blocks.select("lco", F.col("block").alias("label"), "id", F.concat_ws("/", "lco", "block").alias("gid"), "text", "optional", "compound", "items", numbered.alias("actions"))

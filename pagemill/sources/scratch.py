@@ -8,6 +8,8 @@ as long as the session: they are deleted when the driver's JVM ends.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -26,6 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _forget(spark: SparkSession, name: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 class Scratch:
     """Writes tables and forgets those that are no longer needed."""
 
@@ -35,18 +42,35 @@ class Scratch:
         self._next = 0
         self._path, self._conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
 
+    def _claim(self) -> str:
+        """The next path; the first one has the folder deleted at the end."""
+        if not self._next:
+            place = self._path(self.folder)
+            place.getFileSystem(self._conf).mkdirs(place)
+            place.getFileSystem(self._conf).deleteOnExit(place)
+        self._next += 1
+        return f"{self.folder}/{self._next - 1}"
+
     def table(self, frame: DataFrame) -> DataFrame:
         """Write ``frame`` and return it as read back."""
-        path = f"{self.folder}/{self._next}"
-        self._next += 1
+        path = self._claim()
         frame.write.parquet(path)
-        if path.endswith("/0"):
-            place = self._path(self.folder)
-            place.getFileSystem(self._conf).deleteOnExit(place)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out.pagemill_path = path
         return out
 
+    def bucketed(self, frame: DataFrame, *keys: str, buckets: int | None = None) -> DataFrame:
+        """Like ``table``, dealt by ``keys`` into as many buckets as the session shuffles into.
+
+        Joins on the keys, and aggregates and windows by them and more, then need no shuffle,
+        whatever columns each of them reads.  The entry in the session's catalog goes at exit.
+        """
+        n = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"pagemill_{uuid.uuid4().hex}"
+        frame.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", self._claim()).saveAsTable(name)
+        atexit.register(_forget, self.spark, name)
+        return self.spark.table(name)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this scratch that nothing will read again."""
         for table in tables:

@@ -6,17 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.sources.scratch import Scratch
+from pagemill.sources.versions import Tables
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, line: str | None = None) -> DataFrame:
     """A row for each line that is not blank; a line that is not JSON fails the job, naming file and line text.
 
-    ``line`` names a column for the number of the line in its file, which failures then
-    name too.  It gathers a file's lines in one task: for files that people write.
+    ``line`` names a column for (file, number of the line in it), which failures then name
+    too.  Lines stay in the splits they are read in: they are written once, so that their
+    places are fixed, and a line's number is its place in its split plus the lines of the
+    file's splits before, which are one count each.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     place = F.concat("file", F.lit(": "))
     if line:
-        lines = lines.withColumn("no", F.row_number().over(W.partitionBy("file").orderBy("block", "at")))
+        scratch = Scratch(spark, "lines")
+        lines = scratch.table(lines)
+        splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("least"))
+        before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        splits = scratch.table(splits.select("file", "block", (before + 1 - F.col("least")).alias("shift")))
+        lines = lines.join(splits, ["file", "block"]).withColumn("no", F.col("at") + F.col("shift"))
         place = F.concat("file", F.lit(", line "), "no", F.lit(": "))
     parsed = lines.where("trim(value) <> ''").withColumn("r", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     failed = F.raise_error(F.concat(F.lit("not JSON in "), place, F.substring("value", 1, 200)))
@@ -34,26 +44,40 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+#: Rows of a report that goes into one file, at most.
+REPORT_ROWS = 100_000
+
+
+def _report(frame: DataFrame) -> DataFrame:
+    """``frame`` as it is, if it is small enough for one file; it is counted first, not gathered."""
+    if frame.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
+        raise ValueError(f"more than {REPORT_ROWS} rows are a table and not a report: write them as parquet or JSON lines")
+    return frame
+
+
 def write_json(frame: DataFrame, path: str) -> None:
-    """A summary of bounded size as one indented document: a list of its rows."""
+    """A summary as one indented document, a list of its rows; more than ``REPORT_ROWS`` are refused."""
+    frame = _report(frame)
     rows = F.to_json(F.collect_list(F.struct("*")), {"pretty": "true", "ignoreNullFields": "false"})
     frame.agg(rows.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
-    """A report of bounded size (a row for each strategy and type) as one file with a header."""
-    frame.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A report (a row for each strategy and type) as one file with a header; more than ``REPORT_ROWS`` rows are refused."""
+    _report(frame).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
 def save_index(index: DataFrame, metadata: DataFrame, path: str) -> None:
-    """Chunks with vectors, partitioned by strategy, and a table that describes them."""
-    index.write.mode("overwrite").partitionBy("strategy").parquet(f"{path}/chunks")
-    metadata.write.mode("overwrite").parquet(f"{path}/meta")
+    """Chunks with vectors, partitioned by strategy, and a table that describes them, which become current together."""
+    with Tables(index.sparkSession, path).draft() as out:
+        out.write("chunks", index, ("strategy",))
+        out.write("meta", metadata)
 
 
 def load_index(spark: SparkSession, path: str, strategies: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Both tables; only the folders of the wanted strategies are read."""
-    chunks, meta = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/meta")
+    """Both tables of one version, whatever is published later; only the folders of the wanted strategies are read."""
+    version = Tables(spark, path).current()
+    chunks, meta = version.table("chunks"), version.table("meta")
     if strategies is not None:
         chunks, meta = (x.where(F.col("strategy").isin(strategies)) for x in (chunks, meta))
     return chunks, meta

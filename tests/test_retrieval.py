@@ -139,11 +139,12 @@ def test_all_stages(spark, tmp_path):
     (tmp_path / "qa/qa.jsonl").write_text(json.dumps(qa) + "\n")
     config = Config(str(tmp_path), {"words_path": "words", "sections": [{"start": 1, "end": 2}]})
     stages.run(spark, config)
-    rows = spark.read.parquet(config.table("output", "eval/details")).collect()
+    done = stages.current(spark, config, "output")
+    rows = done.table("eval/details").collect()
     assert {r.strategy for r in rows} == set(config.strategies())
     assert all(r.hit_5 for r in rows)
-    assert spark.read.parquet(config.table("output", "rag_inputs")).count() == 5
-    assert spark.read.csv(config.table("output", "eval/summary"), header=True).where("qa_type = 'ALL'").count() == 5
+    assert done.table("rag_inputs").count() == 5
+    assert spark.read.csv(done.place("eval/summary"), header=True).where("qa_type = 'ALL'").count() == 5
 
 
 def test_stream(spark, tmp_path):

@@ -1,5 +1,7 @@
 """Layout, page parsing and section assembly on hand-made pages."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from pagemill.operators import layout, pages, sections
@@ -109,3 +111,80 @@ def test_merged_section_and_bodies(spark):
     assert outline.actions_text == "T\nLCO L (NOTE: m) run\nAPPLICABILITY: MODE 1\n\nCONDITION A: bad\n  A.1 (NOTE: n) do  [CT] 1 hour"
     asked = smoke_questions(sections.action_records(merged, blocks), "id", 40).collect()
     assert [(q.id, q.question) for q in asked] == [("smoke_action_001", "For LCO L, what is Required Action A.1 when the condition is: bad"), ("smoke_ct_002", "For LCO L, what is the Completion Time for Required Action A.1?")]
+
+
+def test_one_shuffle_by_section(spark):
+    """Pages are dealt once; the plans of the records hold no shuffle, and give the rows of pages that were not dealt."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    pages_ = spark.createDataFrame([r for k in range(40) for r in (record(1, SEQUENCE, [("A", "old"), ("A", "text")], lco=f"L{k}", stmt="LCO run"), record(2, [item("action", "B.2")], [("B", "more")], lco=f"L{k}"))] + [record(3, [], lco=None)], PAGES).withColumn("page_ord", F.col("page_no"))
+
+    def records(p):
+        merged, blocks = sections.merge_sections(p), sections.condition_blocks(sections.section_items(p), sections.condition_texts(p))
+        return [sections.action_records(merged, blocks), sections.condition_records(merged, blocks), sections.hierarchical_records(merged, blocks)]
+
+    try:
+        for k, v in zip(kept, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        dealt = sections.by_section(pages_, buckets=5)
+        for got, want in zip(records(dealt), records(pages_), strict=True):
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def plain_order(words):
+    """Reading order word by word."""
+    rows = []
+    for w in sorted(words, key=lambda w: (w["top"], w["x0"], w["word_ord"])):
+        middle = (w["top"] + w["bottom"]) / 2
+        for box, row in rows:
+            if abs(middle - (box[0] + box[1]) / 2) <= 0.7 * max(1.0, box[1] - box[0]):
+                row.append(w)
+                box[:] = min(box[0], w["top"]), max(box[1], w["bottom"])
+                break
+        else:
+            rows.append(([w["top"], w["bottom"]], [w]))
+    out = []
+    for _, row in sorted(rows, key=lambda r: r[0][0]):
+        before = None
+        for w in sorted(row, key=lambda w: w["x0"]):
+            tall, own = (max(1.0, before["bottom"] - before["top"]) if before else 0), max(1.0, w["bottom"] - w["top"])
+            sub = before and 0 < len(w["text"]) <= 5 and 0 < len(before["text"]) <= 3 and -1.0 <= w["x0"] - before["x1"] <= 4.0 and own <= 1.15 * tall and (w["top"] + w["bottom"] - before["top"] - before["bottom"]) / 2 > 0.10 * tall
+            if sub:
+                out[-1] += "_" + w["text"]
+            else:
+                out.append(w["text"])
+            before = w
+    return " ".join(out)
+
+
+def test_reading_order_of_many_regions_equals_word_by_word(spark):
+    rng = random.Random(6)
+    regions = []
+    for k in range(400):
+        n = rng.choice([0, 1, 2, 5, 12, 40, 150])
+        line = lambda: rng.choice([10, 10.5, 13, 15, 22, 30, 47, 60]) + rng.choice([0, 0, 0, 1, 40, 90])
+        words = [word(rng.choice(["a", "bb", "", "avg", "long word", "😀", "é"]), rng.choice([rng.randrange(0, 300), 10, 17]), line(), float(rng.choice([4, 6, 8, 10, 10, 10, 25])), rng.choice([None, 6])) for _ in range(n)]
+        regions.append([{**w, "word_ord": i if k % 2 else 0} for i, w in enumerate(words)])
+    kind = "array<struct<top:double,x0:double,word_ord:int,x1:double,bottom:double,text:string>>"
+    frame = spark.createDataFrame([(k, r) for k, r in enumerate([*regions, None])], f"k int, words {kind}").repartition(3)
+    got = {r.k: r.t for r in frame.select("k", layout.join_words("words").alias("t")).collect()}
+    assert got == {k: plain_order(r) if r else "" for k, r in enumerate(regions)} | {400: None} or got == {k: plain_order(r) for k, r in enumerate([*regions, []])}
+
+
+def test_bands_by_merging_equal_a_range_join(spark):
+    rng = random.Random(2)
+    words = spark.createDataFrame([("d" if k % 3 else "", k % 7, float(rng.randrange(40)), f"w{k}") for k in range(500)] + [(None, None, 3.0, "x"), ("d", 1, None, "y")], "source_doc string, page_no int, top double, text string")
+    spans, at = [], {}
+    for doc in ("d", ""):
+        for page_no in range(6):
+            tops = sorted(rng.sample(range(40), 4))
+            at[doc, page_no] = [(float(a), float(b - (rng.random() < 0.3))) for a, b in zip(tops, [*tops[1:], 38], strict=True)]
+            spans += [(doc, page_no, a, b, f"{a}") for a, b in at[doc, page_no]]
+    bands = spark.createDataFrame(spans, "source_doc string, page_no int, band_top double, band_bottom double, name string")
+    got = layout.in_bands(words, bands)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = sorted((w.text, a, f"{a}") for w in words.collect() for a, b in at.get((w.source_doc, w.page_no), []) if w.top is not None and a <= w.top < b)
+    assert sorted((r.text, r.band_top, r.name) for r in got.collect()) == want
