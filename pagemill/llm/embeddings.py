@@ -259,11 +259,13 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     whole = whole.withColumn("b", own)
     shipped = ["node", "times", "home", "b0", "ball", "loose", "visits", "x"]
     home = [F.col("cell").alias("home"), F.col("b").alias("b0")]
+    # what a vector visits is asked of residents only
+    unread = F.array().cast("array<int>").alias("visits")
     residents = whole.select("cell", "b", F.lit(0).alias("side"), "node", "times", *home, "ball", "loose", "visits", "x")
     # vectors outside of balls meet the other blocks of their own cell
-    among = whole.where("nb > 1 and loose").select("*", F.explode(F.expr("filter(sequence(0, nb - 1), k -> k <> b)")).alias("to")).select("cell", F.col("to").alias("b"), F.lit(1).alias("side"), "node", "times", *home, "ball", "loose", "visits", "x")
+    among = whole.where("nb > 1 and loose").select("*", F.explode(F.expr("filter(sequence(0, nb - 1), k -> k <> b)")).alias("to")).select("cell", F.col("to").alias("b"), F.lit(1).alias("side"), "node", "times", *home, "ball", "loose", unread, "x")
     guests = whole.select("*", F.explode("visits").alias("to")).join(cells.select(F.col("cell").alias("to"), F.col("nb").alias("to_nb")), "to")
-    guests = guests.select(F.col("to").alias("to_cell"), F.explode(F.expr("sequence(0, to_nb - 1)")).alias("to_b"), "node", "times", *home, "ball", "loose", "visits", "x")
+    guests = guests.select(F.col("to").alias("to_cell"), F.explode(F.expr("sequence(0, to_nb - 1)")).alias("to_b"), "node", "times", *home, "ball", "loose", unread, "x")
     guests = guests.select(F.col("to_cell").alias("cell"), F.col("to_b").alias("b"), F.lit(1).alias("side"), *shipped)
     met = residents.select("cell", "b", "side", *shipped).union(among.select("cell", "b", "side", *shipped)).union(guests)
     met = met.repartition("cell", "b").sortWithinPartitions("cell", "b", "side")
@@ -366,3 +368,15 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
 def op4_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract query over all ``embeddings``."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), target_recall=TARGET_RECALL)
+
+
+#: Every pair by itself: for small tables.
+OP4_SQL = f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT *, row_number() OVER () AS n FROM (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings)),
+s AS MATERIALIZED (SELECT n, vec_id, x FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda e: e IS NOT NULL AND isfinite(e))) = len(x) AND len(list_filter(x, lambda e: e <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.n AS a, b.n AS b FROM s a JOIN s b ON a.n <> b.n AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= {THRESHOLD}),
+r AS (SELECT n AS a, n AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS n, min(v.vec_id) AS component_id FROM r JOIN v ON v.n = r.b GROUP BY r.a),
+k AS (SELECT a AS n, count(*) AS links FROM l GROUP BY a)
+SELECT vec_id, coalesce(links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (n) LEFT JOIN k USING (n)
+"""

@@ -307,3 +307,16 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract query: two-word shingles over all ``documents``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), shingle=2)
+
+
+#: Every pair with a shingle in common by itself: for small tables.
+OP7_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT n, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM d),
+z AS MATERIALIZED (SELECT n, count(*) AS size FROM s GROUP BY n),
+p AS MATERIALIZED (SELECT a.n AS a, b.n AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.n <> b.n GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN z x ON x.n = p.a JOIN z y ON y.n = p.b WHERE 100 * shared >= 80 * (x.size + y.size - shared)),
+r AS (SELECT n AS a, n AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS n, min(d.doc_id) AS component_id FROM r JOIN d ON d.n = r.b GROUP BY r.a)
+SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (n) LEFT JOIN z USING (n)
+"""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pagemill.llm.centroids import OP11_SQL, op11_centroid_clustering
 from pagemill.llm.counts import OP6_SQL, op6_token_rollup
-from pagemill.llm.embeddings import op4_embedding_near_dedup
+from pagemill.llm.embeddings import OP4_SQL, op4_embedding_near_dedup
 from pagemill.llm.language import op9_language_id
 from pagemill.llm.licenses import op5_license_scan
-from pagemill.llm.minhash import op7_minhash_near_dedup
+from pagemill.llm.minhash import OP7_SQL, op7_minhash_near_dedup
 from pagemill.llm.mixing import OP3_SQL, op3_mix_sources
 from pagemill.llm.packing import op2_best_fit_packing
 from pagemill.llm.quality import op8_quality_rules
@@ -35,7 +35,9 @@ QUERIES = {
 ORACLES = {
     "op1_url_filters": OP1_SQL,
     "op3_mix_sources": OP3_SQL,
+    "op4_embedding_near_dedup": OP4_SQL,
     "op6_token_rollup": OP6_SQL,
+    "op7_minhash_near_dedup": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op11_centroid_clustering": OP11_SQL,
     "op12_secret_scan": OP12_SQL,
