@@ -323,6 +323,19 @@ def evidence_from_text(spark, sf_dir):
 _EVIDENCE = f"SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS lco, l_orderkey || '/' || unnest([{_LABEL}, 'LCO']) AS evidence_id FROM lineitem"
 
 
+def printed_references(spark, sf_dir):
+    """Line items as bracketed text with references: what stands in front of the brackets' text, and the references."""
+    part = F.col("l_partkey")
+    more = F.when(part % 2 == 0, F.concat(F.lit(" and SR\t1.0.2."), part % 7)).otherwise("")
+    said = F.concat(F.repeat(F.lit("["), (F.col("l_linenumber") % 3).cast("int")), F.lit(" "), "label", F.lit(" see SR 3."), part % 9, F.lit("."), "l_linenumber", F.lit("."), F.col("l_suppkey") % 20, F.lit(".9"), more, F.lit(" or SR 4.5 ]"))
+    rows = _items(spark, sf_dir).select("lco", "l_linenumber", said.alias("t"))
+    return rows.select("lco", "l_linenumber", text.strip_bracket(F.col("t")).alias("bare"), F.array_join(text.references(F.col("t")), "; ").alias("refs"), text.is_optional(F.col("t")).alias("optional"))
+
+
+_PRINTED = f"""SELECT CAST(l_orderkey AS VARCHAR) AS lco, l_linenumber, {_LABEL} || ' see ' || one || CASE WHEN two IS NULL THEN '' ELSE ' and ' || two END || ' or SR 4.5 ]' AS bare, concat_ws('; ', one[:-3], two) AS refs, true AS optional
+FROM (SELECT *, 'SR 3.' || l_partkey % 9 || '.' || l_linenumber || '.' || l_suppkey % 20 || '.9' AS one, CASE WHEN l_partkey % 2 = 0 THEN 'SR' || chr(9) || '1.0.2.' || l_partkey % 7 END AS two FROM lineitem)"""
+
+
 def label_parts(spark, sf_dir):
     """Labels taken apart, and what two neighbours suggest."""
     i = _items(spark, sf_dir).withColumn("p", text.parse_label(F.col("label")))
@@ -515,6 +528,13 @@ def eval_details(spark, sf_dir):
     return rows.select(*(F.round(c, 6).alias(c) if kind == "double" else c for c, kind in rows.dtypes))
 
 
+def eval_details_without_ranks(spark, sf_dir):
+    """Every second result has lost its rank: its place counts for recalls, and 0 as the rank of a first hit."""
+    runs = _runs(spark, sf_dir).withColumn("results", F.transform("results", lambda r: r.withField("rank", F.when(r["rank"] % 2 == 1, r["rank"]))))
+    rows = evaluation.detail_rows(_questions(spark, sf_dir), runs)
+    return rows.select(*(F.round(c, 6).alias(c) if kind == "double" else c for c, kind in rows.dtypes))
+
+
 def eval_details_by_ids(spark, sf_dir):
     rows = evaluation.detail_rows(_questions(spark, sf_dir), _runs(spark, sf_dir), by="ids")
     return rows.select("qa_id", "first_hit_rank", "hit_1", "hit_5", "unit_count", "recall_5", "set_recall_5", "set_recall_rank")
@@ -549,6 +569,7 @@ d AS (SELECT qa_id, qa_type, 'naive_fixed_length' AS strategy, f AS first_hit_ra
   CASE WHEN m = unit_count THEN l END AS set_recall_rank, coalesce(1.0::DOUBLE / CASE WHEN m = unit_count THEN l END, 0) AS set_recall_rr FROM n LEFT JOIN g USING (qa_id))"""
 _MEANS = ", ".join(f"round(avg({m}_{k}::DOUBLE), 6) AS {m}_{k}" for m in ("hit", "recall", "set_recall") for k in (1, 3, 5))
 _DETAILS = f"WITH {_RUNS} SELECT * REPLACE (round(rr, 6) AS rr, round(set_recall_rr, 6) AS set_recall_rr, round(recall_1, 6) AS recall_1, round(recall_3, 6) AS recall_3, round(recall_5, 6) AS recall_5) FROM d"
+_UNRANKED = _DETAILS.replace("min(rank) AS first", "min(rank) AS first, min(CASE WHEN rank % 2 = 1 THEN rank ELSE 0 END) AS own").replace("min(first) AS f,", "min(own) AS f,").replace("1.0::DOUBLE / f,", "1.0::DOUBLE / nullif(f, 0),")
 _SUMMARY = f"WITH {_RUNS} SELECT strategy, CASE WHEN grouping(qa_type) = 1 THEN 'ALL' ELSE qa_type END AS qa_type, count(*) AS n, round(avg(rr), 6) AS mrr, round(avg(set_recall_rr), 6) AS set_recall_mrr, {_MEANS} FROM d GROUP BY GROUPING SETS ((strategy), (strategy, qa_type))"
 _DIAGNOSTICS = f"""WITH {_RUNS}, k AS (SELECT u.qa_id, count(*) AS h, count(*) FILTER (r.chunk_id = unit) AS gen FROM u JOIN r ON u.qa_id = r.qa_id WHERE trim(kw) <> '' AND contains(r.body, {_sql_collapse('lower(kw)')}) GROUP BY 1)
 SELECT strategy, CASE WHEN grouping(qa_type) = 1 THEN 'ALL' ELSE qa_type END AS qa_type, CAST(coalesce(sum(h), 0) AS BIGINT) AS n_hits, CAST(coalesce(sum(gen), 0) AS BIGINT) AS genuine, CAST(coalesce(sum(h), 0) - coalesce(sum(gen), 0) AS BIGINT) AS coincidental,
@@ -561,14 +582,14 @@ _RETRIEVED = f"WITH {_RUNS} SELECT qa_id, 'naive_fixed_length' AS strategy, rank
 
 QUERIES = {f.__name__: f for f in (
     fixed_chunks, sliding_chunks, table_function_chunks, chunk_statistics, semantic_chunks, condition_aware_chunks, action_logic_chunks, label_gaps, hierarchical_records, pilot_colocation, cleaned_texts, word_offsets, match_texts, section_merge, connector_attach, condition_blocks, section_outline,
-    condition_records, action_records, smoke_questions, evidence_from_text, label_parts, completion_times, parsed_pages, page_bands, note_spans, pilot_structure, pilot_distance,
-    dense_topk, label_agreement, retrieval_runs, rag_prompts, eval_details, eval_details_by_ids, eval_summary, eval_diagnostics,
+    condition_records, action_records, smoke_questions, evidence_from_text, printed_references, label_parts, completion_times, parsed_pages, page_bands, note_spans, pilot_structure, pilot_distance,
+    dense_topk, label_agreement, retrieval_runs, rag_prompts, eval_details, eval_details_without_ranks, eval_details_by_ids, eval_summary, eval_diagnostics,
 )}
 
 ORACLES = {
     "semantic_chunks": _SEMANTIC, "condition_aware_chunks": _CONDITION_CHUNKS, "action_logic_chunks": _ACTION_CHUNKS, "label_gaps": _GAPS, "hierarchical_records": _HIERARCHICAL, "pilot_colocation": _COLOCATION,
     "table_function_chunks": _TABLE_FUNCTION, "fixed_chunks": _ROWS.format(_FIXED), "sliding_chunks": _ROWS.format(_SLIDING), "chunk_statistics": _CHUNK_STATISTICS, "cleaned_texts": _CLEANED, "word_offsets": _WORD_OFFSETS, "match_texts": _MATCHED,
-    "section_merge": _SECTIONS, "connector_attach": _CONNECTORS, "condition_blocks": _BLOCKS, "condition_records": _CONDITIONS, "action_records": _ACTIONS, "section_outline": _OUTLINE, "smoke_questions": _SMOKE, "evidence_from_text": _EVIDENCE, "label_parts": _LABEL_PARTS,
+    "section_merge": _SECTIONS, "connector_attach": _CONNECTORS, "condition_blocks": _BLOCKS, "condition_records": _CONDITIONS, "action_records": _ACTIONS, "section_outline": _OUTLINE, "smoke_questions": _SMOKE, "evidence_from_text": _EVIDENCE, "printed_references": _PRINTED, "label_parts": _LABEL_PARTS,
     "completion_times": _TIMES, "parsed_pages": _PARSED, "page_bands": _BANDS, "note_spans": _NOTES, "pilot_structure": _PILOT_STRUCTURE, "pilot_distance": _PILOT_DISTANCE, "dense_topk": f"SELECT query_id, vec_id, rank, round(score, 6) AS score FROM ({_NEAREST})",
-    "label_agreement": _AGREEMENT, "retrieval_runs": _RETRIEVED, "rag_prompts": _PROMPTS, "eval_details": _DETAILS, "eval_details_by_ids": _IDS, "eval_summary": _SUMMARY, "eval_diagnostics": _DIAGNOSTICS,
+    "label_agreement": _AGREEMENT, "retrieval_runs": _RETRIEVED, "rag_prompts": _PROMPTS, "eval_details": _DETAILS, "eval_details_without_ranks": _UNRANKED, "eval_details_by_ids": _IDS, "eval_summary": _SUMMARY, "eval_diagnostics": _DIAGNOSTICS,
 }
