@@ -9,19 +9,23 @@ distribution in bits.  A document is rejected when a measure of either vocabular
 the bands of its language; without a known language the bands of its main script hold.
 The files are read once by the driver, which sends them along: they are of fixed size.
 
-Bands come from the documents themselves: of every language, and of every script, the 5%
-and 95% quantiles over all documents that pass the base rules, widened by a ``MARGINS``
-part of the median (for byte shares, of 1).  For the first vocabulary they never pass the
-fixed ``BANDS``, which also hold where a group has fewer than ``GROUP_ROWS`` rows; the
-second one judges only groups with as many.
+Bands come from the documents themselves.  Of every language and of every script, and of
+every class of length in them (powers of two tokens, as short texts spread more and cannot
+reach the entropy of long ones), the 5% and 95% quantiles over all documents that pass the
+base rules are widened by a ``MARGINS`` part of the median (for byte shares, of 1).  A band
+of n rows counts n to ``SHRINK_ROWS`` against the next wider one: class against language or
+script, language against its fixed ``BANDS`` or, without such, the script, script against
+its fixed bands.  So no number of rows switches a rule, and a rare language is judged as its
+script is.  Bands of the first vocabulary never pass the fixed ones.
 
 Base rules: at least 50 words, and at most half of the words in repeated 3-word windows.
 
 Measures of a document are computed in its own row.  Quantiles are exact over rounded
-measures, from counts by group and value, so only counts are shuffled and reruns agree.
+measures, from counts by group and value, so only counts are shuffled, nothing but the
+vocabularies passes through the driver, any number of languages is allowed, and reruns agree.
 
 Defined results: null, empty and blank texts have zero counts, null measures, and fail the
-base rules; lines are parts between \\n, and a repeated line counts only if it has a word;
+base rules; a language that is null is judged by its script; lines are parts between \\n, and a repeated line counts only if it has a word;
 equal rows are judged alike; a word beyond ``LONGEST`` bytes is encoded in parts, so that
 very long ones take no more time than others.
 """
@@ -32,7 +36,8 @@ import base64
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,8 +59,10 @@ BANDS = {
 }
 #: Widths beyond the 5% and 95% quantiles, as parts of the median or, for byte shares, of 1.
 MARGINS = {"chars_per_token": 0.10, "byte_share": 0.10, "token_entropy": 0.15}
-#: Least rows of a group with bands of its own; most languages with such, the largest ones.
-GROUP_ROWS, MOST_LANGUAGES = 50, 256
+#: Rows against which a band's own rows count; classes of length by the logarithm of tokens.
+SHRINK_ROWS, CLASSES = 50, (5, 14)
+#: Outer bounds of the second vocabulary, for every group.
+WIDE = (0.2, 8.0, 1.0, 0.0)
 _MEASURES = {"chars_per_token": 100, "byte_share": 1000, "token_entropy": 100}
 #: Suffixes of the measures by vocabulary.
 _KINDS = ("", "_bpe")
@@ -135,13 +142,12 @@ class Fertility:
             self.tokens = np.append(self.tokens, np.fromiter((t for own in ids for t in own), np.int32, int(count.sum())))
         return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
 
-    def measure(self, batch: Batch, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, byte tokens and token entropy of each document."""
+    def measure(self, batch: Batch, data: bytes, words: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, byte tokens and token entropy of each document; ``words`` is ``distinct_words`` of the batch."""
         n = len(batch.counts)
-        distinct, example, which = np.unique(batch.hashes, return_index=True, return_inverse=True)
+        distinct, example, document, word, times = words or distinct_words(batch)
         rows = self.rows_of(distinct, lambda i: data[batch.first[example[i]] : batch.last[example[i]]])
-        pair, times = np.unique(batch.document_of() * len(distinct) + which, return_counts=True) if len(which) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        document, row = pair // max(1, len(distinct)), rows[pair % max(1, len(distinct))]
+        row = rows[word]
         count = self.count[row]
         at = np.repeat(self.begin[row] - np.cumsum(count) + count, count) + np.arange(count.sum())
         token, weight, owner = self.tokens[at], np.repeat(times, count), np.repeat(document, count)
@@ -156,6 +162,14 @@ class Fertility:
         return total, fallback, np.bincount(own, -p * np.log2(p), n)
 
 
+def distinct_words(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words with a place of each, and how often each document has each of its words."""
+    distinct, example, which = np.unique(batch.hashes, return_index=True, return_inverse=True)
+    n = max(1, len(distinct))
+    pair, times = np.unique(batch.document_of() * n + which.reshape(-1), return_counts=True)
+    return distinct, example, pair // n, pair % n, times
+
+
 def repeated_words(batch: Batch, size: int = 3) -> np.ndarray:
     """Words of each document in windows of ``size`` words that occur in it twice or more."""
     document = batch.document_of()
@@ -215,9 +229,9 @@ def measure(documents: DataFrame, text_column: str = "text", vocabulary: str = V
                 word_chars = in_words[batch.ends] - in_words[batch.starts]
                 n, repeated = batch.counts, repeated_words(batch)
                 failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEATED_PERCENT * n)
-                measured = []
+                measured, words = [], distinct_words(batch)
                 for own in fertility:
-                    total, fallback, entropy = own.measure(batch, data)
+                    total, fallback, entropy = own.measure(batch, data, words)
                     measured += [pa.array(c, mask=total == 0) for c in (word_chars / np.maximum(total, 1), fallback / np.maximum(total, 1), entropy)]
                 columns = [n, word_chars, symbols[ends] - symbols[batch.bytes_before], np.fromiter(map(repeated_lines, texts), np.int64, y - x), repeated]
                 yield pa.RecordBatch.from_arrays([
@@ -228,53 +242,89 @@ def measure(documents: DataFrame, text_column: str = "text", vocabulary: str = V
     return documents.mapInArrow(rows, T.StructType(fields))
 
 
-def _band(counts) -> tuple[float, float, float, float]:
-    """Band of a group by its counts (measure, value, n)."""
-    at = {}
-    for name, own in counts.groupby("measure"):
-        own = own.sort_values("value")
-        total, value = own["n"].cumsum().to_numpy(), own["value"].to_numpy()
-        at[name] = [value[np.searchsorted(total, q * total[-1])] / _MEASURES[name] for q in (0.05, 0.5, 0.95)]
+_EDGES = ("low", "high", "share", "entropy")
+
+
+def _edges(counts: DataFrame, *keys: str) -> DataFrame:
+    """Bands of each group of ``keys`` (one struct for each vocabulary) and its rows, from (keys, measure, value, n)."""
+    own = counts.groupBy(*keys, "measure", "value").agg(F.sum("n").alias("n"))
+    by = W.partitionBy(*keys, "measure")
+    placed = own.withColumns({"upto": F.sum("n").over(by.orderBy("value")), "total": F.sum("n").over(by)})
+    at = lambda m, q: F.min(F.when((F.col("measure") == m) & (F.col("upto") >= q * F.col("total")), F.col("value")))
+    quantiles = {f"{m}{k}_{int(100 * q)}": at(f"{m}{k}", q) / steps for k in _KINDS for m, steps in _MEASURES.items() for q in (0.05, 0.5, 0.95)}
+    found = placed.groupBy(*keys).agg(F.max(F.when(F.col("measure") == "byte_share", F.col("total"))).alias("rows"), *(v.alias(n) for n, v in quantiles.items()))
+
+    def band(k: str) -> Column:
+        value, wide = (lambda m, q: F.col(f"{m}{k}_{q}")), (lambda m: MARGINS[m] * F.col(f"{m}{k}_50"))
+        edges = (value("chars_per_token", 5) - wide("chars_per_token"), value("chars_per_token", 95) + wide("chars_per_token"), value("byte_share", 95) + MARGINS["byte_share"], value("token_entropy", 5) - wide("token_entropy"))
+        return F.struct(*(e.alias(n) for e, n in zip(edges, _EDGES, strict=True))).alias(f"band{k}")
+
+    return found.select(*keys, "rows", *(band(k) for k in _KINDS))
+
+
+def _constant(edges: tuple) -> Column:
+    return F.struct(*(F.lit(float(v)).alias(n) for v, n in zip(edges, _EDGES, strict=True)))
+
+
+def _blend(own: Column, rows: Column, target: Column) -> Column:
+    """``own`` as far as its rows tell, else ``target``."""
+    n = F.coalesce(rows, F.lit(0)).cast("double")
+    return F.struct(*(F.when(n > 0, (n * own[e] + SHRINK_ROWS * target[e]) / (n + SHRINK_ROWS)).otherwise(target[e]).alias(e) for e in _EDGES))
+
+
+def _within(band: Column, outer: Column) -> Column:
+    return F.struct(F.greatest(band["low"], outer["low"]).alias("low"), F.least(band["high"], outer["high"]).alias("high"), F.least(band["share"], outer["share"]).alias("share"), F.greatest(band["entropy"], outer["entropy"]).alias("entropy"))
+
 
-    tokens, entropy = at["chars_per_token"], at["token_entropy"]
-    width = {m: MARGINS[m] * (1.0 if m == "byte_share" else at[m][1]) for m in at}
-    return (tokens[0] - width["chars_per_token"], tokens[2] + width["chars_per_token"], at["byte_share"][2] + width["byte_share"], entropy[0] - width["token_entropy"])
+def length_class() -> Column:
+    tokens = F.col("word_chars") / F.col("chars_per_token")
+    return F.least(F.greatest(F.floor(F.log2(tokens)).cast("int"), F.lit(CLASSES[0])), F.lit(CLASSES[1]))
 
 
-def fit_bands(measured: DataFrame, lang_column: str = "lang", bands: dict = BANDS, kind_of: str = "") -> tuple[dict, dict]:
-    """Bands by language and by script, from all rows of ``measured`` that pass the base rules, for one vocabulary."""
-    some = measured.where(F.expr("not base_failed and token_entropy is not null"))
-    values = F.array(*(F.struct(F.lit(m).alias("measure"), F.least(F.round(F.col(f"{m}{kind_of}") * steps), F.lit(100_000)).cast("long").alias("value")) for m, steps in _MEASURES.items()))
-    counts = some.select(F.col(lang_column).alias("lang"), F.col("_script").alias("script"), F.explode(values).alias("v")).groupBy("lang", "script", "v.measure", "v.value").agg(F.count("*").alias("n"))
-    counts = Scratch(measured.sparkSession, "quality").table(counts)
+def fit_bands(measured: DataFrame, lang_column: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """Bands by (language, class) and by (script, class), beside those of the whole language or script, from all rows that pass the base rules."""
+    scratch = Scratch(measured.sparkSession, "quality")
+    some = measured.where(F.expr("not base_failed and token_entropy is not null and token_entropy_bpe is not null"))
+    values = F.array(*(F.struct(F.lit(f"{m}{k}").alias("measure"), F.least(F.round(F.col(f"{m}{k}") * steps), F.lit(100_000)).cast("long").alias("value")) for k in _KINDS for m, steps in _MEASURES.items()))
+    counts = some.select(F.col(lang_column).cast("string").alias("_lang"), "_script", length_class().alias("_class"), F.explode(values).alias("v"))
+    counts = scratch.table(counts.groupBy("_lang", "_script", "_class", "v.measure", "v.value").agg(F.count("*").alias("n")))
     out = []
-    for kind, most in (("lang", MOST_LANGUAGES), ("script", 4)):
-        large = counts.where(F.col(kind).isNotNull() & (F.col("measure") == "byte_share")).groupBy(kind).agg(F.sum("n").alias("rows")).where(F.col("rows") >= GROUP_ROWS).orderBy(F.desc("rows"), kind).limit(most)
-        own = counts.join(F.broadcast(large.select(kind)), kind).groupBy(kind, "measure", "value").agg(F.sum("n").alias("n")).toPandas()
-        found = {name: _band(rows) for name, rows in own.groupby(kind)}
-        for name, (low, high, share, entropy) in found.items():
-            outer = bands.get(name, (0.0, np.inf, bands["other"][2], 0.0))
-            found[name] = (max(low, outer[0]), min(high, outer[1]), min(share, outer[2]), max(entropy, outer[3]))
-        out.append({**bands, **found})
+    for key in ("_lang", "_script"):
+        own, whole = _edges(counts.where(F.col(key).isNotNull()), key, "_class"), _edges(counts.where(F.col(key).isNotNull()), key)
+        names = lambda end: {c: f"{key}_{c}{end}" for c in ("rows", *(f"band{k}" for k in _KINDS))}
+        out.append(scratch.table(own.withColumnsRenamed(names("_class")).join(whole.withColumnsRenamed(names("")), key)))
     return out[0], out[1]
 
 
 def judge(documents: DataFrame, text_column: str = "text", lang_column: str = "lang", vocabulary: str = VOCABULARY, ranks: str = RANKS, bands: dict = BANDS, with_text: bool = True) -> DataFrame:
     """``documents`` with counts, measures, ``base_failed`` and ``kept``; columns of those names are replaced."""
-    spark = documents.sparkSession
     measured = measure(documents, text_column, vocabulary, ranks)
-    measured = Scratch(spark, "measured").table(measured if with_text else measured.drop(text_column))
-    edges, scripts, joined, inside = ("low", "high", "share", "entropy"), ("latin", "cyrillic", "greek", "other"), measured, F.lit(True)
-    for suffix, outer in zip(_KINDS, (bands, {"other": (0.0, np.inf, 1.0, 0.0)}), strict=True):
-        by_lang, by_script = fit_bands(measured, lang_column, outer, suffix)
-        for kind, column, found in (("lang", lang_column, {k: v for k, v in by_lang.items() if k not in scripts}), ("script", "_script", {k: v for k, v in by_script.items() if k in scripts})):
-            schema = f"_{kind}_key{suffix} string, " + ", ".join(f"_{kind}_{e}{suffix} double" for e in edges)
-            # a row for each language or script
-            frame = F.broadcast(spark.createDataFrame([(k, *map(float, v)) for k, v in sorted(found.items())], schema))
-            joined = joined.join(frame, F.col(column) == F.col(f"_{kind}_key{suffix}"), "left")
-        low, high, share, entropy = (F.coalesce(F.col(f"_lang_{e}{suffix}"), F.col(f"_script_{e}{suffix}")) for e in edges)
-        own = F.col(f"chars_per_token{suffix}").between(low, high) & (F.col(f"byte_share{suffix}") <= share) & (F.col(f"token_entropy{suffix}") >= entropy)
-        inside = inside & (F.coalesce(own, low.isNull()) if suffix else own)
+    measured = Scratch(documents.sparkSession, "measured").table(measured if with_text else measured.drop(text_column))
+    by_lang, by_script = fit_bands(measured, lang_column)
+    scripts = ("latin", "cyrillic", "greek", "other")
+    keyed = measured.withColumns({"_lang": F.col(lang_column).cast("string"), "_class": F.when(~F.col("base_failed"), length_class())})
+    joined = keyed.join(by_lang, ["_lang", "_class"], "left").join(by_script, ["_script", "_class"], "left")
+    inside = F.lit(True)
+    for k in _KINDS:
+        outer = F.lit(None)
+        for name in scripts:
+            outer = F.when(F.col("_script") == name, _constant(WIDE if k else bands[name])).otherwise(outer)
+        fixed = F.lit(None).cast("struct<low:double,high:double,share:double,entropy:double>")
+        for name in () if k else sorted(set(bands) - set(scripts)):
+            fixed = F.when(F.col("_lang") == name, _constant(bands[name])).otherwise(fixed)
+
+        def fitted(key: str, outer: Column, k: str = k) -> Column:
+            whole = _within(_blend(F.col(f"{key}_band{k}"), F.col(f"{key}_rows"), outer), outer)
+            return _within(_blend(F.col(f"{key}_band{k}_class"), F.col(f"{key}_rows_class"), whole), outer)
+
+        joined = joined.withColumns({"_outer": outer, "_fixed": fixed})
+        joined = joined.withColumn("_of_script", fitted("_script", F.col("_outer")))
+        # without fixed bands a language starts from its script's, and may pass them as far as its rows tell
+        free = _blend(F.col(f"_lang_band{k}_class"), F.col("_lang_rows_class"), _blend(F.col(f"_lang_band{k}"), F.col("_lang_rows"), F.col("_of_script")))
+        joined = joined.withColumn("_band", F.when(F.col("_lang").isNull(), F.col("_of_script")).when(F.col("_fixed").isNotNull(), fitted("_lang", F.col("_fixed"))).otherwise(_within(free, F.col("_outer"))))
+        own = F.col(f"chars_per_token{k}").between(F.col("_band.low"), F.col("_band.high")) & (F.col(f"byte_share{k}") <= F.col("_band.share")) & (F.col(f"token_entropy{k}") >= F.col("_band.entropy"))
+        joined = joined.withColumn(f"_inside{k}", own)
+        inside = inside & F.col(f"_inside{k}")
     return joined.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False))).select(*(c for c in measured.columns if c != "_script"), "kept")
 
 

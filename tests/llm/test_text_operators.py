@@ -469,3 +469,24 @@ def test_model_shares_sum_to_one():
         assert share.sum() == pytest.approx((1 - weight[:-1]).sum())
     losses, _, n = model.score(["the", "zzzz"])
     assert losses[0][0] / n[0] < losses[1][0] / n[1]
+
+
+def test_bands_judge_fertility_and_not_length(spark):
+    """Prose of 50 to 100 words stays, gibberish of the same length goes, and no number of rows switches a rule."""
+    rng = np.random.default_rng(9)
+    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    known = {r.lang: r.text.split() for r in source.where("lang is not null and length(text) > 5000").collect()}
+    short = [(10_000 + i, " ".join(own[a : a + n]), lang) for i, (lang, own) in enumerate([*known.items()] * 100) for a, n in [(int(rng.integers(0, len(own) - 100)), int(rng.integers(50, 101)))]]
+    junk = [(20_000 + i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(4, 9))) for _ in range(rng.integers(50, 101))), lang) for i, lang in enumerate([*known, None, "xx"])]
+    rows = spark.createDataFrame(short + junk, source.schema)
+    got = quality.judge(source.union(rows)).where("not base_failed").collect()
+    prose = [r.kept for r in got if 10_000 <= r.doc_id < 20_000]
+    assert len(prose) > 0.9 * len(short) and sum(prose) >= 0.999 * len(prose)
+    assert not any(r.kept for r in got if r.doc_id >= 20_000)
+
+
+def test_bands_grow_with_their_rows(spark):
+    """A band's weight has no jump: 50 rows count a hundredth more than 49."""
+    own, target = (F.struct(*(F.lit(v).alias(e) for e in quality._EDGES)) for v in (1.0, 0.0))
+    low = [spark.range(1).select(quality._blend(own, F.lit(n), target)["low"].alias("v")).first().v for n in (0, 1, 49, 50, 51, 5000)]
+    assert low == [pytest.approx(n / (n + quality.SHRINK_ROWS)) for n in (0, 1, 49, 50, 51, 5000)]
