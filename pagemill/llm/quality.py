@@ -104,7 +104,7 @@ class BytePairs:
                 self.is_byte[rank] = True
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        return self.encoding.encode_ordinary_batch([f" {w}" for w in words], num_threads=1)
+        return [self.encoding.encode_ordinary(f" {w}") for w in words]  # its batches take a thread a word
 
 
 class Fertility:
