@@ -2,14 +2,16 @@
 
 A word is a run of letters, lower-cased, between start and end marks; the models never
 look across words.  For each order the seen n-grams of all languages form one sorted array
-of hashes with a row of discounted shares, and their contexts another with a row of
-weights, so that one search serves every language.  A document goes to the language of
-the least cross-entropy per character.
+of hashes, and their contexts another, so that one search serves every language; beside
+each hash lie the discounted shares, or weights, of those languages only that have it
+(``SparseRows``), so the model grows with what its languages hold and not with their number
+times all n-grams.  A document goes to the language of the least cross-entropy per character.
 
 Training takes at most ``per_language`` labelled rows for each language, in expectation,
 by a hash of their ids (whole texts; the bound is on rows).  Languages are the labels with
-``MIN_ROWS`` labelled rows or more, the ``MOST_LANGUAGES`` most frequent ones, so that the
-model stays bounded whatever the labels are.  N-grams are counted by Spark; what reaches
+``min_rows`` labelled rows or more, the ``most_languages`` most frequent ones (``MIN_ROWS``
+and ``MOST_LANGUAGES`` unless told otherwise), so that the fit stays bounded whatever the
+labels are.  N-grams are counted by Spark; what reaches
 the driver is the model.  A fifth of the sample is left out of the counts to
 calibrate rejection.  A document's cross-entropy is measured in deviations above the
 median of its language, where the deviation has a part between documents and a part that
@@ -63,6 +65,29 @@ def _codes(padded: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(codes.astype(np.uint64) + np.uint64(1)), np.fromiter(map(len, padded), np.int64, len(padded))
 
 
+class SparseRows:
+    """Rows with a value for some languages each, and one default for the others."""
+
+    def __init__(self, place: np.ndarray, language: np.ndarray, value: np.ndarray, rows: int, default: float) -> None:
+        order = np.lexsort((language, place))
+        self.language, self.value, self.default = language[order].astype(np.int32), value[order].astype(np.float32), default
+        self.begin = np.searchsorted(place[order], np.arange(rows + 1))
+
+    def at(self, rows: np.ndarray, languages: int) -> np.ndarray:
+        """Rows as a matrix; the one after the last holds nothing but the default."""
+        out = np.full((len(rows), languages), self.default, np.float32)
+        known = rows < len(self.begin) - 1
+        first = np.where(known, self.begin[np.where(known, rows, 0)], 0)
+        n = np.where(known, self.begin[np.where(known, rows, 0) + 1] - first, 0) if len(self.begin) > 1 else np.zeros(len(rows), np.int64)
+        flat = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out[np.repeat(np.arange(len(rows)), n), self.language[flat]] = self.value[flat]
+        return out
+
+    @property
+    def nbytes(self) -> int:
+        return self.language.nbytes + self.value.nbytes + self.begin.nbytes
+
+
 class Model:
     """Sorted hash arrays of one interpolated Kneser-Ney model for each language."""
 
@@ -70,7 +95,7 @@ class Model:
         self.languages, self.order = sorted(counts), order
         grams = [{g: c for g, c in counts[x].items()} for x in self.languages]
         self.vocabulary = len({g[-1] for own in grams for g in own}) + 1
-        self.levels: list[tuple] = []
+        self.sparse: list[tuple] = []
         per_order: list[list[dict[str, int]]] = [grams]
         for _ in range(order - 1):
             lower = []
@@ -81,11 +106,21 @@ class Model:
                 lower.append(types)
             per_order.append(lower)
         for n, level in enumerate(reversed(per_order), 1):
-            self.levels.append(self._level(n, level))
+            self.sparse.append(self._level(n, level))
         self.mean = np.zeros(len(self.languages))
         self.between, self.within = np.full(len(self.languages), 0.05), np.full(len(self.languages), 4.0)
         self.limit = np.full(len(self.languages), REJECT_Z)
 
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for level in self.sparse for x in level)
+
+    @property
+    def levels(self) -> list[tuple]:
+        """The same with whole matrices, to look at."""
+        whole = lambda x: x.at(np.arange(len(x.begin)), len(self.languages))
+        return [(grams, whole(share), contexts, whole(weight)) for grams, share, contexts, weight in self.sparse]
+
     def z(self, entropy: np.ndarray, size: np.ndarray, language) -> np.ndarray:
         """How many deviations above its language's mean a document's cross-entropy lies."""
         return (entropy - self.mean[language]) / np.sqrt(self.between[language] ** 2 + self.within[language] / np.maximum(size, 1))
@@ -99,22 +134,27 @@ class Model:
         names = sorted(set().union(*level))
         contexts = sorted({g[:-1] for g in names})
         gram_at, context_at = {g: i for i, g in enumerate(names)}, {h: i for i, h in enumerate(contexts)}
-        share, weight = np.zeros((len(names) + 1, len(level)), np.float32), np.ones((len(contexts) + 1, len(level)), np.float32)
+        shares, weights = [], []
         for k, own in enumerate(level):
             if not own:
                 continue
             ones, twos = sum(c == 1 for c in own.values()), sum(c == 2 for c in own.values())
             discount = ones / (ones + 2 * twos) if ones and twos else 0.75
-            total, types = np.zeros(len(contexts)), np.zeros(len(contexts))
             row, place, value = np.array([context_at[g[:-1]] for g in own]), np.array([gram_at[g] for g in own]), np.array(list(own.values()), float)
-            np.add.at(total, row, value)
-            np.add.at(types, row, 1)
-            share[place, k] = np.maximum(value - discount, 0) / total[row]
-            seen = total > 0
-            weight[:-1, k][seen] = discount * types[seen] / total[seen]
+            seen, of, types = np.unique(row, return_inverse=True, return_counts=True)
+            total = np.bincount(of.reshape(-1), value)
+            shares.append((place, np.full(len(place), k), np.maximum(value - discount, 0) / total[of.reshape(-1)]))
+            weights.append((seen, np.full(len(seen), k), discount * types / total))
         gram_hash, context_hash = self._hash(names, n), self._hash(contexts, n - 1)
         a, b = np.argsort(gram_hash), np.argsort(context_hash)
-        return gram_hash[a], np.vstack([share[:-1][a], share[-1:]]), context_hash[b], np.vstack([weight[:-1][b], weight[-1:]])
+
+        def rows(parts: list, order: np.ndarray, default: float) -> SparseRows:
+            to = np.empty(len(order), np.int64)
+            to[order] = np.arange(len(order))
+            place, language, value = (np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, np.int64) for x in range(3))
+            return SparseRows(to[place] if len(place) else place, language, value, len(order), default)
+
+        return gram_hash[a], rows(shares, a, 0.0), context_hash[b], rows(weights, b, 1.0)
 
     @staticmethod
     def _find(sorted_hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -131,9 +171,9 @@ class Model:
         at = np.repeat(np.cumsum(sizes) - sizes + pad - begins, n) + np.arange(n.sum())
         runs = RunHashes(codes)
         p = np.full((len(at), len(self.languages)), 1 / self.vocabulary)
-        for k, (gram_hash, share, context_hash, weight) in enumerate(self.levels, 1):
+        for k, (gram_hash, share, context_hash, weight) in enumerate(self.sparse, 1):
             context = self._find(context_hash, runs.at(at - k + 1, at)) if k > 1 else np.zeros(len(at), np.int64)
-            p = share[self._find(gram_hash, runs.at(at - k + 1, at + 1))] + weight[context] * p
+            p = share.at(self._find(gram_hash, runs.at(at - k + 1, at + 1)), len(self.languages)) + weight.at(context, len(self.languages)) * p
         loss = -np.log(p)
         return np.add.reduceat(loss, begins), np.add.reduceat(loss * loss, begins), n
 
@@ -193,19 +233,23 @@ def _grams(order: int):
     return count
 
 
-def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = PER_LANGUAGE, order: int = ORDER) -> Model | None:
-    """Fits on the rows of ``labelled`` with text, language and id; None if no language has enough of them."""
+def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = PER_LANGUAGE, order: int = ORDER, min_rows: int = MIN_ROWS, most_languages: int = MOST_LANGUAGES) -> Model | None:
+    """Fits on the rows of ``labelled`` with text, language and id; None if no language has enough of them.
+
+    The sample holds ``per_language`` rows of each of at most ``most_languages`` labels, those
+    with the most rows, of at least ``min_rows``.
+    """
     spark = labelled.sparkSession
     scratch = Scratch(spark, "language")
     named = labelled.where(F.col(lang_column).isNotNull() & F.col(id_column).isNotNull())
     # counts do not read the texts: rows without one only lower the rate
-    counts = named.groupBy(F.col(lang_column).alias("lang")).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS)
-    rates = scratch.table(counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), per_language / F.col("n")).alias("_rate")))
+    counts = named.groupBy(F.col(lang_column).alias("lang")).agg(F.count("*").alias("n")).where(F.col("n") >= min_rows)
+    rates = scratch.table(counts.orderBy(F.desc("n"), "lang").limit(most_languages).select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), per_language / F.col("n")).alias("_rate")))
     if rates.isEmpty():
         return None
     draw = F.pmod(F.xxhash64(id_column, F.lit("train")), F.lit(1 << 20)) / F.lit(1 << 20)
     spare = F.pmod(F.xxhash64(id_column, F.lit("calibrate")), F.lit(5)) == 0
-    # at most MOST_LANGUAGES rows are broadcast
+    # at most most_languages rows are broadcast
     drawn = named.where(F.col(text_column).isNotNull()).join(F.broadcast(rates), F.col(lang_column) == F.col("_lang")).where(draw < F.col("_rate"))
     sample = drawn.select(F.col("_lang").alias("lang"), F.col(text_column).alias("text"), spare.alias("spare"))
     sample = scratch.table(sample)
@@ -279,11 +323,11 @@ def identify(documents: DataFrame, model: Model | None, text_column: str = "text
     return documents.mapInArrow(predict, T.StructType([*documents.schema.fields, *(T.StructField(*x) for x in added)]))
 
 
-def fit_and_identify(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """Learns from the folds that are not held out, predicts every row; adds held_out too."""
+def fit_and_identify(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", **bounds: int) -> DataFrame:
+    """Learns from the folds that are not held out, predicts every row; adds held_out too.  ``bounds`` are those of ``train``."""
     documents = documents.drop("held_out")
     learn = documents.where(fold(id_column) != 0)
-    out = identify(documents, train(learn, id_column, text_column, lang_column), text_column)
+    out = identify(documents, train(learn, id_column, text_column, lang_column, **bounds), text_column)
     return out.withColumn("held_out", F.coalesce(fold(id_column) == 0, F.lit(False)))
 
 

@@ -490,3 +490,29 @@ def test_bands_grow_with_their_rows(spark):
     own, target = (F.struct(*(F.lit(v).alias(e) for e in quality._EDGES)) for v in (1.0, 0.0))
     low = [spark.range(1).select(quality._blend(own, F.lit(n), target)["low"].alias("v")).first().v for n in (0, 1, 49, 50, 51, 5000)]
     assert low == [pytest.approx(n / (n + quality.SHRINK_ROWS)) for n in (0, 1, 49, 50, 51, 5000)]
+
+
+def test_a_model_grows_with_what_its_languages_hold():
+    """64 languages of unlike words take about what they take one by one, and score alike."""
+    rng = np.random.default_rng(1)
+    counts = {}
+    for k in range(64):
+        letters = [chr(0x1000 + 40 * k + i) for i in range(25)]
+        own = counts.setdefault(f"l{k:02d}", Counter())
+        for _ in range(60):
+            t = "\x02" * 3 + "".join(rng.choice(letters, 6)) + "\x03"
+            own.update(t[i : i + 4] for i in range(len(t) - 3))
+    model = language.Model(counts)
+    alone = sum(language.Model({k: v}).nbytes for k, v in counts.items())
+    dense = sum(4 * 64 * (len(share) + len(weight)) for _, share, _, weight in model.levels)
+    assert model.nbytes < 1.2 * alone and model.nbytes < dense / 8
+    losses, _, n = model.score(["".join(chr(0x1000 + 40 * k + i) for i in range(5)) for k in (0, 7, 63)])
+    assert losses.argmin(axis=1).tolist() == [0, 7, 63] and n.tolist() == [6, 6, 6]
+
+
+def test_bounds_of_the_fit_are_parameters(spark):
+    rare = spark.createDataFrame([(900 + i, "drei kleine worte", "zz") for i in range(4)], "doc_id long, text string, lang string")
+    frame = labelled(spark).select("doc_id", "text", "lang").unionByName(rare)
+    assert language.train(frame).languages == ["de", "en"]
+    assert language.train(frame, min_rows=1).languages == ["de", "en", "zz"]
+    assert len(language.train(frame, most_languages=1).languages) == 1
