@@ -177,7 +177,11 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, query_key: str = "qa_id
 
 
 def retrieve(questions: DataFrame, index: DataFrame, encoder: Encoder, k: int) -> DataFrame:
-    """One run for each question and strategy of the index, with its ranked results."""
+    """One run for each question and strategy of the index, with its ranked results.
+
+    Questions without an id are left out, a null text counts as empty; question ids, and the
+    chunk ids of a strategy, are taken to be unique, as the stages make them.
+    """
     asked = questions.select(F.col("id").alias("qa_id"), "question", F.col("type").alias("qa_type")).where("qa_id is not null")
     vectors = asked.select("qa_id", encoder(F.coalesce("question", F.lit(""))).alias("vector"))
     ranked = top_k(vectors, index.select(F.col("id").alias("chunk_id"), "strategy", "vector"), k, group="strategy")
