@@ -516,3 +516,16 @@ def test_bounds_of_the_fit_are_parameters(spark):
     assert language.train(frame).languages == ["de", "en"]
     assert language.train(frame, min_rows=1).languages == ["de", "en", "zz"]
     assert len(language.train(frame, most_languages=1).languages) == 1
+
+
+def test_very_long_texts_are_scanned_whole(spark):
+    """Two megabytes with a licence in the middle, and as one word."""
+    rng = np.random.default_rng(6)
+    prose = " ".join(rng.choice([f"word{i}" for i in range(5000)], 130_000))
+    rows = [(1, f"{prose} {licenses.TEMPLATES['ISC']} {prose}"), (2, "x" * 2_000_000), (3, licenses.TEMPLATES["Zlib"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = {r.doc_id: [(m.name, m.begin, m.end - m.begin) for m in r.licenses] for r in licenses.scan(frame).collect()}
+    assert [name for name, *_ in got[1]] == ["ISC"] and abs(got[1][0][1] - 130_000) < 5
+    assert got[2] == [] and got[3][0][0] == "Zlib"
+    judged = {r.doc_id: r for r in quality.judge(frame).collect()}
+    assert judged[1].n_words > 260_000 and judged[1].token_entropy > 3 and judged[2].n_words == 1 and judged[2].base_failed
