@@ -76,13 +76,11 @@ def text_spans(text: str, encoder: TextEncoder, width: int, step: int, least: in
 
 def semantic(records: DataFrame, *, encoder: TextEncoder, model_name: str, min_chars: int = 450, target_chars: int = 900, max_chars: int = 1200, context_window_words: int = 45, boundary_step_words: int = 3) -> DataFrame:
     if not model_name:
-        raise ValueError("semantic chunking needs the name of its embedding model")
-    if min(min_chars, target_chars, max_chars) <= 0:
-        raise ValueError("min_chars, target_chars and max_chars must be positive")
-    if not min_chars <= target_chars <= max_chars:
-        raise ValueError("expected min_chars <= target_chars <= max_chars")
-    if context_window_words <= 0 or boundary_step_words <= 0:
-        raise ValueError("context_window_words and boundary_step_words must be positive")
+        raise ValueError("chunks of a semantic cut carry their model's name")
+    if not 0 < min_chars <= target_chars <= max_chars:
+        raise ValueError(f"bounds of a chunk have to rise from above 0, not {min_chars}, {target_chars}, {max_chars}")
+    if min(context_window_words, boundary_step_words) < 1:
+        raise ValueError("contexts and steps have one word at least")
     text = strip(F.coalesce("raw_text", F.lit("")))
     part = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
 

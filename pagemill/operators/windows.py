@@ -14,11 +14,11 @@ def window_spans(text: Column, size: int, overlap: int = 0) -> Column:
     Starts are multiples of size - overlap; the last window is the first that reaches the end.
     """
     if size <= 0:
-        raise ValueError("chunk_size must be positive")
+        raise ValueError("a window holds one character at least")
     if overlap < 0:
-        raise ValueError("overlap must be non-negative")
+        raise ValueError("windows cannot overlap by less than nothing")
     if overlap >= size:
-        raise ValueError("overlap must be smaller than chunk_size")
+        raise ValueError("an overlap of the whole window leaves no step to the next")
     step, n = size - overlap, F.length(text)
     last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
     spans = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i + 1).alias("chunk_index"), (i * step).alias("char_start"), F.least(i * step + size, n).alias("char_end")))
