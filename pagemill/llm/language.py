@@ -66,15 +66,27 @@ def _codes(padded: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SparseRows:
-    """Rows with a value for some languages each, and one default for the others."""
+    """Rows with a value for some languages each, and one default for the others.
 
-    def __init__(self, place: np.ndarray, language: np.ndarray, value: np.ndarray, rows: int, default: float) -> None:
+    Where a matrix has at most ``FILL`` cells for each value, it is one: as few languages
+    share most of their n-grams, that costs little memory and saves looking values up.
+    """
+
+    FILL = 5
+
+    def __init__(self, place: np.ndarray, language: np.ndarray, value: np.ndarray, rows: int, default: float, languages: int) -> None:
         order = np.lexsort((language, place))
         self.language, self.value, self.default = language[order].astype(np.int32), value[order].astype(np.float32), default
         self.begin = np.searchsorted(place[order], np.arange(rows + 1))
+        self.matrix = None
+        if rows * languages <= self.FILL * len(value):
+            self.matrix = self.at(np.arange(rows + 1), languages)
+            self.language, self.value = self.language[:0], self.value[:0]
 
     def at(self, rows: np.ndarray, languages: int) -> np.ndarray:
         """Rows as a matrix; the one after the last holds nothing but the default."""
+        if self.matrix is not None:
+            return self.matrix[rows]
         out = np.full((len(rows), languages), self.default, np.float32)
         known = rows < len(self.begin) - 1
         first = np.where(known, self.begin[np.where(known, rows, 0)], 0)
@@ -85,7 +97,7 @@ class SparseRows:
 
     @property
     def nbytes(self) -> int:
-        return self.language.nbytes + self.value.nbytes + self.begin.nbytes
+        return self.language.nbytes + self.value.nbytes + self.begin.nbytes + (0 if self.matrix is None else self.matrix.nbytes)
 
 
 class Model:
@@ -152,7 +164,7 @@ class Model:
             to = np.empty(len(order), np.int64)
             to[order] = np.arange(len(order))
             place, language, value = (np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, np.int64) for x in range(3))
-            return SparseRows(to[place] if len(place) else place, language, value, len(order), default)
+            return SparseRows(to[place] if len(place) else place, language, value, len(order), default, len(self.languages))
 
         return gram_hash[a], rows(shares, a, 0.0), context_hash[b], rows(weights, b, 1.0)
 
