@@ -1,6 +1,10 @@
 """Windows, semantic cuts and pilots."""
 
+import re
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -141,3 +145,23 @@ def test_semantic_needs_no_shuffle_and_takes_long_texts(spark):
     for own in ("0", "1"):
         spans = [r[2:] for r in rows if r[0] == own]
         assert spans[0][0] == 0 and spans[-1][1] == 150_000 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \n\t\x0b\x1c\x1f\x85\xa0\u180e\u200b\u2003\u2028\u3000😀é")), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_word_spans_are_the_runs_of_non_space(texts):
+    got = semantic.word_spans.func(pa.array(texts, pa.string())).to_pylist()
+    assert got == [[{"s": m.start(), "e": m.end()} for m in re.finditer(r"\S+", t or "")] for t in texts]
+
+
+def test_word_spans_of_a_batch_take_few_bytes_a_word(spark):
+    """A row of Python objects for each word took 400 bytes a word, of every text of a batch at once."""
+    texts = ["ab " * 200] * 1000
+    tracemalloc.start()
+    try:
+        assert len(semantic.word_spans.func(pa.array(texts)).flatten()) == 200_000
+        assert tracemalloc.get_traced_memory()[1] < 30 * 200_000
+    finally:
+        tracemalloc.stop()
+    rows = spark.createDataFrame([(t,) for t in ("a  bc", "", None)], "t string").select(semantic.word_spans("t").alias("w")).collect()
+    assert [r.w for r in rows] == [[(0, 1), (3, 5)], [], []]
