@@ -6,11 +6,15 @@ alike.  Texts keep null unless a rule says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns of the documents' printed layout.
 SPACE = r"[\s\x1c-\x1f]"
+#: The characters of ``SPACE`` under (?U).
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 ACTION_LABEL = r"^[A-Z]\.\d+(?:\.\d+)?$"
 CONNECTOR = r"^(?:AND|OR)$"
 CONDITION_LABEL = r"^[A-Z]\.$"
@@ -24,8 +28,13 @@ _NOTE_HEAD = rf"-{{3,}}{SPACE}*NOTES?{SPACE}*-{{3,}}"
 _EDITOR_NOTE = rf"(?isU)-{{3,}}{SPACE}*REVIEWER['’]S{SPACE}+NOTES?{SPACE}*-{{3,}}.*?-{{3,}}"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is found once for each row or element, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def collapse(x: Column) -> Column:

@@ -176,8 +176,12 @@ def _pages(spark, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") == 3, F.concat(F.lit("MODE "), part % 6)).alias("applicability"), F.array(band).alias("cond_bands"), both.alias("act_items"), F.concat(F.lit("part "), part).alias("raw_text"), F.col("l_linenumber").alias("page_no"), F.lit("orders").alias("source_doc"), "page_ord")
 
 
-def _blocks(pages_: DataFrame) -> DataFrame:
-    return sections.condition_blocks(sections.section_items(pages_), sections.condition_texts(pages_))
+def _sections(spark, sf_dir: str) -> DataFrame:
+    return sections.whole_sections(_pages(spark, sf_dir))
+
+
+def _blocks(spark, sf_dir: str) -> DataFrame:
+    return sections.section_blocks(_sections(spark, sf_dir))
 
 
 def section_merge(spark, sf_dir):
@@ -202,7 +206,7 @@ _CONNECTORS = f"""SELECT CAST(l_orderkey AS VARCHAR) AS lco, CAST(ord AS INTEGER
 
 
 def condition_blocks(spark, sf_dir):
-    rows = _blocks(_pages(spark, sf_dir))
+    rows = _blocks(spark, sf_dir)
     return rows.select("lco", "id", "label", "text", "optional", "compound", F.size("actions").alias("n_actions"), F.array_join("actions.label", " ").alias("labels"))
 
 
@@ -211,8 +215,7 @@ _BLOCKS = f"""SELECT CAST(l_orderkey AS VARCHAR) AS lco, CAST(row_number() OVER
 
 
 def section_outline(spark, sf_dir):
-    p = sections.by_section(_pages(spark, sf_dir))
-    return sections.actions_text(_blocks(p), sections.merge_sections(p)).select("lco", F.md5("actions_text").alias("outline"))
+    return sections.actions_text(None, _sections(spark, sf_dir)).select("lco", F.md5("actions_text").alias("outline"))
 
 
 _HEADED = f"""h AS (SELECT lco, title, lco_stmt, applicability, 'LCO ' || lco || coalesce(' ' || title, '') || '.' AS head, 'Applicability: ' || coalesce(applicability, 'None') || '.' AS app FROM ({_SECTIONS})),
@@ -222,8 +225,7 @@ b AS (SELECT lco, label AS letter, id, text FROM ({_BLOCKS}))"""
 
 
 def condition_records(spark, sf_dir):
-    p = sections.by_section(_pages(spark, sf_dir))
-    rows = sections.condition_records(sections.merge_sections(p), _blocks(p))
+    rows = sections.condition_records(_sections(spark, sf_dir))
     return rows.select("id", "metadata.chunk_type", F.array_join("metadata.evidence_ids", " ").alias("evidence"), F.md5("content.body").alias("body_md5"))
 
 
@@ -236,8 +238,7 @@ UNION ALL SELECT lco || '/LCO', 'lco_statement', lco || '/LCO', md5(head || chr(
 
 
 def action_records(spark, sf_dir):
-    p = sections.by_section(_pages(spark, sf_dir))
-    rows = sections.action_records(sections.merge_sections(p), _blocks(p))
+    rows = sections.action_records(_sections(spark, sf_dir))
     return rows.select("id", "metadata.condition_id", "metadata.action_id", "metadata.connector", "content.logic", F.md5("content.body").alias("body_md5"))
 
 
@@ -264,14 +265,12 @@ SELECT lco, md5(concat_ws(chr(10), title, lco_stmt, 'APPLICABILITY: ' || applica
 
 
 def condition_aware_chunks(spark, sf_dir):
-    p = sections.by_section(_pages(spark, sf_dir))
-    rows = structure.condition_aware(sections.condition_records(sections.merge_sections(p), _blocks(p)))
+    rows = structure.condition_aware(sections.condition_records(_sections(spark, sf_dir)))
     return rows.select("id", "strategy", "metadata.chunk_type", F.array_join("metadata.evidence_ids", " ").alias("evidence"), F.md5("content.body").alias("body_md5"))
 
 
 def action_logic_chunks(spark, sf_dir):
-    p = sections.by_section(_pages(spark, sf_dir))
-    rows = structure.action_logic(sections.action_records(sections.merge_sections(p), _blocks(p)))
+    rows = structure.action_logic(sections.action_records(_sections(spark, sf_dir)))
     return rows.select("id", "strategy", "metadata.chunk_type", F.array_join("metadata.evidence_ids", " ").alias("evidence"), F.md5("content.body").alias("body_md5"))
 
 
@@ -281,15 +280,14 @@ _ACTION_CHUNKS = f"SELECT 'action_logic::' || id AS id, 'action_logic' AS strate
 
 def label_gaps(spark, sf_dir):
     """Conditions of each order whose letters do not run A, B, C."""
-    return sections.label_gaps(_blocks(_pages(spark, sf_dir)))
+    return sections.label_gaps(_blocks(spark, sf_dir))
 
 
 _GAPS = f"SELECT lco, id, label, chr(64 + id) AS expected FROM ({_BLOCKS}) WHERE label <> chr(64 + id)"
 
 
 def hierarchical_records(spark, sf_dir):
-    p = sections.by_section(_pages(spark, sf_dir))
-    rows = sections.hierarchical_records(sections.merge_sections(p), _blocks(p))
+    rows = sections.hierarchical_records(_sections(spark, sf_dir))
     block = lambda b: F.concat_ws("|", b["gid"], b["label"], b["text"], b["optional"].cast("string"), b["compound"].cast("string"), F.array_join(b["actions"]["gid"], ","))
     return rows.select("id", "metadata.title", F.size("content.condition_blocks").alias("n_conditions"), F.md5("content.lco_statement").alias("statement"), F.md5("content.raw_text").alias("raw"), F.md5("content.actions_text").alias("outline"), F.md5(F.array_join(F.transform("content.condition_blocks", block), ";")).alias("blocks"))
 
@@ -300,8 +298,7 @@ JOIN (SELECT lco, count(*) AS n, string_agg(lco || '/' || label || '|' || label
 
 def smoke_questions(spark, sf_dir):
     """The feature is a sample of the first questions."""
-    p = sections.by_section(_pages(spark, sf_dir))
-    rows = sections.action_records(sections.merge_sections(p), _blocks(p))
+    rows = sections.action_records(_sections(spark, sf_dir))
     key = F.struct(F.col("metadata.lco").cast("long"), "metadata.condition_id", "metadata.action_id")
     return questions.smoke_questions(rows.withColumn("o", key), "o").select("id", "type", "question", F.array_join("evidence_ids", " ").alias("evidence"))
 

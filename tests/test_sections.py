@@ -188,3 +188,22 @@ def test_bands_by_merging_equal_a_range_join(spark):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     want = sorted((w.text, a, f"{a}") for w in words.collect() for a, b in at.get((w.source_doc, w.page_no), []) if w.top is not None and a <= w.top < b)
     assert sorted((r.text, r.band_top, r.name) for r in got.collect()) == want
+
+
+def test_whole_sections_equal_the_steps_with_one_shuffle_and_nothing_else(spark):
+    """Before, the records of a section took joins, windows and a sort for each of them."""
+    rng = random.Random(8)
+    one = lambda: item("connector", rng.choice(["AND", "OR", ""])) if rng.random() < 0.4 else item("action", rng.choice(["A.1", "A.2.1", "A.2.2", "B.1", "C.3", "none", "B.1.2"]), note=rng.choice([None, "", "n"]), ct=rng.choice(["", "1 hour"]), refs=rng.choice([[], ["SR 1.1.1.1"]]))
+    band = lambda: (rng.choice("ABCD"), rng.choice(["bad", "", "worse"]))
+    rows = [record(n, rng.choice([None, [one() for _ in range(rng.randrange(9))]]) if rng.random() < 0.9 else [], [band() for _ in range(rng.randrange(3))], lco=f"L{k}", stmt=rng.choice([None, "", "LCO (NOTE: m) run"]), title=rng.choice([None, "", "T"])) for k in range(60) for n in range(1, 1 + rng.randrange(1, 5))]
+    frame = spark.createDataFrame([*rows, record(1, [], lco=None), record(1, [item("connector", "OR")] * 5 + [item("action", "A.1")] + [item("connector", "OR")] * 4 + [item("action", "A.2")], lco="run")], PAGES).withColumn("page_ord", F.col("page_no"))
+    merged, blocks = sections.merge_sections(frame), sections.condition_blocks(sections.section_items(frame), sections.condition_texts(frame))
+    whole = sections.whole_sections(frame)
+    same = lambda got, want: sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert same(whole.drop("blocks"), merged)
+    assert same(sections.section_blocks(whole), blocks)
+    for records in (sections.action_records, sections.condition_records, sections.hierarchical_records):
+        got = records(whole)
+        assert same(got, records(merged, blocks))
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert not any(step in plan for step in ("Join", "Window", "Union")) and plan.count("Scan") == 1
