@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import strip, truthy
 from pagemill.functions.vectors import Encoder
+from pagemill.sources.scratch import bound_batches
 
 BLOCK, TILE = 1024, 64
 BROADCAST_BYTES = 64 << 20
@@ -136,6 +137,7 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, query_key: str = "qa_id
     taken as they are, so repeated and null ones compete like others.  Without chunks or
     with k <= 0 the result is empty.
     """
+    bound_batches(queries.sparkSession)  # a row of blocks has about a megabyte
     groups = [group] if group else []
     chunks = chunks.where(F.col(group).isNotNull()) if group else chunks
     kinds = {**dict(queries.dtypes), **dict(chunks.dtypes)}

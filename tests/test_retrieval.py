@@ -154,3 +154,17 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_top_k_bounds_batches_of_blocks_by_bytes(spark):
+    """A row holds a block of vectors; 10,000 of them in one batch, as rows alone bound it, are gigabytes of Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        rows = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(9)], "id int, vector array<double>")
+        found = retrieval.top_k(rows.where("id < 2"), rows.withColumnRenamed("id", "c"), 1, "id", "c")
+        assert spark.conf.get(name) == "4m"
+        assert [(r.id, r.c) for r in found.orderBy("id").collect()] == [(0, 0), (1, 8)]
+    finally:
+        spark.conf.unset(name) if kept is None else spark.conf.set(name, kept)
