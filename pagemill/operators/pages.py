@@ -3,152 +3,172 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import ACTION_LABEL, CONDITION_LABEL, CONNECTOR, DASH_RUN, NOTE_OPEN, TIME_START, clean_text, extract_note, is_optional, normalize_raw, references, strip, strip_bracket, strip_note, truthy
-from pagemill.operators.layout import PAGE, WORD, column_of, join_words, page_heads, page_regions, region_text
-from pagemill.sources.scratch import Scratch
+from pagemill.functions.text import ACTION_LABEL, CONNECTOR, TIME_START, clean_text, extract_note, is_optional, normalize_raw, once, references, strip, strip_bracket, strip_note, truthy
+from pagemill.operators.layout import PAGE, WORD, is_kind, join_boxes, join_words, page_heads, page_regions, whole_pages
+from pagemill.sources.scratch import Scratch, bound_batches
 
 LAYOUT = {"col1_max": 220.0, "col2_max": 410.0, "header_margin": 95.0}
 
 
-def statement_and_applicability(narrative: Column) -> tuple[Column, Column]:
-    """Both parts of a joined narrative; null where absent."""
+def statement_and_applicability(narrative: Column) -> Column:
+    """Struct (statement, applicability) of a joined narrative; null where absent."""
+    def said(split: Column) -> Column:
+        applicability = F.when(F.size(split) > 1, strip(F.regexp_replace(strip(split[1]), "^:+", "")))
+        from_id = lambda statement: once(F.regexp_extract(statement, r"(?s)(LCO\s+\d+\.\d+\.\d+\s+.*)", 1), lambda x: F.when(x != "", strip(x)).otherwise(truthy(statement)))
+        return F.struct(once(strip(split[0]), from_id).alias("statement"), applicability.alias("applicability"))
+
     text = strip(F.split(clean_text(narrative), r"\bACTIONS\b", 2)[0])
-    split = F.split(text, "(?i)APPLICABILITY", 2)
-    has = F.size(split) > 1
-    statement = F.when(has, strip(split[0])).otherwise(text)
-    applicability = F.when(has, strip(F.regexp_replace(strip(split[1]), "^:+", "")))
-    from_id = F.regexp_extract(statement, r"(?s)(LCO\s+\d+\.\d+\.\d+\s+.*)", 1)
-    return F.when(from_id != "", strip(from_id)).otherwise(truthy(statement)), applicability
+    return once(F.split(text, "(?i)APPLICABILITY", 2), said)
 
 
 def starts_completion_time(row: Column) -> Column:
     return row.rlike(TIME_START)
 
 
+def time_blocks(rows: Column) -> Column:
+    """Rows of times (strings in order) as blocks; a start opens one unless the row before is a bare AND or OR."""
+    row = lambda i: F.get(rows, i - 1)
+    starts = lambda i: (i == 1) | F.coalesce(starts_completion_time(row(i)) & ~F.upper(row(i - 1)).isin("AND", "OR"), F.lit(False))
+    begins = F.filter(F.when(F.size(rows) > 0, F.sequence(F.lit(1), F.size(rows))).otherwise(F.array().cast("array<int>")), starts)
+    cut = lambda begins: F.transform(begins, lambda b, k: F.array_join(F.slice(rows, b, F.coalesce(F.get(begins, k + 1), F.size(rows) + 1) - b), " "))
+    return once(begins, cut)
+
+
 def completion_time_blocks(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
-    """(keys, block, ct): rows joined into blocks; a start opens one unless the row before is a bare AND or OR."""
-    own = W.partitionBy(*keys).orderBy(order)
-    before = F.lag(text).over(own)
-    opens = starts_completion_time(F.col(text)) & before.isNotNull() & ~F.upper(before).isin("AND", "OR")
-    marked = rows.withColumn("_opens", opens.cast("int")).withColumn("block", F.sum("_opens").over(own) + 1)
-    joined = marked.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_rows"))
-    return joined.select(*keys, "block", clean_text(F.array_join(F.col("_rows.t"), " ")).alias("ct")).where("ct <> ''")
-
-
-def align_completion_times(actions: DataFrame, blocks: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Replaces ``ct``: one for one if counts agree, all blocks if there is one action, else what stood beside it."""
-    n = W.partitionBy(*keys)
-    numbered = actions.withColumns({"_k": F.row_number().over(n.orderBy(order)), "_n": F.count(F.lit(1)).over(n)})
-    listed = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "ct"))).alias("_b")).withColumn("_b", F.col("_b.ct"))
-    joined = numbered.join(listed, keys, "left").withColumn("_m", F.size(F.coalesce("_b", F.array())))
-    ct = F.when(F.col("_m") == F.col("_n"), F.get("_b", F.col("_k") - 1)).when((F.col("_n") == 1) & (F.col("_m") > 0), clean_text(F.array_join("_b", " "))).otherwise(F.col("ct"))
-    return joined.withColumn("ct", ct).drop("_k", "_n", "_b", "_m")
-
-
-def placed_words(words: DataFrame, regions: DataFrame) -> DataFrame:
-    """Words of narratives and tables with their bands, by windows over one shuffle by page.
-
-    ``zone`` is N or T.  In tables: ``cond_top``, the top of the condition above a word (of
-    the table, if no condition is on the page: ``anchored`` is false then; null before the
-    first one), and ``band_top``, that of the action above it.  Actions begin at labels and
-    connectors outside notes; ``[`` outside a note makes the label after it begin one too.
+    """(keys, block, ct): the ``time_blocks`` of each key's rows, numbered from 1."""
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_rows")).select(*keys, F.col("_rows.t").alias("_rows"))
+    joined = listed.select(*keys, F.posexplode(time_blocks(F.col("_rows"))).alias("block", "ct"))
+    return joined.select(*keys, (F.col("block") + 1).alias("block"), clean_text(F.col("ct")).alias("ct")).where("ct <> ''")
+
+
+#: Columns of a placed word: the narrative, and the three of a table.
+_NARRATIVE, _COND, _ACT, _TIME = range(4)
+_NO_SPANS = "array<struct<open:double,close:double>>"
+
+
+def placed_words(pages: DataFrame) -> DataFrame:
+    """Pages with regions: their words of narratives and tables with column and line, and the bands they fall into.
+
+    ``conds`` are (a, z), the conditions' bands of the table, or one band of the whole table
+    if no condition is on the page (``anchored`` is false then); what is above the first one
+    is in none.  ``acts`` are (a, b, z), the actions' bands in them.  Actions begin at labels
+    and connectors outside notes; ``[`` outside a note makes the label after it begin one too.
     """
-    zone = F.when(F.expr("top >= narr_top and top < narr_bottom"), "N").when(F.expr("top >= tbl_top and top < tbl_bottom"), "T")
-    w = words.drop("page_height").join(regions, PAGE).withColumn("zone", zone).where("zone is not null").repartition(*PAGE)
-    w = w.withColumns({"col": column_of(F.col("x0"), F.col("col1_max"), F.col("col2_max")), "line": F.bround("top")})
-    table, text, top = F.col("zone") == "T", F.col("text"), F.col("top")
-    upto = lambda *keys: W.partitionBy(*PAGE, "zone", *keys).orderBy("top").rangeBetween(W.unboundedPreceding, W.currentRow)
-    anchor = F.when(table & (F.col("col") == "COND") & text.rlike(CONDITION_LABEL), top)
-    w = w.withColumns({"cond_top": F.max(anchor).over(upto()), "anchored": F.max(anchor).over(W.partitionBy(*PAGE, "zone")).isNotNull()})
-    w = w.withColumn("cond_top", F.when(F.col("anchored"), F.col("cond_top")).when(table, F.col("tbl_top")))
-    # notes: islands that end with a dash run
-    read = W.partitionBy(*PAGE, "zone", "col").orderBy("top", "line", "x0", "word_ord").rowsBetween(W.unboundedPreceding, -1)
-    w = w.withColumn("island", F.coalesce(F.sum(text.rlike(DASH_RUN).cast("int")).over(read), F.lit(0)))
-    island = W.partitionBy(*PAGE, "zone", "col", "island")
-    opens, closes = F.min(F.when(text.rlike(NOTE_OPEN), top)).over(island), F.max(F.when(text.rlike(DASH_RUN), top)).over(island)
-    w = w.withColumn("outside", ~F.coalesce((top > opens) & (top < closes), F.lit(False)))
-    label, along = text.rlike(ACTION_LABEL), W.partitionBy(*PAGE, "zone", "col", "cond_top").orderBy("line", "x0", "word_ord")
-    bracketed = label & (F.lag("text").over(along) == "[") & F.lag("outside").over(along)
-    begins = (F.col("col") == "ACT") & (((label | text.rlike(CONNECTOR)) & F.col("outside")) | F.coalesce(bracketed, F.lit(False)))
-    w = w.withColumn("begins", F.when(table & begins, top))
-    return w.withColumn("band_top", F.max("begins").over(upto("cond_top")))
+    within = lambda w, r, part: (w["top"] >= r[f"{part}_top"]) & (w["top"] < r[f"{part}_bottom"])
+    column = lambda w: F.when(w["x0"] < F.col("col1_max"), _COND).when(w["x0"] < F.col("col2_max"), _ACT).otherwise(_TIME)
+    zone = lambda w, r: F.when(within(w, r, "narr"), _NARRATIVE).when(within(w, r, "tbl"), column(w))
+    placed = once(F.col("region"), lambda r: F.transform("words", lambda w: F.struct(*(w[c].alias(c) for c in (*WORD, "kind")), F.bround(w["top"]).alias("line"), zone(w, r).alias("col"))))
+    out = pages.withColumn("words", placed).withColumn("words", F.filter("words", lambda w: w["col"].isNotNull()))
+    of = lambda col, *kinds: F.filter("words", lambda w: (w["col"] == col) & is_kind(w, *kinds))
+    place = lambda w: F.struct(w["line"], w["x0"], w["word_ord"])
+    # notes: each ends with a dash run and opens at the first opening since the one before
+    marks = F.array_sort(F.transform(of(_ACT, "note", "dashes"), lambda w: F.struct(*(w[c].alias(c) for c in ("top", "line", "x0", "word_ord", "kind")))))
+    span = lambda s, m: F.struct(s["open"].alias("open"), m["top"].alias("close"))
+    read = lambda s, m: F.struct(
+        F.when(~is_kind(m, "dashes"), F.coalesce(s["open"], m["top"])).alias("open"),
+        F.when(is_kind(m, "dashes") & s["open"].isNotNull(), F.array_append(s["spans"], span(s, m))).otherwise(s["spans"]).alias("spans"))
+    none = F.struct(F.lit(None).cast("double").alias("open"), F.array().cast(_NO_SPANS).alias("spans"))
+    notes = F.aggregate(marks, none, read, lambda s: s["spans"])
+    out = out.withColumn("anchors", F.array_sort(F.array_distinct(F.transform(of(_COND, "condition"), lambda w: w["top"])))).withColumn("anchored", F.size("anchors") > 0)
+    after = lambda x, k, z: F.coalesce(F.get(x, k + 1), z)
+    bands = lambda tops: F.transform(tops, lambda a, k: F.struct(a.alias("a"), after(tops, k, F.lit(float("inf"))).alias("z")))
+    out = out.withColumn("conds", once(F.when(F.col("anchored"), F.col("anchors")).otherwise(F.array_compact(F.array("region.tbl_top"))), bands))
+    held = lambda top, c: (top >= c["a"]) & (top < c["z"])
+    inside = lambda w, notes: F.exists(notes, lambda s: (w["top"] > s["open"]) & (w["top"] < s["close"]))
+    beside = lambda w, conds: once(F.filter(conds, lambda c: held(w["top"], c)), lambda own: F.filter("words", lambda v: (v["col"] == _ACT) & (place(v) < place(w)) & F.exists(own, lambda c: held(v["top"], c))))
+    before = lambda w, conds: F.array_max(F.transform(beside(w, conds), lambda v: F.struct(*(v[c].alias(c) for c in ("line", "x0", "word_ord", "kind", "top")))))
+    bracketed = lambda w, notes, conds: F.exists(F.array(before(w, conds)), lambda v: is_kind(v, "bracket") & ~inside(v, notes))
+    begins = lambda notes, conds: F.filter(of(_ACT, "action", "connector"), lambda w: F.when(~inside(w, notes), True).when(is_kind(w, "action"), bracketed(w, notes, conds)).otherwise(False))
+    tops = lambda notes, conds: F.array_sort(F.array_distinct(F.transform(begins(notes, conds), lambda w: w["top"])))
+    steps = lambda own, c: F.transform(own, lambda b, k: F.struct(c["a"].alias("a"), b.alias("b"), after(own, k, c["z"]).alias("z")))
+    cut = lambda tops, conds: F.flatten(F.transform(conds, lambda c: once(F.filter(tops, lambda b: held(b, c)), lambda own: steps(own, c))))
+    return out.withColumn("acts", once(notes, lambda notes: once(F.col("conds"), lambda conds: once(tops(notes, conds), lambda tops: cut(tops, conds)))))
 
 
 def placed_texts(placed: DataFrame) -> DataFrame:
-    """(page, kind, a, b, col, anchored, joined, first): every region of the pages, in one aggregate.
+    """Pages with ``texts``, a struct for each box on them: kind, a, b, col, joined, first, lines.
 
-    narr: the narrative; line: one of its lines, a; piece: a column of the band a; act and
-    ct: actions and times of the action b in the band a; row: the line b of times there.
-    ``first`` is the first word of an act that is more than a bracket.
+    narr: the narrative; line: one of its lines, at a, that may open the statement; piece: a
+    column of the band a; act and ct: actions and times of the action b in the band a.
+    ``lines`` are the lines of a column of times, ``first`` is the first word of an act that
+    is more than a bracket.
     """
-    key = lambda when, kind, a=None, b=None, c=None: F.when(when, F.struct(F.lit(kind).alias("kind"), *((F.lit(None) if x is None else F.col(x)).cast(t).alias(n) for x, t, n in ((a, "double", "a"), (b, "double", "b"), (c, "string", "c")))))
-    banded = F.expr("zone = 'T' and cond_top is not null")
-    of = lambda col: banded & (F.col("col") == col)
-    keys = F.array_compact(F.array(
-        key(F.col("zone") == "N", "narr"), key(F.col("zone") == "N", "line", "line"), key(banded, "piece", "cond_top", None, "col"),
-        key(of("ACT") & F.col("band_top").isNotNull(), "act", "cond_top", "band_top"), key(of("TIME") & F.col("band_top").isNotNull(), "ct", "cond_top", "band_top"), key(of("TIME") & F.col("anchored"), "row", "cond_top", "line"),
-    ))
-    each = placed.select(*PAGE, "anchored", "line", *(c for c in WORD if c != "text"), "text", strip_bracket(F.col("text")).alias("bare"), F.explode(keys).alias("key"))
-    first = F.min_by("bare", F.when((F.col("kind") == "act") & (F.col("bare") != ""), F.struct("line", "x0", "word_ord")))
-    grouped = each.select("*", "key.*").groupBy(*PAGE, "kind", "a", "b", "c", "anchored").agg(F.collect_list(F.struct(*WORD)).alias("words"), first.alias("first"))
-    return grouped.select(*PAGE, "kind", "a", "b", "c", "anchored", "first", join_words("words").alias("joined"))
+    far = float("inf")
+
+    def box(kind: str, col: int, a=None, b=None, lo=None, hi=None, line=None) -> Column:
+        number = lambda x, default: F.lit(default).cast("double") if x is None else x.cast("double")
+        return F.struct(
+            F.lit(kind).alias("kind"), number(a, None).alias("a"), number(b, None).alias("b"), number(lo, -far).alias("lo"), number(hi, far).alias("hi"), number(line, None).alias("line"),
+            F.lit(col).alias("col"), F.lit(col == _TIME and kind == "piece").alias("lines"), F.lit(kind == "act").alias("first"))
+
+    opening = F.array_distinct(F.transform(F.filter("words", lambda w: (w["col"] == _NARRATIVE) & is_kind(w, "statement")), lambda w: w["line"]))
+    pieces = F.flatten(F.transform("conds", lambda c: F.array(*(box("piece", col, a=c["a"], lo=c["a"], hi=c["z"]) for col in (_COND, _ACT, _TIME)))))
+    steps = lambda kind, col: F.transform("acts", lambda c: box(kind, col, a=c["a"], b=c["b"], lo=c["b"], hi=c["z"]))
+    boxes = F.concat(F.array(box("narr", _NARRATIVE)), F.transform(opening, lambda x: box("line", _NARRATIVE, a=x, line=x)), pieces, steps("act", _ACT), steps("ct", _TIME))
+    read = placed.withColumn("boxes", boxes).withColumn("found", join_boxes("words", F.transform("boxes", lambda b: F.struct(*(b[c].alias(c) for c in ("lo", "hi", "line", "col", "lines", "first"))))))
+    both = F.zip_with("boxes", "found", lambda b, t: F.struct(*(b[c].alias(c) for c in ("kind", "a", "b", "col")), *(t[c].alias(c) for c in ("joined", "first", "lines"))))
+    return read.withColumn("texts", both).drop("boxes", "found")
+
+
+def band_items(band: Column, steps: Column, rows: Column) -> Column:
+    """The actions and connectors of the band in order; rows are its times, if they stand in lines of their own.
+
+    An action's time is its block of rows if there are as many of them, all blocks if it is
+    the only action, else what stood beside it.
+    """
+    none = F.lit(None).cast("string")
+    own = F.filter(steps, lambda s: s["a"] == band)
+    cleaned = F.filter(F.transform(rows, clean_text), lambda r: r != "")
+    blocks = F.filter(F.transform(once(cleaned, time_blocks), clean_text), lambda b: b != "")
+
+    def action(s: Column, k: Column, n: Column, blocks: Column) -> Column:
+        ct = F.when(F.size(blocks) == n, F.get(blocks, k)).when((n == 1) & (F.size(blocks) > 0), clean_text(F.array_join(blocks, " "))).otherwise(clean_text(F.coalesce(s["ct"], F.lit(""))))
+        cleaned = lambda cleaned: once(F.regexp_replace(cleaned, r"^[A-Z]\.\d+(?:\.\d+)?\s*", ""), lambda body: F.struct(
+            s["b"].alias("b"), F.lit("action").alias("type"), s["first"].alias("label"), extract_note(body).alias("note"), strip_note(body).alias("text"), ct.alias("ct"), is_optional(s["act"]).alias("optional"), references(cleaned).alias("refs")))
+        return once(clean_text(s["act"]), cleaned)
+
+    connector = lambda s: F.struct(s["b"].alias("b"), F.lit("connector").alias("type"), none.alias("label"), none.alias("note"), s["first"].alias("text"), none.alias("ct"), F.lit(None).cast("boolean").alias("optional"), F.array().cast("array<string>").alias("refs"))
+    actions = lambda own: F.filter(own, lambda s: s["first"].rlike(ACTION_LABEL))
+    connectors = lambda own: F.transform(F.filter(own, lambda s: s["first"].rlike(CONNECTOR)), connector)
+    listed = lambda own: once(blocks, lambda blocks: once(actions(own), lambda found: F.array_sort(F.concat(F.transform(found, lambda s, k: action(s, k, F.size(found), blocks)), connectors(own)))))
+    return once(own, listed)
 
 
 def parse_pages(words: DataFrame, layout: dict = LAYOUT, overrides: DataFrame | None = None) -> DataFrame:
     """One page record for each page with words.
 
-    Words are written once, as several steps read them; headings and regions are narrow
-    tables by page; bands come from windows over one shuffle of the words, and all texts of
-    a page from one aggregate after it.  Words without a page number or a place are left out.
+    One shuffle gathers a page's words in its row; regions, bands and boxes are expressions
+    over that row, the texts of all its boxes are read together and written once, and no step
+    after it shuffles or sorts words again.  Words without a page number or a place are left out.
     """
-    scratch = Scratch(words.sparkSession, "pages")
-    words = words.where("page_no is not null and top is not null and bottom is not null and x0 is not null and x1 is not null")
-    words = scratch.table(words.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("source_doc", F.coalesce("source_doc", F.lit(""))))
-    heads = scratch.table(page_heads(words, layout, overrides))
-    regions = scratch.table(page_regions(words, heads))
-    texts = scratch.table(placed_texts(placed_words(words, regions)))
-    joined = F.col("joined")
-
-    cleaned, is_piece = clean_text(joined), F.col("kind") == "piece"
-    condition = F.when(is_piece & (F.col("c") == "COND") & F.col("anchored") & joined.rlike(r"^[A-Z]\."), F.struct(
-        F.col("a").alias("cond_top"), F.substring("joined", 1, 1).alias("letter"), F.regexp_replace(cleaned, r"^[A-Z]\.\s*", "").alias("text"),
-        is_optional(joined).alias("optional"), cleaned.rlike(r"\bAND\b|\bOR\b").alias("compound")))
-    piece = F.struct(F.col("a").alias("at"), F.array_position(F.array(*map(F.lit, ("COND", "ACT", "TIME"))), F.col("c")).cast("int").alias("c"), normalize_raw(joined).alias("piece"))
-    whole = texts.where("kind in ('narr', 'line', 'piece')").groupBy(*PAGE).agg(
-        F.max(F.when(F.col("kind") == "narr", joined)).alias("narrative"), F.min(F.when(F.col("kind") == "line", F.col("a"))).alias("first_line"),
-        F.min(F.when((F.col("kind") == "line") & joined.rlike(r"^LCO\s+\d+\.\d+\.\d+\b"), F.col("a"))).alias("opening"),
-        F.array_sort(F.collect_list(condition)).alias("conditions"), F.array_sort(F.collect_list(F.when(is_piece, piece))).alias("pieces"))
-    whole = scratch.table(whole)
+    bound_batches(words.sparkSession)  # a row holds a page
+    words = words.where("page_no is not null and top is not null and not isnan(top) and bottom is not null and x0 is not null and x1 is not null")
+    words = words.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("source_doc", F.coalesce("source_doc", F.lit("")))
+    texts = placed_texts(placed_words(page_regions(page_heads(whole_pages(words), layout, overrides))))
+    of = lambda *kinds: F.filter("texts", lambda t: t["kind"].isin(*kinds))
     # what stands before the statement is left out of the plain text
-    later = whole.where("opening > first_line").select(*PAGE, "opening")
-    trimmed = words.join(regions, PAGE).where("top >= narr_top and top < narr_bottom").join(later, PAGE).where(F.bround("top") >= F.col("opening"))
-    whole = whole.join(region_text(trimmed).withColumnRenamed("joined", "trimmed"), PAGE, "left")
-    statement, applicability = statement_and_applicability(F.col("narrative"))
-    plain = F.concat(F.array(F.coalesce(normalize_raw(F.coalesce("trimmed", "narrative")), F.lit(""))), F.col("pieces.piece"))
-    bands = F.transform("conditions", lambda b: F.struct(b["letter"].alias("letter"), b["text"].alias("text"), b["optional"].alias("optional"), b["compound"].alias("compound")))
-    whole = whole.select(*PAGE, statement.alias("lco_stmt"), applicability.alias("applicability"), bands.alias("cond_bands"), truthy(normalize_raw(F.array_join(F.filter(plain, lambda p: p != ""), " "))).alias("raw_text"))
-
-    at = [*PAGE, "cond_top", "band_top"]
-    steps = texts.where("kind in ('act', 'ct')").withColumnsRenamed({"a": "cond_top", "b": "band_top"}).groupBy(*at).agg(
-        F.max(F.when(F.col("kind") == "act", joined)).alias("raw_act"), F.max(F.when(F.col("kind") == "ct", joined)).alias("raw_ct"), F.max("first").alias("first"))
-    items = steps.where("first is not null")
-    cleaned = clean_text(F.col("raw_act"))
-    body = F.regexp_replace(cleaned, r"^[A-Z]\.\d+(?:\.\d+)?\s*", "")
-    connectors = items.where(F.col("first").rlike(CONNECTOR)).select(*at, F.lit("connector").alias("type"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("note"), F.col("first").alias("text"), F.lit(None).cast("string").alias("ct"), F.lit(None).cast("boolean").alias("optional"), F.array().cast("array<string>").alias("refs"))
-    actions = items.where(F.col("first").rlike(ACTION_LABEL)).select(
-        *at, F.lit("action").alias("type"), F.col("first").alias("label"), extract_note(body).alias("note"), strip_note(body).alias("text"),
-        clean_text(F.coalesce("raw_ct", F.lit(""))).alias("ct"), is_optional(F.col("raw_act")).alias("optional"), references(cleaned).alias("refs"))
-    rows = texts.where("kind = 'row'").select(*PAGE, F.col("a").alias("cond_top"), F.col("b").alias("line"), clean_text(joined).alias("row")).where("row <> ''")
-    blocks = completion_time_blocks(rows, [*PAGE, "cond_top"], "line", "row")
-    actions = align_completion_times(actions, blocks, [*PAGE, "cond_top"], "band_top").select(connectors.columns)
+    narrative = F.filter("words", lambda w: w["col"] == _NARRATIVE)
+    opening = F.array_min(F.transform(F.filter(of("line"), lambda t: t["joined"].rlike(r"^LCO\s+\d+\.\d+\.\d+\b")), lambda t: t["a"]))
+    whole = texts.withColumns({"opening": opening, "first_line": F.array_min(F.transform(narrative, lambda w: w["line"])), "narrative": of("narr")[0]["joined"]})
+    late = F.col("opening") > F.col("first_line")
+    rest = once(F.col("opening"), lambda opening: F.filter(narrative, lambda w: w["line"] >= opening))
+    # written: its reading is a step of its own over a plain column
+    whole = Scratch(words.sparkSession, "pages").table(whole.select(*PAGE, "lco", "title", "anchored", "texts", "narrative", F.when(late, rest).alias("rest")))
+    whole = whole.withColumn("trimmed", join_words("rest")).withColumn("trimmed", F.when(F.col("rest").isNotNull(), F.col("trimmed")))
+
+    titles = F.filter(of("piece"), lambda t: (t["col"] == _COND) & F.col("anchored") & t["joined"].rlike(r"^[A-Z]\."))
+    band = lambda t: once(clean_text(t["joined"]), lambda cleaned: F.struct(
+        F.substring(t["joined"], 1, 1).alias("letter"), F.regexp_replace(cleaned, r"^[A-Z]\.\s*", "").alias("text"), is_optional(t["joined"]).alias("optional"), cleaned.rlike(r"\bAND\b|\bOR\b").alias("compound")))
+    pieces = F.transform(F.filter(of("piece"), lambda t: t["joined"].isNotNull()), lambda t: normalize_raw(t["joined"]))
+    plain = F.concat(F.array(F.coalesce(normalize_raw(F.coalesce("trimmed", "narrative")), F.lit(""))), pieces)
+    step = lambda act, ct: F.struct(act["a"].alias("a"), act["b"].alias("b"), act["joined"].alias("act"), strip_bracket(act["first"]).alias("first"), ct["joined"].alias("ct"))
+    times = F.transform(F.filter(of("piece"), lambda t: t["col"] == _TIME), lambda t: F.struct(t["a"].alias("a"), F.when(F.col("anchored"), t["lines"]).otherwise(F.array().cast("array<string>")).alias("lines")))
+    whole = whole.withColumns({"steps": F.filter(F.zip_with(of("act"), of("ct"), step), lambda s: s["first"].isNotNull()), "times": times, "said": statement_and_applicability(F.col("narrative"))})
     fields = ("type", "label", "note", "text", "ct", "optional", "refs")
-    listed = actions.union(connectors).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("cond_top", "band_top", *fields))).alias("i"))
-    listed = listed.select(*PAGE, F.transform("i", lambda i: F.struct(*(i[f].alias(f) for f in fields))).alias("act_items"))
-
-    out = regions.select(*PAGE, "lco", "title").join(whole, PAGE, "left").join(listed, PAGE, "left")
-    band_type, item_type = "array<struct<letter:string,text:string,optional:boolean,compound:boolean>>", "array<struct<type:string,label:string,note:string,text:string,ct:string,optional:boolean,refs:array<string>>>"
-    none = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
-    return out.select("lco", "title", "lco_stmt", "applicability", none("cond_bands", band_type), none("act_items", item_type), "raw_text", "page_no", truthy(F.col("source_doc")).alias("source_doc"))
+    banded = once(F.col("steps"), lambda steps: F.transform("times", lambda t: band_items(t["a"], steps, t["lines"])))
+    items = F.transform(F.flatten(banded), lambda i: F.struct(*(i[f].alias(f) for f in fields)))
+    return whole.select(
+        "lco", "title", F.col("said.statement").alias("lco_stmt"), "said.applicability", F.transform(titles, band).alias("cond_bands"), items.alias("act_items"),
+        truthy(normalize_raw(F.array_join(F.filter(plain, lambda p: p != ""), " "))).alias("raw_text"), "page_no", truthy(F.col("source_doc")).alias("source_doc"))

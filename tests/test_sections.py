@@ -58,6 +58,35 @@ def test_layout_overrides(spark):
     assert parsed(spark, own)[1].cond_bands[0].text == ""
 
 
+def test_pages_are_records_without_joins_or_windows(spark):
+    """Before, headings, regions, bands and texts took a join, a window or an aggregate each, over words written once more."""
+    words = spark.createDataFrame(page(HEAD + BODY) + page(CONTINUED, 2) + page(CONTINUED, 3, None), WORDS)
+    own = spark.createDataFrame([("3.4.5", 70.0)], "lco string, col1_max double")
+    for got in (pages.parse_pages(words), pages.parse_pages(words, overrides=own)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not any(step in plan for step in ("Join", "Window", "Generate", "Exchange hashpartitioning"))
+    rows = {r.page_no: r for r in pages.parse_pages(words).collect()}
+    assert rows[3].act_items == rows[2].act_items and len(rows) == 3  # a page without a height was lost
+
+
+def test_boxes_equal_the_reading_order_of_their_words(spark):
+    rng = random.Random(4)
+    placed = [[{**word(rng.choice(["a", "bb", "", "[", "avg", "x y"]), rng.randrange(0, 60), rng.choice([10, 10.5, 13, 22, 22.5, 47])), "word_ord": i, "kind": 0, "col": rng.randrange(3)} for i in range(rng.choice([0, 1, 9, 40]))] for _ in range(60)]
+    for w in (w for p in placed for w in p):
+        w["line"], w["kind"] = float(round(w["top"])), layout.KINDS.index("bracket" if w["text"] == "[" else "blank" if not w["text"] else "word")
+    some = lambda: {"lo": rng.choice([float("-inf"), 10.0, 13.0]), "hi": rng.choice([float("inf"), 10.5, 30.0]), "line": rng.choice([None, None, 10.0, 22.0]), "col": rng.randrange(3), "lines": rng.random() < 0.5, "first": rng.random() < 0.5}
+    boxes = [[some() for _ in range(rng.choice([0, 1, 6]))] for _ in placed]
+    kind = "array<struct<top:double,x0:double,word_ord:int,x1:double,bottom:double,text:string,kind:int,line:double,col:int>>"
+    frame = spark.createDataFrame([(k, p, b) for k, (p, b) in enumerate(zip(placed, boxes, strict=True))], f"k int, words {kind}, boxes array<struct<lo:double,hi:double,line:double,col:int,lines:boolean,first:boolean>>")
+    for r in frame.select("k", layout.join_boxes("words", "boxes").alias("found")).collect():
+        for b, found in zip(boxes[r.k], r.found, strict=True):
+            held = [w for w in placed[r.k] if b["lo"] <= w["top"] < b["hi"] and w["col"] == b["col"] and b["line"] in (None, w["line"])]
+            more = sorted((w["line"], w["x0"], w["word_ord"], w["text"]) for w in held if w["text"] not in ("", "["))
+            assert found.joined == (layout.reading_order(held) if held else None)
+            assert found.lines == ([layout.reading_order([w for w in held if w["line"] == x]) for x in sorted({w["line"] for w in held})] if b["lines"] else [])
+            assert found.first == (more[0][3] if more and b["first"] else None)
+
+
 def test_completion_time_blocks(spark):
     rows = spark.createDataFrame([("k", i, t) for i, t in enumerate(["1 hour", "OR", "8 hours", "Immediately"])], "key string, o int, row string")
     assert [r.ct for r in pages.completion_time_blocks(rows, ["key"], "o", "row").orderBy("block").collect()] == ["1 hour OR 8 hours", "Immediately"]
