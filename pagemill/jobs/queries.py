@@ -411,7 +411,10 @@ def page_bands(spark, sf_dir):
     """Condition bands of each page and the words in them by column."""
     words = _placed(spark, sf_dir, plain=True).withColumn("col", layout.column_of(F.col("x0"), F.lit(220), F.lit(410))).withColumn("end", F.lit(2000.0)).where("top > 200")
     spans = layout.bands(layout.condition_anchors(words), "end")
-    return layout.in_bands(words, spans).groupBy("page_no", "band_top", "band_bottom").agg(*(F.count_if(F.col("col") == c).alias(c.lower()) for c in ("COND", "ACT", "TIME")))
+    columns = ("COND", "ACT", "TIME")
+    # words at one height share their band: they are counted before the merge, which sorts heights and not words
+    heights = words.groupBy(*layout.PAGE, "top").agg(*(F.count_if(F.col("col") == c).alias(c.lower()) for c in columns))
+    return layout.in_bands(heights, spans).groupBy("page_no", "band_top", "band_bottom").agg(*(F.sum(c.lower()).alias(c.lower()) for c in columns))
 
 
 _BANDS = f"""WITH a AS (SELECT l_orderkey, 220.0 + 20 * k AS top, k, l_returnflag FROM ({_LINES})),

@@ -236,3 +236,11 @@ def test_whole_sections_equal_the_steps_with_one_shuffle_and_nothing_else(spark)
         assert same(got, records(merged, blocks))
         plan = got._jdf.queryExecution().sparkPlan().toString()
         assert not any(step in plan for step in ("Join", "Window", "Union")) and plan.count("Scan") == 1
+
+
+def test_page_bands_merge_heights_and_not_words(spark):
+    """Before, the merge of words and bands sorted every word of a page."""
+    from pagemill.jobs.queries import page_bands
+
+    plan = page_bands(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [page_no") >= 2 and plan.index("Window") < plan.rindex("count(")
