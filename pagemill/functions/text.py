@@ -30,7 +30,7 @@ _EDITOR_NOTE = rf"(?isU)-{{3,}}{SPACE}*REVIEWER['’]S{SPACE}+NOTES?{SPACE}*-{{3
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is found once for each row or element, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.element_at(F.transform(F.array(value), use), 1)  # keeps its type, which F.get works out anew for each element
 
 
 def strip(x: Column) -> Column:
@@ -42,7 +42,20 @@ def collapse(x: Column) -> Column:
     return strip(F.regexp_replace(x, f"(?U){SPACE}+", " "))
 
 
+def _is_plain(x: Column) -> Column:
+    """Whether a text is printable ASCII without scaffolds and brackets and with single spaces inside; most texts are so."""
+    marked = F.startswith(x, F.lit(" ")) | F.endswith(x, F.lit(" "))
+    for mark in ("---", "[", "]", "  "):
+        marked |= F.contains(x, F.lit(mark))
+    return ~marked & x.rlike(r"\A[ -~]*\z")
+
+
 def _without_scaffolds(x: Column, note: str) -> Column:
+    """A plain text stays as it is, and no other rule reads it."""
+    return once(x, lambda x: F.when(_is_plain(x), x).otherwise(_unscaffolded(x, note)))
+
+
+def _unscaffolded(x: Column, note: str) -> Column:
     x = F.regexp_replace(x, _EDITOR_NOTE, " ")
     x = F.regexp_replace(x, rf"(?isU){_NOTE_HEAD}{SPACE}*(.*?){SPACE}*-{{3,}}", note)
     x = F.regexp_replace(x, rf"(?iU){_NOTE_HEAD}", " ")
@@ -61,11 +74,11 @@ def normalize_raw(x: Column) -> Column:
 
 def extract_note(x: Column) -> Column:
     """The first note of a cleaned text, up to its first closing parenthesis; null if none."""
-    return F.when(x.rlike(r"\(NOTE:\s*.*?\)"), strip(F.regexp_extract(x, r"\(NOTE:\s*(.*?)\)", 1)))
+    return F.when(F.contains(x, F.lit("(NOTE:")) & x.rlike(r"\(NOTE:\s*.*?\)"), strip(F.regexp_extract(x, r"\(NOTE:\s*(.*?)\)", 1)))
 
 
 def strip_note(x: Column) -> Column:
-    return strip(F.regexp_replace(x, r"\(NOTE:.*?\)\s*", ""))
+    return strip(F.when(F.contains(x, F.lit("(NOTE:")), F.regexp_replace(x, r"\(NOTE:.*?\)\s*", "")).otherwise(x))
 
 
 def strip_bracket(x: Column) -> Column:
@@ -73,7 +86,7 @@ def strip_bracket(x: Column) -> Column:
 
 
 def is_optional(x: Column) -> Column:
-    return x.rlike(r"[\[\]]")
+    return F.contains(x, F.lit("[")) | F.contains(x, F.lit("]"))
 
 
 def parse_label(label: Column) -> Column:

@@ -361,38 +361,53 @@ SELECT CAST(l_orderkey AS VARCHAR) AS lco, CAST(block AS BIGINT) AS block, strin
 # ---- line items as positioned words
 
 
-def _placed(spark, sf_dir: str, plain: bool = False) -> DataFrame:
-    """Each order as a page: a heading, a statement, a table header and a row for each line item.
+def _stretches(spark, sf_dir: str, plain: bool = False) -> DataFrame:
+    """Each order as a page: a heading, a statement, a table header and a row for each line item, which holds the item's words.
 
     Unless ``plain``, the applicability has a subscript; every fifth page ends in a
     section that is left out; every seventh has a note with a label in it after its rows;
     every eleventh has no condition on it, as if the table went on from the page before.
     """
-    i = _items(spark, sf_dir).withColumn("k", F.row_number().over(W.partitionBy("lco").orderBy(*_PLACE)))
-    word = lambda t, x, y: F.struct((t if isinstance(t, Column) else F.lit(t)).cast("string").alias("text"), F.lit(float(x)).alias("x0"), (y if isinstance(y, Column) else F.lit(y)).cast("double").alias("top"))
-    none = F.array().cast("array<struct<text:string,x0:double,top:double>>")
+    # a page's items are numbered, and gathered by whoever reads them, where one shuffle by page brings them
+    place = W.partitionBy("page_no").orderBy(*_PLACE)
+    i = _items(spark, sf_dir).withColumn("page_no", F.col("l_orderkey").cast("int")).withColumns({"k": F.row_number().over(place), "last": F.lead("page_no").over(place).isNull()})
     y, page = F.lit(220.0) + 20 * F.col("k"), F.col("l_orderkey")
+
+    none = F.array().cast("array<struct<top:double,x0:double,word_ord:int,x1:double,bottom:double,text:string>>")
+    given = lambda holds, words: F.when(holds, words).otherwise(none)
+
+    def word(pos: int, t, x, y) -> Column:
+        t, top = (t if isinstance(t, Column) else F.lit(t)).cast("string"), (y if isinstance(y, Column) else F.lit(y)).cast("double")
+        return F.struct(top.alias("top"), F.lit(float(x)).alias("x0"), (F.col("k") * 100 + pos).alias("word_ord"), (F.lit(float(x)) + 6 * F.length(t)).alias("x1"), (top + 10).alias("bottom"), t.alias("text"))
+
+    words = lambda begin, *placed: F.array(*(word(begin + n, *p) for n, p in enumerate(placed)))
+    known = lambda pos, t, x: given(t.isNotNull(), words(pos, (t, x, y)))
     section = F.concat(F.lit("3.4."), page % 90 + 10)
     head = [("Order", 60, 40), ("table", 120, 40), (section, 200, 40), ("LCO", 60, 110), (section, 100, 110), ("holds", 160, 110), ("APPLICABILITY:", 60, 130), ("MODE", 160, 130), ("1", 200, 130), ("ACTIONS", 60, 150), ("CONDITION", 60, 200), ("COMPLETION", 420, 200), ("TIME", 500, 200), ("Rev.", 60, 2000)]
-    extra = none
+    extra = []
     if not plain:
         head.append(("b", 207, 133))
-        out = F.array(*(word(t, x, at) for t, x, at in (("SURVEILLANCE", 60, 1800), ("REQUIREMENTS", 160, 1800), ("Z.9", 240, 1820), ("check", 290, 1820))))
-        note = F.array(word("----NOTE----", 240, y + 20), word("Q.1", 240, y + 30), word("------", 240, y + 40))
-        last = F.col("k") == F.max("k").over(W.partitionBy("lco"))
-        extra = F.concat(F.when(page % 5 == 0, out).otherwise(none), F.when((page % 7 == 0) & last, note).otherwise(none))
-    first = F.when(F.col("k") == 1, F.array(*(word(t, x, at) for t, x, at in head))).otherwise(none)
+        out = words(30, ("SURVEILLANCE", 60, 1800), ("REQUIREMENTS", 160, 1800), ("Z.9", 240, 1820), ("check", 290, 1820))
+        note = words(40, ("----NOTE----", 240, y + 20), ("Q.1", 240, y + 30), ("------", 240, y + 40))
+        extra = [given(page % 5 == 0, out), given((page % 7 == 0) & F.col("last"), note)]
     opens = (F.col("k") % 3 == 1) & (F.lit(plain) | (page % 11 != 0))
-    row = F.array(word(F.when(opens, F.concat("letter", F.lit("."))), 60, y), word(F.when(opens, F.lit("late")), 90, y), word(F.when(F.col("l_returnflag") == "A", F.lit("AND")), 240, y - 8), word(F.concat("letter", F.lit("."), "l_linenumber"), 240, y), word("Restore", 290, y), word(F.col("l_partkey"), 340, y), word(F.col("l_quantity").cast("int"), 420, y), word("hours", 460, y))
-    words = i.withColumn("extra", extra).select("l_orderkey", "k", F.posexplode(F.filter(F.concat(first, row, "extra"), lambda w: w["text"].isNotNull())).alias("pos", "w"))
-    x0 = F.col("w.x0")
-    return words.select(F.lit("orders").alias("source_doc"), F.col("l_orderkey").cast("int").alias("page_no"), F.lit(2100.0).alias("page_height"), (F.col("k") * 100 + F.col("pos")).alias("word_ord"), F.col("w.text").alias("text"), x0.alias("x0"), (x0 + 6 * F.length("w.text")).alias("x1"), F.col("w.top").alias("top"), (F.col("w.top") + 10).alias("bottom"))
+    row = [
+        given(opens, F.concat(known(20, F.concat("letter", F.lit(".")), 60), words(21, ("late", 90, y)))), given(F.col("l_returnflag") == "A", words(22, ("AND", 240, y - 8))),
+        known(23, F.concat("letter", F.lit("."), "l_linenumber"), 240), words(24, ("Restore", 290, y)), known(25, F.col("l_partkey"), 340), known(26, F.col("l_quantity").cast("int"), 420), words(27, ("hours", 460, y)),
+    ]
+    return i.select(F.lit("orders").alias("source_doc"), "page_no", F.lit(2100.0).alias("page_height"), F.concat(given(F.col("k") == 1, words(0, *head)), *row, *extra).alias("words"))
+
+
+def _placed(spark, sf_dir: str, plain: bool = False) -> DataFrame:
+    """The words of ``_stretches`` one by one."""
+    words = _stretches(spark, sf_dir, plain).select("source_doc", "page_no", "page_height", F.explode("words").alias("w"))
+    return words.select("source_doc", "page_no", "page_height", *(f"w.{c}" for c in ("word_ord", "text", "x0", "x1", "top", "bottom")))
 
 
 def parsed_pages(spark, sf_dir):
     """Pages of section 3.4.20 have a layout of their own, in which quantities are in the action column."""
     overrides = spark.createDataFrame([("3.4.20", 440.0)], "lco string, col2_max double")
-    rows = pages.parse_pages(_placed(spark, sf_dir), overrides=overrides)
+    rows = pages.parse_pages(_stretches(spark, sf_dir), overrides=overrides)
     return rows.select("page_no", "lco", "title", "lco_stmt", "applicability", F.size("cond_bands").alias("n_conditions"), F.size("act_items").alias("n_items"), F.array_join(F.transform("act_items", lambda i: F.coalesce(i["label"], i["text"])), " ").alias("labels"), F.array_join(F.transform("act_items", lambda i: F.coalesce(i["ct"], F.lit("-"))), "; ").alias("times"), F.array_join(F.transform("act_items", lambda i: F.coalesce(i["note"], F.lit("-"))), "; ").alias("notes"), F.md5("raw_text").alias("raw_md5"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import ACTION_LABEL, CONNECTOR, TIME_START, clean_text, extract_note, is_optional, normalize_raw, once, references, strip, strip_bracket, strip_note, truthy
-from pagemill.operators.layout import PAGE, WORD, is_kind, join_boxes, join_words, page_heads, page_regions, whole_pages
+from pagemill.operators.layout import PAGE, page_heads, read_pages, whole_pages
 from pagemill.sources.scratch import Scratch, bound_batches
 
 LAYOUT = {"col1_max": 220.0, "col2_max": 410.0, "header_margin": 95.0}
@@ -43,83 +43,14 @@ def completion_time_blocks(rows: DataFrame, keys: list[str], order: str, text: s
     return joined.select(*keys, (F.col("block") + 1).alias("block"), clean_text(F.col("ct")).alias("ct")).where("ct <> ''")
 
 
-#: Columns of a placed word: the narrative, and the three of a table.
-_NARRATIVE, _COND, _ACT, _TIME = range(4)
-_NO_SPANS = "array<struct<open:double,close:double>>"
-
-
-def placed_words(pages: DataFrame) -> DataFrame:
-    """Pages with regions: their words of narratives and tables with column and line, and the bands they fall into.
-
-    ``conds`` are (a, z), the conditions' bands of the table, or one band of the whole table
-    if no condition is on the page (``anchored`` is false then); what is above the first one
-    is in none.  ``acts`` are (a, b, z), the actions' bands in them.  Actions begin at labels
-    and connectors outside notes; ``[`` outside a note makes the label after it begin one too.
-    """
-    within = lambda w, r, part: (w["top"] >= r[f"{part}_top"]) & (w["top"] < r[f"{part}_bottom"])
-    column = lambda w: F.when(w["x0"] < F.col("col1_max"), _COND).when(w["x0"] < F.col("col2_max"), _ACT).otherwise(_TIME)
-    zone = lambda w, r: F.when(within(w, r, "narr"), _NARRATIVE).when(within(w, r, "tbl"), column(w))
-    placed = once(F.col("region"), lambda r: F.transform("words", lambda w: F.struct(*(w[c].alias(c) for c in (*WORD, "kind")), F.bround(w["top"]).alias("line"), zone(w, r).alias("col"))))
-    out = pages.withColumn("words", placed).withColumn("words", F.filter("words", lambda w: w["col"].isNotNull()))
-    of = lambda col, *kinds: F.filter("words", lambda w: (w["col"] == col) & is_kind(w, *kinds))
-    place = lambda w: F.struct(w["line"], w["x0"], w["word_ord"])
-    # notes: each ends with a dash run and opens at the first opening since the one before
-    marks = F.array_sort(F.transform(of(_ACT, "note", "dashes"), lambda w: F.struct(*(w[c].alias(c) for c in ("top", "line", "x0", "word_ord", "kind")))))
-    span = lambda s, m: F.struct(s["open"].alias("open"), m["top"].alias("close"))
-    read = lambda s, m: F.struct(
-        F.when(~is_kind(m, "dashes"), F.coalesce(s["open"], m["top"])).alias("open"),
-        F.when(is_kind(m, "dashes") & s["open"].isNotNull(), F.array_append(s["spans"], span(s, m))).otherwise(s["spans"]).alias("spans"))
-    none = F.struct(F.lit(None).cast("double").alias("open"), F.array().cast(_NO_SPANS).alias("spans"))
-    notes = F.aggregate(marks, none, read, lambda s: s["spans"])
-    out = out.withColumn("anchors", F.array_sort(F.array_distinct(F.transform(of(_COND, "condition"), lambda w: w["top"])))).withColumn("anchored", F.size("anchors") > 0)
-    after = lambda x, k, z: F.coalesce(F.get(x, k + 1), z)
-    bands = lambda tops: F.transform(tops, lambda a, k: F.struct(a.alias("a"), after(tops, k, F.lit(float("inf"))).alias("z")))
-    out = out.withColumn("conds", once(F.when(F.col("anchored"), F.col("anchors")).otherwise(F.array_compact(F.array("region.tbl_top"))), bands))
-    held = lambda top, c: (top >= c["a"]) & (top < c["z"])
-    inside = lambda w, notes: F.exists(notes, lambda s: (w["top"] > s["open"]) & (w["top"] < s["close"]))
-    beside = lambda w, conds: once(F.filter(conds, lambda c: held(w["top"], c)), lambda own: F.filter("words", lambda v: (v["col"] == _ACT) & (place(v) < place(w)) & F.exists(own, lambda c: held(v["top"], c))))
-    before = lambda w, conds: F.array_max(F.transform(beside(w, conds), lambda v: F.struct(*(v[c].alias(c) for c in ("line", "x0", "word_ord", "kind", "top")))))
-    bracketed = lambda w, notes, conds: F.exists(F.array(before(w, conds)), lambda v: is_kind(v, "bracket") & ~inside(v, notes))
-    begins = lambda notes, conds: F.filter(of(_ACT, "action", "connector"), lambda w: F.when(~inside(w, notes), True).when(is_kind(w, "action"), bracketed(w, notes, conds)).otherwise(False))
-    tops = lambda notes, conds: F.array_sort(F.array_distinct(F.transform(begins(notes, conds), lambda w: w["top"])))
-    steps = lambda own, c: F.transform(own, lambda b, k: F.struct(c["a"].alias("a"), b.alias("b"), after(own, k, c["z"]).alias("z")))
-    cut = lambda tops, conds: F.flatten(F.transform(conds, lambda c: once(F.filter(tops, lambda b: held(b, c)), lambda own: steps(own, c))))
-    return out.withColumn("acts", once(notes, lambda notes: once(F.col("conds"), lambda conds: once(tops(notes, conds), lambda tops: cut(tops, conds)))))
-
-
-def placed_texts(placed: DataFrame) -> DataFrame:
-    """Pages with ``texts``, a struct for each box on them: kind, a, b, col, joined, first, lines.
-
-    narr: the narrative; line: one of its lines, at a, that may open the statement; piece: a
-    column of the band a; act and ct: actions and times of the action b in the band a.
-    ``lines`` are the lines of a column of times, ``first`` is the first word of an act that
-    is more than a bracket.
-    """
-    far = float("inf")
-
-    def box(kind: str, col: int, a=None, b=None, lo=None, hi=None, line=None) -> Column:
-        number = lambda x, default: F.lit(default).cast("double") if x is None else x.cast("double")
-        return F.struct(
-            F.lit(kind).alias("kind"), number(a, None).alias("a"), number(b, None).alias("b"), number(lo, -far).alias("lo"), number(hi, far).alias("hi"), number(line, None).alias("line"),
-            F.lit(col).alias("col"), F.lit(col == _TIME and kind == "piece").alias("lines"), F.lit(kind == "act").alias("first"))
-
-    opening = F.array_distinct(F.transform(F.filter("words", lambda w: (w["col"] == _NARRATIVE) & is_kind(w, "statement")), lambda w: w["line"]))
-    pieces = F.flatten(F.transform("conds", lambda c: F.array(*(box("piece", col, a=c["a"], lo=c["a"], hi=c["z"]) for col in (_COND, _ACT, _TIME)))))
-    steps = lambda kind, col: F.transform("acts", lambda c: box(kind, col, a=c["a"], b=c["b"], lo=c["b"], hi=c["z"]))
-    boxes = F.concat(F.array(box("narr", _NARRATIVE)), F.transform(opening, lambda x: box("line", _NARRATIVE, a=x, line=x)), pieces, steps("act", _ACT), steps("ct", _TIME))
-    read = placed.withColumn("boxes", boxes).withColumn("found", join_boxes("words", F.transform("boxes", lambda b: F.struct(*(b[c].alias(c) for c in ("lo", "hi", "line", "col", "lines", "first"))))))
-    both = F.zip_with("boxes", "found", lambda b, t: F.struct(*(b[c].alias(c) for c in ("kind", "a", "b", "col")), *(t[c].alias(c) for c in ("joined", "first", "lines"))))
-    return read.withColumn("texts", both).drop("boxes", "found")
-
-
-def band_items(band: Column, steps: Column, rows: Column) -> Column:
-    """The actions and connectors of the band in order; rows are its times, if they stand in lines of their own.
+def band_items(steps: Column, rows: Column) -> Column:
+    """The actions and connectors of a band in order; rows are its times, if they stand in lines of their own.
 
     An action's time is its block of rows if there are as many of them, all blocks if it is
     the only action, else what stood beside it.
     """
     none = F.lit(None).cast("string")
-    own = F.filter(steps, lambda s: s["a"] == band)
+    own = F.transform(F.filter(steps, lambda s: s["first"].isNotNull()), lambda s: F.struct(s["b"].alias("b"), s["act"].alias("act"), strip_bracket(s["first"]).alias("first"), s["ct"].alias("ct")))
     cleaned = F.filter(F.transform(rows, clean_text), lambda r: r != "")
     blocks = F.filter(F.transform(once(cleaned, time_blocks), clean_text), lambda b: b != "")
 
@@ -137,38 +68,26 @@ def band_items(band: Column, steps: Column, rows: Column) -> Column:
 
 
 def parse_pages(words: DataFrame, layout: dict = LAYOUT, overrides: DataFrame | None = None) -> DataFrame:
-    """One page record for each page with words.
+    """One page record for each page with words; ``words`` are rows of words or of stretches of them (see ``whole_pages``).
 
-    One shuffle gathers a page's words in its row; regions, bands and boxes are expressions
-    over that row, the texts of all its boxes are read together and written once, and no step
-    after it shuffles or sorts words again.  Words without a page number or a place are left out.
+    One shuffle gathers a page's words in its row; its regions, bands and texts are found by
+    one pass over that row (``read_pages``) and written once, and no step after it shuffles
+    or sorts words again.  Words without a page number or a place are left out.
     """
     bound_batches(words.sparkSession)  # a row holds a page
-    words = words.where("page_no is not null and top is not null and not isnan(top) and bottom is not null and x0 is not null and x1 is not null")
-    words = words.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("source_doc", F.coalesce("source_doc", F.lit("")))
-    texts = placed_texts(placed_words(page_regions(page_heads(whole_pages(words), layout, overrides))))
-    of = lambda *kinds: F.filter("texts", lambda t: t["kind"].isin(*kinds))
-    # what stands before the statement is left out of the plain text
-    narrative = F.filter("words", lambda w: w["col"] == _NARRATIVE)
-    opening = F.array_min(F.transform(F.filter(of("line"), lambda t: t["joined"].rlike(r"^LCO\s+\d+\.\d+\.\d+\b")), lambda t: t["a"]))
-    whole = texts.withColumns({"opening": opening, "first_line": F.array_min(F.transform(narrative, lambda w: w["line"])), "narrative": of("narr")[0]["joined"]})
-    late = F.col("opening") > F.col("first_line")
-    rest = once(F.col("opening"), lambda opening: F.filter(narrative, lambda w: w["line"] >= opening))
+    pages = page_heads(whole_pages(words), layout, overrides).withColumn("read", read_pages("words", "page_height", "col1_max", "col2_max", "header_margin"))
     # written: its reading is a step of its own over a plain column
-    whole = Scratch(words.sparkSession, "pages").table(whole.select(*PAGE, "lco", "title", "anchored", "texts", "narrative", F.when(late, rest).alias("rest")))
-    whole = whole.withColumn("trimmed", join_words("rest")).withColumn("trimmed", F.when(F.col("rest").isNotNull(), F.col("trimmed")))
+    whole = Scratch(words.sparkSession, "pages").table(pages.where("read is not null").select(*PAGE, "lco", "title", "read.*"))
 
-    titles = F.filter(of("piece"), lambda t: (t["col"] == _COND) & F.col("anchored") & t["joined"].rlike(r"^[A-Z]\."))
-    band = lambda t: once(clean_text(t["joined"]), lambda cleaned: F.struct(
-        F.substring(t["joined"], 1, 1).alias("letter"), F.regexp_replace(cleaned, r"^[A-Z]\.\s*", "").alias("text"), is_optional(t["joined"]).alias("optional"), cleaned.rlike(r"\bAND\b|\bOR\b").alias("compound")))
-    pieces = F.transform(F.filter(of("piece"), lambda t: t["joined"].isNotNull()), lambda t: normalize_raw(t["joined"]))
+    titles = F.filter("bands", lambda t: F.col("anchored") & t["cond"].rlike(r"^[A-Z]\."))
+    band = lambda t: once(clean_text(t["cond"]), lambda cleaned: F.struct(
+        F.substring(t["cond"], 1, 1).alias("letter"), F.regexp_replace(cleaned, r"^[A-Z]\.\s*", "").alias("text"), is_optional(t["cond"]).alias("optional"), cleaned.rlike(r"\bAND\b|\bOR\b").alias("compound")))
+    pieces = F.transform(F.array_compact(F.flatten(F.transform("bands", lambda t: F.array(t["cond"], t["act"], t["time"])))), normalize_raw)
+    # what stands before the statement is left out of the plain text
     plain = F.concat(F.array(F.coalesce(normalize_raw(F.coalesce("trimmed", "narrative")), F.lit(""))), pieces)
-    step = lambda act, ct: F.struct(act["a"].alias("a"), act["b"].alias("b"), act["joined"].alias("act"), strip_bracket(act["first"]).alias("first"), ct["joined"].alias("ct"))
-    times = F.transform(F.filter(of("piece"), lambda t: t["col"] == _TIME), lambda t: F.struct(t["a"].alias("a"), F.when(F.col("anchored"), t["lines"]).otherwise(F.array().cast("array<string>")).alias("lines")))
-    whole = whole.withColumns({"steps": F.filter(F.zip_with(of("act"), of("ct"), step), lambda s: s["first"].isNotNull()), "times": times, "said": statement_and_applicability(F.col("narrative"))})
     fields = ("type", "label", "note", "text", "ct", "optional", "refs")
-    banded = once(F.col("steps"), lambda steps: F.transform("times", lambda t: band_items(t["a"], steps, t["lines"])))
-    items = F.transform(F.flatten(banded), lambda i: F.struct(*(i[f].alias(f) for f in fields)))
+    items = F.transform(F.flatten(F.transform("bands", lambda t: band_items(t["steps"], t["lines"]))), lambda i: F.struct(*(i[f].alias(f) for f in fields)))
+    whole = whole.withColumn("said", statement_and_applicability(F.col("narrative")))
     return whole.select(
         "lco", "title", F.col("said.statement").alias("lco_stmt"), "said.applicability", F.transform(titles, band).alias("cond_bands"), items.alias("act_items"),
         truthy(normalize_raw(F.array_join(F.filter(plain, lambda p: p != ""), " "))).alias("raw_text"), "page_no", truthy(F.col("source_doc")).alias("source_doc"))
