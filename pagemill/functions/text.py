@@ -102,7 +102,7 @@ def connector_between(before: Column, after: Column) -> Column:
 
 
 def references(x: Column) -> Column:
-    return F.regexp_extract_all(x, F.lit(REFERENCE), 0)
+    return F.when(~F.contains(x, F.lit("SR")), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(x, F.lit(REFERENCE), 0))
 
 
 def sentence(x: Column) -> Column:

@@ -368,9 +368,11 @@ def _stretches(spark, sf_dir: str, plain: bool = False) -> DataFrame:
     section that is left out; every seventh has a note with a label in it after its rows;
     every eleventh has no condition on it, as if the table went on from the page before.
     """
-    # a page's items are numbered, and gathered by whoever reads them, where one shuffle by page brings them
-    place = W.partitionBy("page_no").orderBy(*_PLACE)
-    i = _items(spark, sf_dir).withColumn("page_no", F.col("l_orderkey").cast("int")).withColumns({"k": F.row_number().over(place), "last": F.lead("page_no").over(place).isNull()})
+    # items are numbered, and gathered by whoever reads them, where one shuffle by page brings them in order;
+    # the document is no literal, as the planner does not see rows to be in the order of literals
+    place = W.partitionBy(*layout.PAGE).orderBy(*_PLACE)
+    keys = {"page_no": F.col("l_orderkey").cast("int"), "source_doc": F.when(F.col("l_orderkey").isNotNull(), "orders").otherwise("")}
+    i = _items(spark, sf_dir).withColumns(keys).withColumns({"k": F.row_number().over(place), "last": F.lead("page_no").over(place).isNull()})
     y, page = F.lit(220.0) + 20 * F.col("k"), F.col("l_orderkey")
 
     none = F.array().cast("array<struct<top:double,x0:double,word_ord:int,x1:double,bottom:double,text:string>>")
@@ -395,7 +397,7 @@ def _stretches(spark, sf_dir: str, plain: bool = False) -> DataFrame:
         given(opens, F.concat(known(20, F.concat("letter", F.lit(".")), 60), words(21, ("late", 90, y)))), given(F.col("l_returnflag") == "A", words(22, ("AND", 240, y - 8))),
         known(23, F.concat("letter", F.lit("."), "l_linenumber"), 240), words(24, ("Restore", 290, y)), known(25, F.col("l_partkey"), 340), known(26, F.col("l_quantity").cast("int"), 420), words(27, ("hours", 460, y)),
     ]
-    return i.select(F.lit("orders").alias("source_doc"), "page_no", F.lit(2100.0).alias("page_height"), F.concat(given(F.col("k") == 1, words(0, *head)), *row, *extra).alias("words"))
+    return i.select("source_doc", "page_no", F.lit(2100.0).alias("page_height"), F.concat(given(F.col("k") == 1, words(0, *head)), *row, *extra).alias("words"))
 
 
 def _placed(spark, sf_dir: str, plain: bool = False) -> DataFrame:

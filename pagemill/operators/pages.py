@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import ACTION_LABEL, CONNECTOR, TIME_START, clean_text, extract_note, is_optional, normalize_raw, once, references, strip, strip_bracket, strip_note, truthy
-from pagemill.operators.layout import PAGE, page_heads, read_pages, whole_pages
-from pagemill.sources.scratch import Scratch, bound_batches
+from pagemill.functions.text import ACTION_LABEL, CONNECTOR, TIME_START, clean_text, extract_note, is_optional, normalize_raw, once, references, strip, strip_note, truthy
+from pagemill.operators.layout import printed_pages, whole_pages
+from pagemill.sources.scratch import Scratch, bound_batches, session_setting
 
 LAYOUT = {"col1_max": 220.0, "col2_max": 410.0, "header_margin": 95.0}
 
@@ -50,7 +50,6 @@ def band_items(steps: Column, rows: Column) -> Column:
     the only action, else what stood beside it.
     """
     none = F.lit(None).cast("string")
-    own = F.transform(F.filter(steps, lambda s: s["first"].isNotNull()), lambda s: F.struct(s["b"].alias("b"), s["act"].alias("act"), strip_bracket(s["first"]).alias("first"), s["ct"].alias("ct")))
     cleaned = F.filter(F.transform(rows, clean_text), lambda r: r != "")
     blocks = F.filter(F.transform(once(cleaned, time_blocks), clean_text), lambda b: b != "")
 
@@ -61,23 +60,24 @@ def band_items(steps: Column, rows: Column) -> Column:
         return once(clean_text(s["act"]), cleaned)
 
     connector = lambda s: F.struct(s["b"].alias("b"), F.lit("connector").alias("type"), none.alias("label"), none.alias("note"), s["first"].alias("text"), none.alias("ct"), F.lit(None).cast("boolean").alias("optional"), F.array().cast("array<string>").alias("refs"))
-    actions = lambda own: F.filter(own, lambda s: s["first"].rlike(ACTION_LABEL))
-    connectors = lambda own: F.transform(F.filter(own, lambda s: s["first"].rlike(CONNECTOR)), connector)
-    listed = lambda own: once(blocks, lambda blocks: once(actions(own), lambda found: F.array_sort(F.concat(F.transform(found, lambda s, k: action(s, k, F.size(found), blocks)), connectors(own)))))
-    return once(own, listed)
+    actions = F.filter(steps, lambda s: s["first"].rlike(ACTION_LABEL))
+    connectors = F.transform(F.filter(steps, lambda s: s["first"].rlike(CONNECTOR)), connector)
+    listed = lambda found, blocks: F.sort_array(F.concat(F.transform(found, lambda s, k: action(s, k, F.size(found), blocks)), connectors))
+    return once(blocks, lambda blocks: once(actions, lambda found: listed(found, blocks)))
 
 
 def parse_pages(words: DataFrame, layout: dict = LAYOUT, overrides: DataFrame | None = None) -> DataFrame:
     """One page record for each page with words; ``words`` are rows of words or of stretches of them (see ``whole_pages``).
 
     One shuffle gathers a page's words in its row; its regions, bands and texts are found by
-    one pass over that row (``read_pages``) and written once, and no step after it shuffles
+    one pass over that row (``printed_pages``) and written once, and no step after it shuffles
     or sorts words again.  Words without a page number or a place are left out.
     """
     bound_batches(words.sparkSession)  # a row holds a page
-    pages = page_heads(whole_pages(words), layout, overrides).withColumn("read", read_pages("words", "page_height", "col1_max", "col2_max", "header_margin"))
-    # written: its reading is a step of its own over a plain column
-    whole = Scratch(words.sparkSession, "pages").table(pages.where("read is not null").select(*PAGE, "lco", "title", "read.*"))
+    # words that come in the order of their pages are gathered without another sort
+    with session_setting(words.sparkSession, "spark.sql.execution.replaceHashWithSortAgg", "true"):
+        # written: its reading is a step of its own over a plain column
+        whole = Scratch(words.sparkSession, "pages").table(printed_pages(whole_pages(words), layout, overrides))
 
     titles = F.filter("bands", lambda t: F.col("anchored") & t["cond"].rlike(r"^[A-Z]\."))
     band = lambda t: once(clean_text(t["cond"]), lambda cleaned: F.struct(

@@ -262,11 +262,15 @@ def test_pages_from_stretches_of_words_equal_pages_from_words(spark):
 
 
 def test_words_of_an_order_are_gathered_by_one_shuffle(spark):
-    """Before, parsed_pages shuffled its items and then every word of theirs."""
+    """Before, parsed_pages shuffled and sorted its items and then every word of theirs."""
     from pagemill.jobs.queries import _stretches
+    from pagemill.sources.scratch import session_setting
 
-    plan = layout.whole_pages(_stretches(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    with session_setting(spark, "spark.sql.execution.replaceHashWithSortAgg", "true"):
+        plan = layout.whole_pages(_stretches(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+    assert "SortAggregate" in plan and "ObjectHashAggregate" not in plan and plan.count("Sort [") == 1
+    assert spark.conf.get("spark.sql.execution.replaceHashWithSortAgg", None) is None
 
 
 def test_plain_texts_skip_the_rules_of_scaffolds(spark):
